@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, packing, warc
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_warc": warc.op2_warc,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
+    "op2_warc": warc.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
