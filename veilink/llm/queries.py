@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, warc
+from . import exact_dedup, packing, topk, warc, word_bpe
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_warc": warc.op2_warc,
+    "op4_word_bpe": word_bpe.op4_word_bpe,
+    "op7_top_k": topk.op7_top_k,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
     "op2_warc": warc.SQL,
+    "op7_top_k": topk.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
