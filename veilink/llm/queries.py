@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, packing, topk, warc, word_bpe
+from . import exact_dedup, line_dedup, near_dedup, packing, topk, warc, word_bpe
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_word_bpe": word_bpe.op4_word_bpe,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op7_top_k": topk.op7_top_k,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
