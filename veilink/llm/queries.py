@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, near_dedup, packing, topk, warc, word_bpe
+from . import exact_dedup, line_dedup, near_dedup, packing, topk, toxicity, warc, word_bpe
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op7_top_k": topk.op7_top_k,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
