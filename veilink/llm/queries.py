@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, near_dedup, packing, topk, toxicity, warc, word_bpe
+from . import exact_dedup, line_dedup, near_dedup, packing, pii, topk, toxicity, warc, word_bpe
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_warc": warc.op2_warc,
+    "op3_pii": pii.op3_pii,
     "op4_word_bpe": word_bpe.op4_word_bpe,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op7_top_k": topk.op7_top_k,
