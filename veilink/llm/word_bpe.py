@@ -18,7 +18,7 @@ import hashlib
 import os
 import re
 import zlib
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,8 @@ from .common import Workspace, shuffle_partitions, table, text_or_empty
 
 #: Rows of a block, as a power of two.
 BLOCK_BITS = 12
+#: Bytes of text that are compressed together for the exchange that brings blocks and answers together.
+BUNDLE = 2_000_000
 
 _SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 #: Characters that ``str.split`` treats as white space and the word pattern above does not.
@@ -90,6 +92,41 @@ def _send(owners: int):
     return run
 
 
+def _bundles(batches):
+    """Rows of one block, packed: ids, bytes of each text, and the texts compressed together, about ``BUNDLE`` bytes at a time."""
+    import pyarrow as pa
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        blocks, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        cuts, sizes, blobs, size, first = [], [], [], 0, 0
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        null = batch.column(1).is_null().to_pylist()  # null ids go apart: pandas would turn their list into floats
+        for i, r in enumerate(raw):
+            size += len(r)
+            if i + 1 == len(raw) or blocks[i + 1] != blocks[i] or null[i + 1] != null[i] or size >= BUNDLE:
+                cuts.append(first)
+                sizes.append([len(x) for x in raw[first : i + 1]])
+                blobs.append(packer.compress(b"".join(raw[first : i + 1])))
+                size, first = 0, i + 1
+        ids = pa.ListArray.from_arrays(pa.array([*cuts, len(raw)], pa.int32()), batch.column(1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([blocks[c] for c in cuts], pa.int64()), ids, pa.array(sizes, pa.list_(pa.int32())), pa.array(blobs, pa.binary())], ["block", "ids", "sizes", "texts"]
+        )
+
+
+def _unbundle(rows: pd.DataFrame) -> tuple[list, list[str]]:
+    import zstandard
+
+    ids, texts, unpacker = [], [], zstandard.ZstdDecompressor()
+    for own, sizes, blob in zip(rows["ids"], rows["sizes"], rows["texts"]):
+        raw = unpacker.decompress(blob) if sum(sizes) else b""
+        ids += [None if x is None or x != x else x for x in own]
+        texts += [raw[a:b].decode("utf-8", "surrogatepass") for a, b in pairwise(accumulate(sizes, initial=0))]
+    return ids, texts
+
+
 def _answer(path: str):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         asked = [_unpack(x) for x in rows["words"]]
@@ -120,7 +157,8 @@ def _assemble(path: str, owners: int, digests: bool):
         if not len(rows):
             return pd.DataFrame({"id": [], "n_tokens": [], "a": [], "b": []})
         pieces = state.get("pieces") or state.setdefault("pieces", pieces_of(path))
-        split = [words_of(t) for t in rows["text"]]
+        own, texts = _unbundle(rows)
+        split = [words_of(t) for t in texts]
         asked = by_owner(set().union(*split), owners)
         ids: dict[str, bytes] = {}
         decoded: dict[str, str] = {}
@@ -140,7 +178,7 @@ def _assemble(path: str, owners: int, digests: bool):
             n.append(len(blob) // 4)
             first.append(hashlib.sha256(blob).hexdigest() if digests else blob)
             second.append(hashlib.sha256(text.encode("utf-8")).hexdigest() if digests else text)
-        return pd.DataFrame({"id": rows["id"].to_numpy(), "n_tokens": n, "a": first, "b": second})
+        return pd.DataFrame({"id": pd.Series(own, dtype=object), "n_tokens": n, "a": first, "b": second})
 
     return run
 
@@ -161,7 +199,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     messages = rows.select("block", "text").mapInArrow(_send(owners), "owner int, block long, words binary")
     answers = work.stage(messages.groupBy("owner").applyInPandas(_answer(path), "block long, owner int, sizes binary, ids binary"), "answers")
     a, b = ("string", "string") if digests else ("binary", "string")
-    joined = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_assemble(path, owners, digests), f"id {kind}, n_tokens long, a {a}, b {b}")
+    bundles = rows.mapInArrow(_bundles, f"block long, ids array<{kind}>, sizes array<int>, texts binary")
+    joined = bundles.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_assemble(path, owners, digests), f"id {kind}, n_tokens long, a {a}, b {b}")
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
     return joined.select(F.col("id").alias(id_col), "n_tokens", F.col("a").alias(names[0]), F.col("b").alias(names[1]))
 
