@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, near_dedup, packing, pii, topk, toxicity, warc, word_bpe
+from . import exact_dedup, line_dedup, near_dedup, packing, pii, secrets, topk, toxicity, warc, word_bpe
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pii": pii.op3_pii,
     "op4_word_bpe": word_bpe.op4_word_bpe,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op6_secrets": secrets.op6_secrets,
     "op7_top_k": topk.op7_top_k,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
