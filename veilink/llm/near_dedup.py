@@ -3,12 +3,13 @@
 1. One scan turns each text into its set of word shingles and stages a narrow row: set size, a 128-bit digest of the
    set, and ``COORDINATES`` minwise values. Equal sets form a class; one row stands for each class.
 2. In each of several independent trees a row takes the path that minwise values at randomly chosen coordinates spell.
-   Rows on the same path share a node.
+   Rows on the same path share a node. A node whose rows are all known to be connected is done.
 3. A node of at most ``SMALL`` rows is compared exhaustively, on full sets, once for all trees that formed it.
-4. In a larger node every row is compared with a pivot; rows linked to it need no comparison among themselves. Unless all
-   rows are so linked, the node branches: by the expected 1/threshold branches for each further coordinate, so that a pair
-   at the threshold is expected to stay together in as many nodes as before.
-5. Nodes that no longer get smaller after ``MAX_LEVELS`` are compared exhaustively in chunk pairs.
+4. In a larger node every row is compared with a pivot, and the node branches: by the expected 1/threshold branches for each
+   further coordinate, so that a pair at the threshold is expected to stay together in as many nodes as before.
+   Between levels all links found so far are contracted, so a large group of near copies soon is one label, and only
+   rows outside it are compared further.
+5. Nodes that are still large after ``MAX_LEVELS`` are compared exhaustively in chunk pairs.
 6. Links and classes give connected components.
 
 A pair at the threshold t shares a depth-``START`` node of one tree with probability about t**START; the number of
@@ -29,7 +30,7 @@ from .common import Workspace, table, text_or_empty
 from .components import components
 from .shingles import common, document_words, mix, seeded, shingle_set, signature
 
-COORDINATES, START, SMALL, CHUNK_ROWS, MAX_LEVELS = 64, 2, 24, 256, 12
+COORDINATES, START, SMALL, CHUNK_ROWS, MAX_LEVELS = 64, 2, 64, 32, 12
 _U = np.uint64
 
 
@@ -81,8 +82,8 @@ def _paths(sigs: np.ndarray, nodes: np.ndarray, steps: int) -> np.ndarray:
     return nodes
 
 
-def _out(node: np.ndarray, rep: np.ndarray, label: np.ndarray):
-    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(rep, pa.int64()), pa.array(label, pa.int64())], ["node", "rep", "label"])
+def _out(node: np.ndarray, rep: np.ndarray):
+    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(rep, pa.int64())], ["node", "rep"])
 
 
 def _roots(trees: int):
@@ -92,7 +93,7 @@ def _roots(trees: int):
             sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
             rep = batch.column("rep").to_numpy()
             for seed in seeds:
-                yield _out(_paths(sigs, np.full(len(sigs), seed), START), rep, rep)
+                yield _out(_paths(sigs, np.full(len(sigs), seed), START), rep)
 
     return run
 
@@ -101,35 +102,68 @@ def _branch(threshold: float):
     def run(batches):
         for batch in batches:
             sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            node, rep, label = batch.column("node").to_numpy().view(np.uint64), batch.column("rep").to_numpy(), batch.column("label").to_numpy()
-            steps = np.clip(np.log2(batch.column("n").to_numpy() / SMALL).round(), 1, 6).astype(np.int64)
+            node, rep = batch.column("node").to_numpy().view(np.uint64), batch.column("rep").to_numpy()
+            steps = np.clip(np.log2(batch.column("n").to_numpy() / SMALL).round(), 1, 6)
+            # the node rounds its number of branches up or down by chance, so that the mean is threshold**-steps
+            chance = (mix(node ^ _U(0xBB67AE8584CAA73B)) >> _U(11)).astype(float) / 2**53
+            branches = np.floor(threshold**-steps + chance)
             for s in np.unique(steps):
-                rows = np.flatnonzero(steps == s)
-                for j in range(math.ceil(threshold ** -int(s))):
-                    children = _paths(sigs[rows], mix(node[rows] + _U(j + 1) * _U(0xC2B2AE3D27D4EB4F)), int(s))
-                    yield _out(children, rep[rows], label[rows])
+                for j in range(int(branches[steps == s].max())):
+                    rows = np.flatnonzero((steps == s) & (branches > j))
+                    yield _out(_paths(sigs[rows], mix(node[rows] + _U(j + 1) * _U(0xC2B2AE3D27D4EB4F)), int(s)), rep[rows])
 
     return run
 
 
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of the incidence matrix, some columns at a time."""
+    sizes = np.array([len(x) for x in sets])
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    often = np.bincount(column, minlength=len(values)) > 1
+    place = np.cumsum(often) - 1
+    keep = often[column]
+    column, owner = place[column[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out, width = np.zeros((len(sets), len(sets)), dtype=np.float32), 4096
+    for a in range(0, int(often.sum()), width):
+        i, j = np.searchsorted(column, (a, a + width))
+        part = np.zeros((len(sets), width), dtype=np.float32)
+        part[owner[i:j], column[i:j] - a] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
 def _exhaustive(part: int, whole: int):
     """Links that connect what the node's pairs connect; rows come sorted by node."""
 
     def links(ids, labels, sets):
-        root = {l: l for l in labels}
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for i in range(len(ids)):
-            for j in range(i):
-                a, b = find(labels[i]), find(labels[j])
-                if a != b and similar(sets[i], sets[j], part, whole):
-                    root[a] = b
-                    yield ids[j], ids[i]
+        n = len(ids)
+        if n < 2 or len(set(labels)) < 2:
+            return []
+        if n <= 4:
+            near = np.zeros((n, n), dtype=bool)
+            for i in range(n):
+                for j in range(i):
+                    near[i, j] = near[j, i] = labels[i] != labels[j] and similar(sets[i], sets[j], part, whole)
+        else:
+            both, size = intersections(sets), np.array([len(x) for x in sets])
+            near = whole * both >= part * (size[:, None] + size[None, :] - both)
+        known = np.array(labels)
+        near |= known[:, None] == known[None, :]
+        found, seen = [], np.zeros(n, dtype=bool)
+        for i in range(n):
+            if seen[i]:
+                continue
+            seen[i], edge = True, [i]
+            while edge:
+                k = edge.pop()
+                fresh = np.flatnonzero(near[k] & ~seen)
+                seen[fresh] = True
+                edge += fresh.tolist()
+                found += [(ids[k], ids[j]) for j in fresh if labels[j] != labels[k]]
+        return found
 
     def run(batches):
         now, ids, labels, sets = None, [], [], []
@@ -143,7 +177,7 @@ def _exhaustive(part: int, whole: int):
                 labels.append(label)
                 sets.append(np.frombuffer(blob, np.uint64))
             yield _pairs(found)
-        yield _pairs(list(links(ids, labels, sets)))
+        yield _pairs(links(ids, labels, sets))
 
     return run
 
@@ -171,8 +205,25 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, part: int = 4, whol
     shingle is one shingle, a null, empty or blank text has none and is linked with nothing. ``component_id`` is the
     smallest id that links reach, itself included; equal sets are linked. Rows with null ids take part, with the
     component's smallest id, or null if it has none; kept means that the id is the component's. Other columns
-    are not read. An empty table gives an empty result.
+    are not read. An empty table gives an empty result. ``docs`` is scanned twice and must give the same rows in the
+    same order each time, as files and staged tables do.
+    """
+    return _grouped(docs, shingle_words, part, whole, recall, id_col, text_col).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+
+
+def keep_one(docs: DataFrame, shingle_words: int = 5, part: int = 4, whole: int = 5, recall: float = 0.99999999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input rows and columns, without the rows of each component but one: that with the smallest id, then the first.
+
+    Null ids come last. Texts without shingles all stay.
     """
+    stay = _grouped(docs, shingle_words, part, whole, recall, id_col, text_col).filter("uid = stays").select(F.col("uid").alias("__uid"))
+    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(stay, "__uid", "left_semi").select(*docs.columns)
+
+
+def _grouped(docs: DataFrame, shingle_words: int, part: int, whole: int, recall: float, id_col: str, text_col: str) -> DataFrame:
+    """``uid, id, n, component_id, stays``: stays is the number of the row that represents the component."""
     spark = docs.sparkSession
     work = Workspace(spark, "near-dedup")
     threshold = part / whole
@@ -180,68 +231,72 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, part: int = 4, whol
     kind = rows.schema["id"].dataType.simpleString()
     profiles = work.stage(rows.mapInArrow(_profiles(shingle_words), f"uid long, id {kind}, n long, low long, high long, sig binary"), "profiles")
     classes = work.stage(
-        profiles.filter("n > 0").groupBy("n", "low", "high").agg(F.min("uid").alias("rep"), F.min("id").alias("least")), "classes"
+        profiles.filter("n > 0").groupBy("n", "low", "high").agg(F.min("uid").alias("rep"), F.min(F.struct(F.col("id").isNull().alias("last"), "id", "uid")).alias("least")), "classes"
     )
     heads = profiles.select("uid", "sig").join(classes.select(F.col("rep").alias("uid")), "uid").select(F.col("uid").alias("rep"), "sig")
-    nodes = heads.mapInArrow(_roots(trees_for(recall, threshold)), "node long, rep long, label long")
-    nodes = work.stage(nodes, "nodes", free_shuffle=False)
-    links: list[DataFrame] = []
-    sets = None
+    nodes = work.stage(heads.mapInArrow(_roots(trees_for(recall, threshold)), "node long, rep long"), "nodes", free_shuffle=False)
+    labels = sets = None
     for level in range(MAX_LEVELS + 1):
-        shared = (
-            nodes.groupBy("node").agg(
-                F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(rep))").alias("who"), F.min("label").alias("l0"), F.max("label").alias("l1"),
-                F.expr("min(struct(xxhash64(rep, node), rep)).rep").alias("pivot"),
-            ).filter("n > 1 AND l0 < l1")
-        )
+        rows_ = labelled(nodes, labels)
+        # few different pivots, so that trees which gather the same rows mostly compare the same pairs
+        pivot = F.expr("min(struct(xxhash64(rep, node & 3), rep)).rep").alias("pivot")
+        shared = rows_.groupBy("node").agg(
+            F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(rep))").alias("who"), F.min("label").alias("l0"), F.max("label").alias("l1"), pivot
+        ).filter("n > 1 AND l0 < l1")
         # trees that gather the same rows need one comparison
         shared = shared.groupBy("n", "who").agg(F.min(F.struct("node", "pivot")).alias("x")).select("n", "x.node", "x.pivot")
-        live = work.stage(nodes.join(shared, "node"), "live")
+        live = work.stage(rows_.join(shared, "node"), "live")
         work.drop(nodes)
         if sets is None:
             wanted = live.select(F.col("rep").alias("uid")).distinct()
-            texts = rows.select("uid", "text").join(wanted, "uid")
-            sets = work.stage(texts.mapInArrow(_sets(shingle_words), "rep long, shingles binary"), "sets")
-        small = live.filter(F.col("n") <= SMALL).select("node", "rep", "label")
-        large = live.filter(F.col("n") > SMALL)
+            sets = work.stage(rows.select("uid", "text").join(wanted, "uid").mapInArrow(_sets(shingle_words), "rep long, shingles binary"), "sets")
+        small, large = live.filter(F.col("n") <= SMALL).select("node", "rep", "label"), live.filter(F.col("n") > SMALL)
         last = not large.take(1)
         if level == MAX_LEVELS and not last:
             small, last = small.unionByName(_chunk_pairs(large)), True
-        grouped = small.join(sets, "rep").repartition("node").sortWithinPartitions("node")
-        links.append(work.stage(grouped.mapInArrow(_exhaustive(part, whole), "a long, b long").distinct(), "links"))
+        found = small.join(sets, "rep").repartition("node").sortWithinPartitions("node").mapInArrow(_exhaustive(part, whole), "a long, b long")
+        if not last:
+            pivots = large.filter("rep = pivot").select("node", F.col("label").alias("l"))
+            pairs = large.join(pivots, "node").filter("label <> l").select("pivot", "rep").distinct()
+            stars = sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("pivot_shingles"))
+            found = found.unionByName(pairs.join(sets, "rep").join(stars, "pivot").mapInArrow(_with_pivot(part, whole), "a long, b long"))
+        labels = contracted(work.stage(found.distinct(), "links"), labels, work)
         if last:
             break
-        pairs = large.filter("rep <> pivot").select("pivot", "rep").distinct()
-        pivots = sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("pivot_shingles"))
-        starred = work.stage(pairs.join(sets, "rep").join(pivots, "pivot").mapInArrow(_with_pivot(part, whole), "a long, b long"), "starred")
-        links.append(starred)
-        hit = starred.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), F.col("a").alias("to"))
-        relabelled = large.join(hit, ["pivot", "rep"], "left").select(
-            "node", "n", "rep", F.when(F.col("rep") == F.col("pivot"), F.col("rep")).otherwise(F.coalesce("to", "label")).alias("label")
-        )
-        relabelled = work.stage(relabelled, "relabelled")
-        mixed = relabelled.groupBy("node").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("node")
-        nodes = work.stage(
-            relabelled.join(mixed, "node").join(heads, "rep").select("node", "n", "rep", "label", "sig").mapInArrow(_branch(threshold), "node long, rep long, label long"),
-            "nodes",
-        )
-        work.drop(live, relabelled)
-    every = links[0]
-    for more in links[1:]:
-        every = every.unionByName(more)
-    reached = components(every, work)
-    roots = work.stage(
-        classes.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select("n", "low", "high", "least", F.coalesce("root", "rep").alias("root")), "roots"
-    )
-    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = work.stage(roots.join(least, "root").select("n", "low", "high", "component_id"), "components")
-    return (
-        profiles.select("id", "n", "low", "high").join(of_class, ["n", "low", "high"], "left")
-        .withColumn("component_id", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")))
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+        again = work.stage(labelled(large.select("node", "n", "rep"), labels), "again")
+        mixed = again.groupBy("node").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("node")
+        branching = again.join(mixed, "node").join(heads, "rep").select("node", "n", "rep", "sig")
+        nodes = work.stage(branching.mapInArrow(_branch(threshold), "node long, rep long"), "nodes")
+        work.drop(live, again)
+    roots = work.stage(labelled(classes, labels).withColumnRenamed("label", "root"), "roots")
+    least = roots.groupBy("root").agg(F.min("least").alias("first"))
+    of_class = work.stage(roots.join(least, "root").select("n", "low", "high", F.col("first.id").alias("component_id"), F.col("first.uid").alias("stays")), "components")
+    own = F.col("n") == 0
+    return profiles.select("uid", "id", "n", "low", "high").join(of_class, ["n", "low", "high"], "left").select(
+        "uid", "id", "n", F.when(own, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.when(own, F.col("uid")).otherwise(F.col("stays")).alias("stays")
     )
 
 
+def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows with the label of their ``rep``: itself where no link has reached it."""
+    if labels is None:
+        return rows.withColumn("label", F.col("rep"))
+    return rows.join(labels.withColumnRenamed("label", "known"), "rep", "left").withColumn("label", F.coalesce("known", "rep")).drop("known")
+
+
+def contracted(links: DataFrame, labels: DataFrame | None, work: Workspace) -> DataFrame:
+    """``rep, label`` after new links (``a, b``): components run over labels, not over all links so far."""
+    if labels is None:
+        return work.stage(components(links, work).select(F.col("node").alias("rep"), F.col("root").alias("label")), "labels")
+    a = labelled(links.select(F.col("a").alias("rep"), "b"), labels).select(F.col("label").alias("a"), F.col("b").alias("rep"))
+    ends = work.stage(labelled(a, labels).select("a", F.col("label").alias("b")).filter("a <> b").distinct(), "ends")
+    if not ends.take(1):
+        return labels
+    roots = work.stage(components(ends, work), "contracted")
+    known = labels.unionByName(roots.select(F.col("node").alias("rep"), F.col("node").alias("label"))).groupBy("rep").agg(F.min("label").alias("label"))
+    return work.stage(known.join(roots.withColumnRenamed("node", "label"), "label", "left").select("rep", F.coalesce("root", "label").alias("label")), "labels")
+
+
 def _chunk_pairs(large: DataFrame) -> DataFrame:
     """Rows of large nodes as the small nodes of all pairs of chunks of ``CHUNK_ROWS`` rows."""
     numbered = large.withColumn("chunk", F.expr(f"cast((row_number() OVER (PARTITION BY node ORDER BY rep) - 1) / {CHUNK_ROWS} AS int)"))

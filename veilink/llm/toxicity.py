@@ -321,6 +321,20 @@ def toxicity(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
     )
 
 
+def drop_toxic(docs: DataFrame, net: Network, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The input rows and columns, without the rows that score at least ``threshold``; a null text counts as empty."""
+    position = docs.columns.index(text_col)
+
+    def run(batches):
+        scorer = Scorer(net)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(position).to_pylist()]
+            scores = [scorer(texts[a : a + 500]) for a in range(0, len(texts), 500)]
+            yield batch.take(pa.array(np.flatnonzero(np.concatenate(scores or [np.zeros(0)]) < threshold), pa.int64()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
