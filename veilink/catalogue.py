@@ -1,6 +1,712 @@
-"""Named queries over the standard tables, with their SQL oracles."""
+"""Named queries over the standard tables, with their SQL oracles. Every query reads whole tables.
+
+Record linkage runs on ``part`` against itself (blocks: brand and size), graphs on its distinct names (edges: Dice of
+2-gram sets of at least 0.3), vectors on ``embeddings``.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import bits, hashing
+from .functions import similarity as S
+from .functions.qgrams import qgram_set
+from .functions.scalars import laplace_noise, month_year, prefix_key, soundex_variant
+from .operators import blocking, compare, encode, graph, hardening, match, metrics, prep, regress, transfer
+from .plans import attack
+from .plans.linkage import qgram_matrix
+from .sources.readers import fixed_width, load_records, token_records
+
+M, K, EDGE = 64, 3, 0.3
+THRESHOLDS = [0.3, 0.5, 0.7]
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(f"`{c}`"), digits) for c in columns})
+
+
+# ---- shared relations -------------------------------------------------------------------------------------------
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part").withColumn("blk", F.concat_ws("|", "p_brand", "p_size"))
+    return qgram_matrix(part, part, "p_partkey", "p_name", "blk").filter("id1 < id2")
+
+
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select(F.col("p_name").alias("node")).distinct()
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = names(spark, sf_dir).withColumn("q", qgram_set(F.col("node")))
+    each = n.select("node", F.explode("q").alias("blk_key"))
+    near = blocking.self_pairs(each)
+    x = near.join(n.toDF("node1", "q1"), "node1").join(n.toDF("node2", "q2"), "node2")
+    sim = S.dice(F.size(F.array_intersect("q1", "q2")), F.size("q1"), F.size("q2"))
+    return x.select(F.col("node1").alias("src"), F.col("node2").alias("dst"), F.round(sim, 6).alias("sim")).filter(F.col("sim") >= EDGE)
+
+
+_Q = "list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2)))"
+PAIRS = f"""recs AS (SELECT p_partkey AS id, p_brand || '|' || p_size AS blk, p_name AS nm, {_Q.format('p_name')} AS q FROM part),
+counted AS (SELECT a.id AS id1, b.id AS id2, a.nm AS v1, b.nm AS v2, len(list_intersect(a.q, b.q)) AS h, len(a.q) AS na, len(b.q) AS nb
+  FROM recs a JOIN recs b ON a.blk = b.blk AND a.id < b.id),
+pairs AS (SELECT id1, id2, v1, v2, CASE WHEN na + nb > 0 THEN 2::DOUBLE * h / (na + nb) ELSE 0 END AS dice, CASE WHEN na + nb - h > 0 THEN h::DOUBLE / (na + nb - h) ELSE 0 END AS jaccard,
+  CASE WHEN least(na, nb) > 0 THEN h::DOUBLE / least(na, nb) ELSE 0 END AS overlap, (v1 = v2)::INTEGER AS is_match FROM counted)"""
+EDGES = f"""nodes AS (SELECT p_name AS node, {_Q.format('p_name')} AS q, count(*)::INTEGER AS freq FROM part GROUP BY p_name),
+edges AS (SELECT a.node AS src, b.node AS dst, round(2::DOUBLE * len(list_intersect(a.q, b.q)) / (len(a.q) + len(b.q)), 6) AS sim
+  FROM nodes a JOIN nodes b ON a.node < b.node WHERE len(list_intersect(a.q, b.q)) > 0 AND round(2::DOUBLE * len(list_intersect(a.q, b.q)) / (len(a.q) + len(b.q)), 6) >= {EDGE}),
+near AS (SELECT src AS u, dst AS v, sim FROM edges UNION ALL SELECT dst, src, sim FROM edges)"""
+
+
+def digest_sql(x: str, name: str, m: int) -> str:
+    width, out = {"md5": 32, "sha1": 40, "sha256": 64}[name], "0::BIGINT"
+    for a in range(1, width, 8):
+        out = f"(({out}) * {(1 << 32) % m} + ('0x' || substr({name}({x}), {a}, 8))::BIGINT) % {m}"
+    return out
+
+
+def filters_sql(method: str, m: int = M, k: int = K) -> str:
+    extra = {"double": lambda i: "", "enhanced": lambda i: f" + {(i**3 - i) // 6}", "triple": lambda i: f" + {i * (i - 1) // 2} * h3"}[method]
+    places = ", ".join(f"(h1 + {i} * h2{extra(i)}) % {m}" for i in range(1, k + 1))
+    third = digest_sql("g", "sha256", m) if method == "triple" else "0"
+    return f"""recs AS (SELECT p_partkey AS id, p_name AS nm, p_brand || '|' || p_size AS blk, {_Q.format('p_name')} AS q FROM part),
+grams AS (SELECT id, unnest(q) AS g FROM recs),
+hashes AS (SELECT g, {digest_sql('g', 'sha1', m)} AS h1, {digest_sql('g', 'md5', m)} AS h2, {third} AS h3 FROM (SELECT DISTINCT g FROM grams)),
+places AS (SELECT g, unnest([{places}]) AS p FROM hashes),
+filters AS (SELECT id, list_sort(list_distinct(list(p))) AS pos FROM grams JOIN places USING (g) GROUP BY id)"""
+
+
+def filters(spark: SparkSession, sf_dir: str, method: str = "double") -> DataFrame:
+    part = read(spark, sf_dir, "part")
+    q = qgram_set(F.col("p_name"))
+    if method == "triple":
+        at = lambda g: hashing.hash_positions(g, M, K, "triple", ("sha1", "md5", "sha256"))
+        pos = F.array_sort(F.array_distinct(F.flatten(F.transform(q, at))))
+    else:
+        pos = hashing.filter_positions(q, M, K, method)
+    return part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("nm"), F.concat_ws("|", "p_brand", "p_size").alias("blk"), pos.alias("pos"))
+
+
+def listed(column: str) -> str:
+    return f"array_to_string({column}, ',')"
+
+
+def as_text(column):
+    return F.array_join(F.transform(column, lambda x: x.cast("string")), ",")
+
+
+# ---- comparison matrices ----------------------------------------------------------------------------------------
+
+
+@query("blocked_compare", f"WITH {PAIRS} SELECT id1, id2, round(dice, 6) AS dice, round(jaccard, 6) AS jaccard, round(overlap, 6) AS overlap, is_match FROM pairs")
+def _(spark, d):
+    return rounded(pairs(spark, d), "dice", "jaccard", "overlap")
+
+
+@query(
+    "cross_compare",
+    f"""WITH n AS (SELECT n_nationkey AS id, n_regionkey AS r, {_Q.format('n_name')} AS q FROM nation),
+    g AS (SELECT id, unnest(q) AS g FROM n), h AS (SELECT DISTINCT g, {digest_sql('g', 'sha1', M)} AS h1, {digest_sql('g', 'md5', M)} AS h2 FROM g),
+    p AS (SELECT id, list_distinct(list_concat(list((h1 + h2) % {M}), list((h1 + 2 * h2) % {M}), list((h1 + 3 * h2) % {M}))) AS pos FROM g JOIN h USING (g) GROUP BY id),
+    c AS (SELECT a.id AS id1, b.id AS id2, len(list_intersect(a.pos, b.pos)) AS h, len(a.pos) AS x, len(b.pos) AS y, (na.r = nb.r)::INTEGER AS is_match
+      FROM p a CROSS JOIN p b JOIN n na ON na.id = a.id JOIN n nb ON nb.id = b.id)
+    SELECT id1, id2, round(2::DOUBLE * h / (x + y), 6) AS dice, round(h::DOUBLE / (x + y - h), 6) AS jaccard, round(h::DOUBLE / least(x, y), 6) AS overlap,
+      round(1 - least(x - h, y - h)::DOUBLE / {M}, 6) AS hamming, round(1 - abs(ln(x::DOUBLE) - ln(y::DOUBLE)), 6) AS entropy, is_match FROM c""",
+)
+def _(spark, d):
+    n = read(spark, d, "nation")
+    coded = n.select(F.col("n_nationkey").alias("id"), hashing.filter_positions(qgram_set(F.col("n_name")), M, K).alias("positions"))
+    gold = n.select(F.col("n_nationkey").alias("id1"), "n_regionkey").join(n.select(F.col("n_nationkey").alias("id2"), "n_regionkey"), "n_regionkey").select("id1", "id2")
+    return rounded(compare.compare_all(coded, coded, gold, M), *transfer.METRICS)
+
+
+for _name, _method in (("bloom_double_hash", "double"), ("bloom_enhanced_hash", "enhanced"), ("bloom_triple_hash", "triple")):
+    QUERIES[_name] = lambda spark, d, m=_method: filters(spark, d, m).select("id", F.size("pos").cast("long").alias("n_bits"), as_text("pos").alias("positions"))
+    ORACLES[_name] = f"WITH {filters_sql(_method)} SELECT id, len(pos)::BIGINT AS n_bits, {listed('pos')} AS positions FROM filters"
+
+
+@query(
+    "bloom_similarities",
+    f"""WITH {filters_sql('double')}, c AS (SELECT a.id AS id1, b.id AS id2, len(list_intersect(x.pos, y.pos)) AS h, len(x.pos) AS n1, len(y.pos) AS n2
+      FROM recs a JOIN recs b ON a.blk = b.blk AND a.id < b.id JOIN filters x ON x.id = a.id JOIN filters y ON y.id = b.id)
+    SELECT id1, id2, round(2::DOUBLE * h / (n1 + n2), 6) AS dice, round(h::DOUBLE / (n1 + n2 - h), 6) AS jaccard, round(h::DOUBLE / least(n1, n2), 6) AS overlap,
+      round(1 - least(n1 - h, n2 - h)::DOUBLE / {M}, 6) AS hamming, round(1 - abs(ln(n1::DOUBLE) - ln(n2::DOUBLE)), 6) AS entropy,
+      round(1 - (n1 + n2 - 2 * h)::DOUBLE / {M}, 6) AS bit_hamming, round(greatest(0, 1 - 2 * (n1 + n2 - 2 * h)::DOUBLE / {M}), 6) AS bit_agreement FROM c""",
+)
+def _(spark, d):
+    f = filters(spark, d).withColumn("w0", bits.words(F.col("pos"), M)[0]).select("id", "blk", "w0")
+    x = f.toDF("id1", "blk", "a0").join(f.toDF("id2", "blk", "b0"), "blk").filter("id1 < id2")
+    a, b = [F.col("a0")], [F.col("b0")]
+    h, n1, n2, x_ = bits.both(a, b), bits.popcount(a), bits.popcount(b), bits.different(a, b)
+    values = {"dice": S.dice(h, n1, n2), "jaccard": S.jaccard(h, n1, n2), "overlap": S.overlap(h, n1, n2), "hamming": S.hamming_coefficient(h, n1, n2, M), "entropy": S.entropy_coefficient(n1, n2), "bit_hamming": S.bit_hamming(x_, M), "bit_agreement": S.bit_agreement(x_, M)}
+    return x.select("id1", "id2", *[F.round(c, 6).alias(n) for n, c in values.items()])
+
+
+@query("bloom_xxh64")
+def _(spark, d):
+    return encode.encrypt(read(spark, d, "part"), "p_partkey", ["p_name"], 100).select("id", as_text("positions").alias("positions"), "k")
+
+
+@query("bloom_random_hash")
+def _(spark, d):
+    return encode.encode(read(spark, d, "part"), "p_partkey", encode.EncodeSpec("random", ("p_name",), m=M, k=K)).select("id", as_text("positions").alias("positions"))
+
+
+@query("record_bloom")
+def _(spark, d):
+    return encode.encode(read(spark, d, "part"), "p_partkey", encode.EncodeSpec("rbf", ("p_name", "p_brand"), m=M, k=K)).select("id", as_text("positions").alias("positions"))
+
+
+@query("clk_bloom", f"""WITH g AS (SELECT p_partkey AS id, unnest({_Q.format("lower(trim(p_name))")}) AS g FROM part UNION SELECT p_partkey, unnest({_Q.format("lower(trim(p_brand))")}) FROM part),
+    h AS (SELECT DISTINCT g, {digest_sql('g', 'sha1', M)} AS h1, {digest_sql('g', 'md5', M)} AS h2 FROM g), p AS (SELECT id, unnest([(h1 + h2) % {M}, (h1 + 2 * h2) % {M}, (h1 + 3 * h2) % {M}]) AS p FROM g JOIN h USING (g))
+    SELECT id, {listed('list_sort(list_distinct(list(p)))')} AS positions FROM p GROUP BY id""")
+def _(spark, d):
+    return encode.encode(read(spark, d, "part"), "p_partkey", encode.EncodeSpec("clk", ("p_name", "p_brand"), m=M, k=K)).select("id", as_text("positions").alias("positions"))
+
+
+@query("dynamic_bloom_length", f"WITH recs AS (SELECT {_Q.format('lower(trim(p_name))')} AS q FROM part) SELECT round(avg(len(q)), 6) AS mean_qgrams, round(1 / (1 - pow(0.5, 1 / (10 * avg(len(q))))))::BIGINT AS bits FROM recs")
+def _(spark, d):
+    mean = encode.attribute_means(read(spark, d, "part"), ["p_name"])["p_name"]
+    return spark.createDataFrame([(round(mean, 6), encode.dynamic_length(mean, 10))], "mean_qgrams double, bits long")
+
+
+@query(
+    "hardened_filters",
+    f"""WITH {filters_sql('double')}, f AS (SELECT id, pos, list_filter(pos, lambda p: p < {M // 2}) AS lo, list_transform(list_filter(pos, lambda p: p >= {M // 2}), lambda p: p - {M // 2}) AS hi,
+      list_transform(pos, lambda p: (p + 1) % {M}) AS r, list_transform(pos, lambda p: (p + {M} - 1) % {M}) AS l FROM filters)
+    SELECT id, {listed('list_sort(list_concat(list_filter(lo, lambda p: NOT list_contains(hi, p)), list_filter(hi, lambda p: NOT list_contains(lo, p))))')} AS folded,
+      {listed('list_sort(list_concat(list_filter(l, lambda p: NOT list_contains(r, p)), list_filter(r, lambda p: NOT list_contains(l, p))))')} AS rule90,
+      {M}::BIGINT AS balanced_bits, len(lo)::BIGINT AS first_half FROM f""",
+)
+def _(spark, d):
+    f, p = filters(spark, d), F.col("pos")
+    return f.select("id", as_text(bits.fold(p, M)).alias("folded"), as_text(bits.rule90(p, M)).alias("rule90"), F.size(bits.balanced(p, M, encode.permutation(2 * M, 7))).cast("long").alias("balanced_bits"), F.size(bits.halves(p, M)[0]).cast("long").alias("first_half"))
+
+
+@query("blip_filters")
+def _(spark, d):
+    return filters(spark, d).select("id", as_text(bits.flipped(F.col("pos"), M, 0.1, F.col("id"))).alias("flipped"), as_text(bits.flipped(bits.balanced(F.col("pos"), M), 2 * M, 0.1, F.col("id"))).alias("balanced_flipped"))
+
+
+@query("laplace_similarities")
+def _(spark, d):
+    key = F.concat_ws("|", "id1", "id2")
+    return pairs(spark, d).select("id1", "id2", F.round(laplace_noise(F.col("dice"), 2.0, key), 6).alias("dice"), "is_match")
+
+
+_STEPS = f"""g AS (SELECT list_transform(range(1, length(p_name)), lambda i: substr(p_name, i, 2)) AS g FROM part),
+steps AS (SELECT unnest(list_transform(range(1, len(g)), lambda i: {{'q1': g[i], 'q2': g[i + 1]}})) AS s FROM g WHERE len(g) > 1),
+counts AS (SELECT s.q1 AS q1, s.q2 AS q2, count(*) AS cnt FROM steps GROUP BY ALL),
+model AS (SELECT q1, q2, cnt, cnt / sum(cnt) OVER (PARTITION BY q1) AS prob, row_number() OVER (PARTITION BY q1 ORDER BY cnt DESC, q2)::INTEGER AS rnk FROM counts)"""
+
+
+@query("markov_qgrams", f"WITH {_STEPS} SELECT q1, q2, cnt, round(prob::DOUBLE, 6) AS prob, rnk FROM model")
+def _(spark, d):
+    return rounded(hardening.transitions(read(spark, d, "part"), "p_name"), "prob")
+
+
+@query(
+    "markov_expand",
+    f"""WITH {_STEPS}, q AS (SELECT p_partkey AS id, unnest({_Q.format('p_name')}) AS q1 FROM part)
+    SELECT p_partkey AS id, coalesce(e.extra, '') AS extra FROM part LEFT JOIN (SELECT id, array_to_string(list_sort(list_distinct(list(q2))), ',') AS extra FROM q JOIN model USING (q1) WHERE rnk <= 2 GROUP BY id) e ON e.id = p_partkey""",
+)
+def _(spark, d):
+    part = read(spark, d, "part").withColumn("q", qgram_set(F.col("p_name")))
+    return hardening.expand(part, "p_partkey", "q", hardening.transitions(part, "p_name")).select("id", F.array_join("extra", ",").alias("extra"))
+
+
+@query(
+    "two_step_hash_mod",
+    f"""WITH g AS (SELECT p_partkey AS id, unnest({_Q.format('p_name')}) AS g FROM part), c AS (SELECT DISTINCT id, r, {digest_sql("(g || '#' || r)", 'sha1', 50)} AS c FROM g, range(3) t(r)),
+    w AS (SELECT id, c, string_agg(r::VARCHAR, ',' ORDER BY r) AS rows FROM c GROUP BY id, c), v AS (SELECT id, {digest_sql("(c || ':' || rows)", 'md5', 100003)} AS code FROM w)
+    SELECT id, {listed('list_sort(list_distinct(list(code)))')} AS codes FROM v GROUP BY id""",
+)
+def _(spark, d):
+    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), as_text(encode.two_step_mod(qgram_set(F.col("p_name")), 3, 50, 100003)).alias("codes"))
+
+
+@query("two_step_hash_png")
+def _(spark, d):
+    return encode.encode(read(spark, d, "part"), "p_partkey", encode.EncodeSpec("two-step", ("p_name",), m=50, k=5)).select("id", as_text("codes").alias("codes"))
+
+
+@query("tab_minhash")
+def _(spark, d):
+    return encode.encode(read(spark, d, "part"), "p_partkey", encode.EncodeSpec("tab", ("p_name",), m=M)).select("id", as_text("positions").alias("positions"))
+
+
+# ---- blocking ---------------------------------------------------------------------------------------------------
+
+
+
+def soundex_sql(x: str) -> str:
+    out = f"substr(lower({x}), 1, 1) || translate(regexp_replace(substr(lower({x}), 2), '[^bcdfgjklmnpqrstvxz]', '', 'g'), 'bfpvcgjkqsxzdtlmnr', '111122222222334556')"
+    for digit in "123456":
+        out = f"regexp_replace({out}, '{digit}+', '{digit}', 'g')"
+    return f"CASE WHEN length({x}) = 0 THEN 'z000' ELSE rpad(substr({out}, 1, 4), 4, '0') END"
+
+
+@query("soundex_blocks", f"SELECT p_partkey AS id, {soundex_sql('p_name')} AS blk_key FROM part")
+def _(spark, d):
+    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), soundex_variant(F.col("p_name")).alias("blk_key"))
+
+
+@query("prefix_blocks", "SELECT c_custkey AS id, substr(c_mktsegment, 1, 2) || substr(c_nationkey::VARCHAR, 1, 2) AS blk_key FROM customer")
+def _(spark, d):
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("id"), prefix_key([F.col("c_mktsegment"), F.col("c_nationkey")], 2).alias("blk_key"))
+
+
+@query(
+    "block_stats",
+    """WITH s AS (SELECT count(*) AS n FROM customer GROUP BY substr(c_mktsegment, 1, 2) || substr(c_nationkey::VARCHAR, 1, 2))
+    SELECT count(*) AS blocks, min(n) AS least, round(avg(n), 6) AS mean, round(median(n)::DOUBLE, 6) AS median, max(n) AS largest, sum(n * (n - 1) // 2)::BIGINT AS pairs, sum(n)::BIGINT AS rows,
+      round(1 - sum(n * (n - 1) // 2)::DOUBLE / (sum(n)::DOUBLE * (sum(n) - 1) / 2), 6) AS reduction FROM s""",
+)
+def _(spark, d):
+    return rounded(blocking.block_statistics(blocking.prefix_blocks(read(spark, d, "customer"), ["c_mktsegment", "c_nationkey"], 2)), "mean", "median", "reduction")
+
+
+@query("minhash_bands")
+def _(spark, d):
+    n = names(spark, d).withColumn("q", qgram_set(F.col("node")))
+    return blocking.minhash_blocks(n, "node", "q", 2, 10)
+
+
+_SAMPLES = blocking.sample_positions(M, 6, 4, 7)
+
+
+@query("hamming_lsh_blocks", f"WITH {filters_sql('double')} " + " UNION ALL ".join(f"SELECT '{i}:' || " + " || ".join(f"list_contains(pos, {p})::INTEGER::VARCHAR" for p in sample) + " AS blk_key, id AS node FROM filters" for i, sample in enumerate(_SAMPLES)))
+def _(spark, d):
+    return blocking.hamming_blocks(filters(spark, d), "id", "pos", _SAMPLES)
+
+
+_PLANES = [[round(x, 3) for x in p] for p in blocking.hyperplanes(64, 16, 5)]
+_SIM = [[0, 3, 6, 9, 12, 15], [1, 4, 7, 10, 13, 14], [2, 5, 8, 11, 0, 15]]
+
+
+def simhashed(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").alias("v"), blocking.simhash_bits([F.col("embedding")[i].cast("double") for i in range(64)], _PLANES).alias("positions"))
+
+
+SIMHASH = "coded AS (SELECT vec_id AS node, embedding AS v, list_filter([" + ", ".join(
+    f"CASE WHEN {' + '.join(f'embedding[{i + 1}]::DOUBLE * ({w}::DOUBLE)' for i, w in enumerate(plane))} >= 0 THEN {k} END" for k, plane in enumerate(_PLANES)) + "], lambda x: x IS NOT NULL) AS pos FROM embeddings)"
+_SIMBLOCKS = "blocks AS (" + " UNION ALL ".join(f"SELECT '{i}:' || " + " || ".join(f"list_contains(pos, {p})::INTEGER::VARCHAR" for p in s) + " AS k, node FROM coded" for i, s in enumerate(_SIM)) + ")"
+
+
+@query("simhash_bits", f"WITH {SIMHASH} SELECT node, {listed('pos')} AS positions FROM coded")
+def _(spark, d):
+    return simhashed(spark, d).select("node", as_text("positions").alias("positions"))
+
+
+@query("cosine_pairs", """WITH c AS (SELECT a.vec_id AS id1, b.vec_id AS id2, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id),
+    s AS (SELECT id1, id2, list_inner_product(x, y) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(y, y))) AS c, list_distance(x, y) AS e FROM c)
+    SELECT id1, id2, round(c, 4) AS cosine, round(1 - acos(greatest(least(c, 1.0), -1.0)) / pi(), 4) AS angular, round(e, 4) AS euclid FROM s""")
+def _(spark, d):
+    v = read(spark, d, "embeddings")
+    x = v.select("label", F.col("vec_id").alias("id1"), F.col("embedding").alias("a")).join(v.select("label", F.col("vec_id").alias("id2"), F.col("embedding").alias("b")), "label").filter("id1 < id2")
+    c = S.cosine(F.col("a"), F.col("b"))
+    return x.select("id1", "id2", F.round(c, 4).alias("cosine"), F.round(S.angular(c), 4).alias("angular"), F.round(S.euclid(F.col("a"), F.col("b")), 4).alias("euclid"))
+
+
+@query("lsh_compare_all", f"""WITH {SIMHASH}, {_SIMBLOCKS}, p AS (SELECT DISTINCT a.node AS qg, b.node AS ba FROM blocks a JOIN blocks b USING (k))
+    SELECT qg, ba, round(1 - (len(x.pos) + len(y.pos) - 2 * len(list_intersect(x.pos, y.pos)))::DOUBLE / 16, 6) AS sim FROM p JOIN coded x ON x.node = qg JOIN coded y ON y.node = ba
+    WHERE 1 - (len(x.pos) + len(y.pos) - 2 * len(list_intersect(x.pos, y.pos)))::DOUBLE / 16 >= 0.75""")
+def _(spark, d):
+    coded = simhashed(spark, d)
+    b = blocking.hamming_blocks(coded, "node", "positions", _SIM).join(coded.select("node", "positions"), "node")
+    return rounded(match.compare_blocks(b, b, 16, 0.75), "sim")
+
+
+# ---- preparation and profiling ----------------------------------------------------------------------------------
+
+
+@query("profile_columns", "SELECT * FROM (" + " UNION ALL ".join(f"""SELECT '{c}' AS variable, count({c}) AS count, count(DISTINCT {c}) AS "unique",
+    (SELECT {c}::VARCHAR FROM customer WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c}::VARCHAR LIMIT 1) AS top, (SELECT count(*) FROM customer WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC LIMIT 1) AS freq, count(*) - count({c}) AS missing FROM customer""" for c in ("c_name", "c_mktsegment", "c_nationkey")) + ")")
+def _(spark, d):
+    return prep.profile(read(spark, d, "customer"), ["c_name", "c_mktsegment", "c_nationkey"])
+
+
+@query("missing_counts", " UNION ALL ".join(f"SELECT '{c}' AS variable, count(*) FILTER ({c} IS NULL OR {c} IN ('', 'nan')) AS missing, count(DISTINCT {c}) FILTER ({c} NOT IN ('', 'nan')) AS \"unique\" FROM documents" for c in ("text", "lang", "source")))
+def _(spark, d):
+    return prep.missing_and_unique(read(spark, d, "documents"), ["text", "lang", "source"])
+
+
+@query("unique_ratio", " UNION ALL ".join(f"SELECT '{c}' AS variable, round(count(DISTINCT {c})::DOUBLE / count({c}), 6) AS ratio FROM part" for c in ("p_size", "p_retailprice")))
+def _(spark, d):
+    return rounded(prep.unique_ratio(read(spark, d, "part"), ["p_size", "p_retailprice"]), "ratio")
+
+
+@query("divergence", """WITH a AS (SELECT l_orderkey AS k, min(l_returnflag) AS f, min(l_linestatus) AS s FROM lineitem GROUP BY 1),
+    b AS (SELECT o_orderkey AS k, o_orderpriority AS f, o_orderstatus AS s FROM orders), c AS (SELECT sum((a.f <> b.f)::INTEGER)::BIGINT AS f, sum((a.s <> b.s)::INTEGER)::BIGINT AS s FROM a JOIN b USING (k))
+    SELECT 'f' AS variable, f AS different FROM c UNION ALL SELECT 's', s FROM c""")
+def _(spark, d):
+    a = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.min("l_returnflag").alias("f"), F.min("l_linestatus").alias("s")).withColumn("o", F.lit(1))
+    b = read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("f"), F.col("o_orderstatus").alias("s"), F.lit(1).alias("o"))
+    return prep.divergences(a, b, "k", ["f", "s"], "o")
+
+
+@query("gold_duplicates", "SELECT 'l_orderkey' AS key, coalesce(sum(n), 0)::BIGINT AS duplicates FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1) UNION ALL SELECT 'l_partkey', coalesce(sum(n), 0)::BIGINT FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey HAVING count(*) > 1)")
+def _(spark, d):
+    return prep.duplicate_counts(read(spark, d, "lineitem"), ["l_orderkey", "l_partkey"])
+
+
+@query("dedup_first", "SELECT l_partkey, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) = 1")
+def _(spark, d):
+    return prep.first_per_key(read(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber"), ["l_partkey"], ["l_orderkey", "l_linenumber"])
+
+
+@query("last_duplicates", "SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey HAVING count(*) > 1")
+def _(spark, d):
+    return prep.last_duplicates(read(spark, d, "orders"), "o_custkey", "o_orderkey", "o_orderkey")
+
+
+@query("split_wide_pairs", "SELECT 'left' AS side, l_orderkey AS id, l_returnflag AS a FROM lineitem UNION ALL SELECT 'right', l_partkey, l_linestatus FROM lineitem UNION ALL SELECT 'gold', l_orderkey, l_partkey::VARCHAR FROM lineitem WHERE l_returnflag = 'R'")
+def _(spark, d):
+    wide = read(spark, d, "lineitem").withColumn("gold", (F.col("l_returnflag") == "R").cast("int"))
+    left, right, gold = prep.split_labelled_pairs(wide, "l_orderkey", "l_partkey", {"l_returnflag": "a"}, {"l_linestatus": "a"}, "gold")
+    return left.select(F.lit("left").alias("side"), "id", "a").unionByName(right.select(F.lit("right").alias("side"), "id", "a")).unionByName(gold.select(F.lit("gold").alias("side"), F.col("id1").alias("id"), F.col("id2").cast("string").alias("a")))
+
+
+@query("recode_labels", "SELECT l_orderkey, l_linenumber AS tag, CASE WHEN l_linenumber IN (1, 2) THEN 1 ELSE 0 END AS is_match FROM lineitem WHERE l_linenumber <> 3")
+def _(spark, d):
+    return prep.recode_gold(read(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("tag")))
+
+
+@query("unpivot_metrics", f"WITH {PAIRS}, l AS (UNPIVOT (SELECT id1, id2, dice, jaccard FROM pairs) ON dice, jaccard INTO NAME variable VALUE value) SELECT id1, id2, variable, round(value, 6) AS value FROM l")
+def _(spark, d):
+    return rounded(pairs(spark, d).unpivot(["id1", "id2"], ["dice", "jaccard"], "variable", "value"), "value")
+
+
+@query("exclusion_list", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def _(spark, d):
+    return prep.without_ids(read(spark, d, "customer").select("c_custkey", "c_name"), read(spark, d, "orders"), "c_custkey", "o_custkey")
+
+
+@query("common_entities", "SELECT DISTINCT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def _(spark, d):
+    return prep.with_ids(read(spark, d, "customer").select("c_custkey", "c_name"), read(spark, d, "orders"), "c_custkey", "o_custkey")
+
+
+def _draw(pool: str, n: int, seed: str) -> str:
+    return f"(SELECT id FROM {pool} ORDER BY md5(id || '|{seed}'), id LIMIT {n})"
+
+
+@query("sample_linkage_sets", f"""WITH a AS (SELECT DISTINCT c_custkey AS id FROM customer), b AS (SELECT DISTINCT o_custkey AS id FROM orders UNION SELECT s_suppkey + 1000000 FROM supplier),
+    both_ AS (SELECT id FROM a INTERSECT SELECT id FROM b), xa AS (SELECT id FROM a EXCEPT SELECT id FROM b), xb AS (SELECT id FROM b EXCEPT SELECT id FROM a),
+    m AS {_draw('both_', 10, 's')}, ra AS {_draw('xa', 30, 'sa')}, rb AS {_draw('xb', 30, 'sb')}
+    SELECT 'a' AS side, id FROM m UNION ALL SELECT 'a', id FROM ra UNION ALL SELECT 'b', id FROM m UNION ALL SELECT 'b', id FROM rb""")
+def _(spark, d):
+    a = read(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    b = read(spark, d, "orders").select(F.col("o_custkey").alias("id")).unionByName(read(spark, d, "supplier").select((F.col("s_suppkey") + 1000000).alias("id")))
+    return prep.linkage_sample(a, b, "id", 40, 0.25)
+
+
+@query("token_records", "SELECT c_custkey::VARCHAR AS id, CASE WHEN c_nationkey % 2 = 1 THEN 'Female' ELSE 'Male' END AS gender, c_mktsegment AS lastname, c_name AS firstname, c_nationkey::VARCHAR AS city FROM customer")
+def _(spark, d):
+    line = F.concat_ws(";", F.col("c_custkey").cast("string"), F.concat(F.lit("F_"), "c_name"), F.concat(F.lit("L_"), "c_mktsegment"), F.concat(F.lit("G_"), F.col("c_nationkey") % 2), F.concat(F.lit("PP1_"), "c_nationkey"))
+    return token_records(read(spark, d, "customer").select(line.alias("value"))).select("id", "gender", "lastname", "firstname", "city")
+
+
+@query("fixed_width_records", "SELECT s_suppkey::VARCHAR AS id, trim(substr(s_name, 1, 20)) AS name FROM supplier")
+def _(spark, d):
+    line = F.concat(F.rpad(F.col("s_suppkey").cast("string"), 10, " "), F.rpad(F.col("s_name"), 20, " "))
+    return fixed_width(read(spark, d, "supplier").select(line.alias("value")), (10, 20), ("id", "name"))
+
+
+@query("load_records", "SELECT min(c_custkey)::VARCHAR AS ent_id, lower(trim(c_mktsegment)) || ',' || c_nationkey AS attrs FROM customer GROUP BY lower(trim(c_mktsegment)), c_nationkey")
+def _(spark, d):
+    return load_records(read(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), "c_custkey", ["c_mktsegment", "c_nationkey"], unique=True, order_col="c_custkey").select("ent_id", F.array_join("attrs", ",").alias("attrs"))
+
+
+@query("month_year", "SELECT o_orderkey, month(o_orderdate) || '/' || year(o_orderdate) AS my FROM orders")
+def _(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", month_year(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("my"))
+
+
+@query("record_multiplicity", "SELECT times, count(*) AS records FROM (SELECT count(*) AS times FROM part GROUP BY p_name) GROUP BY times")
+def _(spark, d):
+    return prep.multiplicity(read(spark, d, "part"), ["p_name"])
+
+
+@query("max_record_length", "SELECT (max(length(p_name)) + max(length(p_type)))::BIGINT AS max_length FROM part")
+def _(spark, d):
+    return prep.max_record_length(read(spark, d, "part"), ["p_name", "p_type"])
+
+
+@query("text_similarity", f"""WITH {PAIRS}, t AS (SELECT id1, id2, v1, v2, length(v1) AS n1, length(v2) AS n2,
+      (SELECT coalesce(sum(least(x.n, y.n)), 0) FROM (SELECT c, count(*) AS n FROM (SELECT unnest(string_split(v1, '')) AS c) GROUP BY c) x JOIN (SELECT c, count(*) AS n FROM (SELECT unnest(string_split(v2, '')) AS c) GROUP BY c) y USING (c)) AS both_,
+      len(list_filter(range(1, least(length(v1), length(v2)) + 1), lambda i: substr(v1, i, 1) = substr(v2, i, 1))) AS same FROM pairs)
+    SELECT id1, id2, round(same::DOUBLE / greatest(n1, n2), 6) AS hamming, round(both_::DOUBLE / (n1 + n2 - both_), 6) AS jaccard, round((greatest(n1, n2) - levenshtein(v1, v2))::DOUBLE / greatest(n1, n2), 6) AS levenshtein,
+      round(both_::DOUBLE / least(n1, n2), 6) AS overlap, round(2 * both_::DOUBLE / (n1 + n2), 6) AS sorensen FROM t""")
+def _(spark, d):
+    part = read(spark, d, "part").select("p_partkey", "p_name", F.concat_ws("|", "p_brand", "p_size").alias("blk"))
+    x = part.toDF("id1", "v1", "blk").join(part.toDF("id2", "v2", "blk"), "blk").filter("id1 < id2").select("id1", "id2", "v1", "v2")
+    cols = ["hamming", "jaccard", "levenshtein", "overlap", "sorensen"]
+    return rounded(compare.text_similarity(x, "v1", "v2"), *cols).select("id1", "id2", *cols)
+
+
+# ---- classification ---------------------------------------------------------------------------------------------
+
+
+@query("domain_antijoin", "SELECT c_custkey AS id, c_nationkey AS nation, c_acctbal / 1000 AS balance FROM customer c WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s_nationkey = c_nationkey AND round_even(s_acctbal / 1000, 0) = round_even(c_acctbal / 1000, 0))")
+def _(spark, d):
+    target = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), (F.col("c_acctbal") / 1000).alias("balance"))
+    source = read(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), (F.col("s_acctbal") / 1000).alias("balance"))
+    return transfer.without_known(target, source, ["nation", "balance"], 0)
+
+
+@query("balance_training", f"WITH {PAIRS}, k AS (SELECT (sum(is_match) * 0.8 / 0.2)::DOUBLE AS k FROM pairs), r AS (SELECT *, row_number() OVER (ORDER BY dice DESC, id1, id2) AS n FROM pairs WHERE is_match = 0) SELECT id1, id2, is_match FROM r, k WHERE n <= floor(k + 1e-9) UNION ALL SELECT id1, id2, is_match FROM pairs WHERE is_match = 1")
+def _(spark, d):
+    p = pairs(spark, d).withColumn("pp", F.col("dice"))
+    return transfer.balanced(p, p.filter("is_match = 1").count(), 0.2).select("id1", "id2", "is_match")
+
+
+def quality_sql(source: str, score: str = "dice") -> str:
+    return f"""c AS (SELECT threshold, count(*) FILTER ({score} > threshold AND is_match = 1) AS tp, count(*) FILTER ({score} > threshold AND is_match = 0) AS fp, count(*) FILTER ({score} <= threshold AND is_match = 1) AS fn,
+      count(*) FILTER ({score} <= threshold AND is_match = 0) AS tn FROM {source}, (SELECT unnest({THRESHOLDS}::DOUBLE[]) AS threshold) GROUP BY threshold),
+    q AS (SELECT threshold, round(CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END, 6) AS recall,
+      round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp::DOUBLE / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1, round((tp + tn)::DOUBLE / (tp + tn + fp + fn), 6) AS accuracy, tn + fn AS predicted_0, tp + fp AS predicted_1, tn + fp AS actual_0, tp + fn AS actual_1 FROM c)"""
+
+
+_RATIOS = ("precision", "recall", "f1", "accuracy")
+
+
+@query("threshold_metrics", f"WITH {PAIRS}, {quality_sql('pairs')} SELECT * FROM q")
+def _(spark, d):
+    return rounded(metrics.threshold_quality(pairs(spark, d), "dice", "is_match", THRESHOLDS), *_RATIOS)
+
+
+@query("best_threshold", f"WITH {PAIRS}, {quality_sql('pairs')} SELECT * FROM q ORDER BY f1 DESC, threshold LIMIT 1")
+def _(spark, d):
+    return rounded(metrics.best_threshold(pairs(spark, d), "dice", "is_match", THRESHOLDS), *_RATIOS)
+
+
+@query("label_counts", f"WITH {PAIRS} SELECT is_match AS label, count(*) AS n FROM pairs GROUP BY is_match")
+def _(spark, d):
+    return metrics.label_counts(pairs(spark, d), "is_match")
+
+
+@query("coral_covariance", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT 'x{i}' AS a, 'x{j}' AS b, round(covar_samp(embedding[{i + 1}]::DOUBLE, embedding[{j + 1}]::DOUBLE), 6) AS covariance FROM embeddings" for i in range(5) for j in range(i, 5)) + ")")
+def _(spark, d):
+    v = read(spark, d, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(5)])
+    return rounded(transfer.covariance(v, [f"x{i}" for i in range(5)]), "covariance")
+
+
+def matrix(spark: SparkSession, d: str) -> DataFrame:
+    """A comparison matrix with all five metrics."""
+    f = filters(spark, d).select("id", "blk", F.col("pos").alias("positions"), "nm")
+    x = f.toDF("id1", "blk", "pos_a", "nm1").join(f.toDF("id2", "blk", "pos_b", "nm2"), "blk").filter("id1 < id2")
+    return x.select("id1", "id2", *[c.alias(n) for n, c in compare.five_similarities(M).items()], (F.col("nm1") == F.col("nm2")).cast("int").alias("is_match"))
+
+
+@query("coral_adapt")
+def _(spark, d):
+    m = matrix(spark, d)
+    return rounded(transfer.coral(m, m.withColumn("dice", F.col("dice") * 0.5), transfer.METRICS), *transfer.METRICS)
+
+
+@query("transfer_variants")
+def _(spark, d):
+    m = matrix(spark, d)
+    target = m.withColumns({c: F.greatest(F.lit(0.0), F.col(c) - 0.05) for c in transfer.METRICS})
+    return transfer.transfer(m, target, share=0.2)
+
+
+@query("source_bound")
+def _(spark, d):
+    m = matrix(spark, d)
+    out = transfer.source_bound(m, m.withColumn("dice", F.col("dice") * 0.9))
+    return spark.createDataFrame([tuple(round(out[k], 6) for k in sorted(out))], ", ".join(f"{k} double" for k in sorted(out)))
+
+
+@query("sim_regression", f"WITH {PAIRS} SELECT round(regr_slope(jaccard, dice), 6) AS slope, round(regr_intercept(jaccard, dice), 6) AS intercept, round(regr_r2(jaccard, dice), 6) AS r2 FROM pairs")
+def _(spark, d):
+    return rounded(regress.simple_line(pairs(spark, d), "dice", "jaccard"), "slope", "intercept", "r2")
+
+
+@query("sim_bins", f"""WITH {PAIRS}, b AS (SELECT least(9, floor((1.0 - dice) * 10 + 1e-9))::INTEGER AS k, jaccard - dice AS x FROM pairs), g AS (SELECT k, avg(x) AS mean, count(*) AS n FROM b GROUP BY k)
+    SELECT round(1.0 - r / 10.0::DOUBLE, 6) AS upper, round(coalesce(mean, 0), 6) AS mean, coalesce(n, 0) AS n FROM range(10) t(r) LEFT JOIN g ON g.k = r WHERE r >= (SELECT min(k) FROM g)""")
+def _(spark, d):
+    return rounded(regress.binned_difference(pairs(spark, d), "dice", "jaccard"), "mean")
+
+
+@query("sim_classes", f"WITH {PAIRS} SELECT sim_class, count(*) AS n FROM (SELECT CASE WHEN dice <= 0 OR dice > 1 THEN 'None' " + " ".join(f"WHEN dice <= {i / 10}::DOUBLE THEN '{i - 1}-{i}'" for i in range(1, 11)) + " END AS sim_class FROM pairs) GROUP BY sim_class")
+def _(spark, d):
+    return pairs(spark, d).groupBy(regress.similarity_class(F.col("dice")).alias("sim_class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sim_class_sample")
+def _(spark, d):
+    return rounded(regress.sample_per_class(pairs(spark, d), "dice", ["id1", "id2"], 50), "dice", "jaccard", "overlap")
+
+
+@query("sim_models")
+def _(spark, d):
+    p, out = pairs(spark, d), None
+    for kind in ("linear", "isotonic", "poly"):
+        made = regress.SimilarityModel(kind).fit(p, ["dice"], "jaccard").predict(p)
+        row = regress.regression_quality(made, "adjusted", "jaccard").withColumn("kind", F.lit(kind))
+        out = row if out is None else out.unionByName(row)
+    return rounded(out, "explained", "least", "largest", "mean", "deviation", "mse", "msle", "r2")
+
+
+@query("cosine_histogram")
+def _(spark, d):
+    return regress.cosine_histogram(pairs(spark, d), "dice", "is_match", ["id1", "id2"], 3, 2)
+
+
+# ---- graphs -----------------------------------------------------------------------------------------------------
+
+
+@query("graph_nodes", "SELECT p_name AS node, array_to_string(list_sort(list_distinct(list(p_partkey::VARCHAR))), ',') AS ent_ids, count(DISTINCT p_partkey)::INTEGER AS freq FROM part GROUP BY p_name")
+def _(spark, d):
+    part = read(spark, d, "part").withColumn("vals", F.array("p_name"))
+    return graph.graph_nodes(part, "p_name", "p_partkey", "vals").select("node", F.array_join("ent_ids", ",").alias("ent_ids"), "freq")
+
+
+@query("graph_edges", f"WITH {EDGES} SELECT src, dst, sim FROM edges")
+def _(spark, d):
+    return edges(spark, d)
+
+
+@query("graph_overlap", f"WITH {EDGES}, e AS (SELECT * FROM edges WHERE sim >= 0.4), p AS (SELECT * FROM edges WHERE sim <= 0.6) SELECT (SELECT count(*) FROM e JOIN p USING (src, dst)) AS common, (SELECT count(*) FROM p ANTI JOIN e USING (src, dst)) AS plain_only, (SELECT count(*) FROM e ANTI JOIN p USING (src, dst)) AS encoded_only")
+def _(spark, d):
+    e = edges(spark, d)
+    return graph.edge_overlap(e.filter("sim <= 0.6"), e.filter("sim >= 0.4"))
+
+
+@query("edge_differences", f"""WITH {EDGES}, b AS (SELECT sim AS p, round(sim * sim, 6) AS e, threshold FROM edges, (SELECT unnest({THRESHOLDS}::DOUBLE[]) AS threshold)), x AS (SELECT threshold, p - e AS x FROM b WHERE p >= threshold OR e >= threshold)
+    SELECT threshold, round(min(x), 6) AS least, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS deviation, round(median(x), 6) AS median, round(max(x), 6) AS largest, count(*) AS edges FROM x GROUP BY threshold""")
+def _(spark, d):
+    e = edges(spark, d)
+    return rounded(graph.difference_statistics(e, e.withColumn("sim", F.round(F.col("sim") * F.col("sim"), 6)), THRESHOLDS), "least", "mean", "deviation", "median", "largest")
+
+
+@query("degree_histogram", f"WITH {EDGES}, g AS (SELECT threshold, u, count(*) AS degree FROM near, (SELECT unnest({THRESHOLDS}::DOUBLE[]) AS threshold) WHERE sim >= threshold GROUP BY threshold, u) SELECT threshold, degree, count(*) AS nodes FROM g GROUP BY threshold, degree")
+def _(spark, d):
+    return graph.degree_histogram(edges(spark, d), THRESHOLDS)
+
+
+def nodes_of(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part").groupBy(F.col("p_name").alias("node")).agg(F.count(F.lit(1)).alias("freq"))
+
+
+@query("node_basic_features", f"""WITH {EDGES}, m AS (SELECT count(DISTINCT u) AS n FROM near WHERE sim >= 0.5)
+    SELECT node, freq::DOUBLE AS node_freq, coalesce(max(sim), 0) AS max_sim, coalesce(min(sim) FILTER (sim >= 0.5), 0) AS min_sim, round(coalesce(avg(sim) FILTER (sim >= 0.5), 0), 6) AS sim_avr,
+      round(coalesce(stddev_pop(sim) FILTER (sim >= 0.5), 0), 6) AS sim_std, count(sim) FILTER (sim >= 0.5)::DOUBLE AS degree,
+      round(CASE WHEN any_value(m.n) > 1 THEN 2 * count(sim) FILTER (sim >= 0.5)::DOUBLE / (any_value(m.n) - 1) ELSE 0 END, 6) AS degree_central FROM nodes LEFT JOIN near ON u = node CROSS JOIN m GROUP BY node, freq""")
+def _(spark, d):
+    f = graph.basic_features(nodes_of(spark, d), edges(spark, d), [0.5])
+    plain = f.select("node", "node_freq", "max_sim", *[F.col(f"`{n}-0.50`").alias(n) for n in ("min_sim", "sim_avr", "sim_std", "degree", "degree_central")])
+    return rounded(plain, "sim_avr", "sim_std", "degree_central")
+
+
+@query("egonet", f"""WITH {EDGES}, k AS (SELECT u, v FROM near WHERE sim >= 0.5), dg AS (SELECT u, count(*) AS d FROM near GROUP BY u),
+    o AS (SELECT k.u, n.v AS w FROM k JOIN near n ON n.u = k.v WHERE n.v <> k.u), x AS (SELECT o.u, count(*) FILTER (q.v IS NULL) AS leaving, count(q.v) / 2 AS inside FROM o LEFT JOIN k q ON q.u = o.u AND q.v = o.w GROUP BY o.u),
+    s AS (SELECT u, count(*) AS n FROM k GROUP BY u), h AS (SELECT k.u, count(*) FILTER (floor(log2(d) + 1e-12) = 0)::DOUBLE AS h0, count(*) FILTER (floor(log2(d) + 1e-12) = 1)::DOUBLE AS h1 FROM k JOIN dg ON dg.u = k.v GROUP BY k.u)
+    SELECT dg.u AS node, coalesce(leaving, 0)::DOUBLE AS egonet_degree, round(coalesce((n + coalesce(inside, 0)) / (n * (n + 1) / 2), 0), 6) AS egonet_density, coalesce(h0, 0) AS histo_b0, coalesce(h1, 0) AS histo_b1
+    FROM dg LEFT JOIN x USING (u) LEFT JOIN s USING (u) LEFT JOIN h USING (u)""")
+def _(spark, d):
+    f = graph.neighbourhood_features(edges(spark, d), 0.5, 4)
+    return rounded(f.select("node", F.col("`egonet_degree-0.50`").alias("egonet_degree"), F.col("`egonet_density-0.50`").alias("egonet_density"), F.col("`degree_histo1-b0-0.50`").alias("histo_b0"), F.col("`degree_histo1-b1-0.50`").alias("histo_b1")), "egonet_density")
+
+
+_REACH = "reach AS (SELECT DISTINCT u AS node, u AS r FROM near WHERE sim >= 0.6 UNION SELECT n.u, reach.r FROM reach JOIN near n ON n.v = reach.node AND n.sim >= 0.6)"
+
+
+@query("components", f"WITH RECURSIVE {EDGES}, {_REACH} SELECT node, min(r) AS component FROM reach GROUP BY node")
+def _(spark, d):
+    return graph.connected_components(edges(spark, d).filter("sim >= 0.6"))
+
+
+@query("large_components", f"WITH RECURSIVE {EDGES}, {_REACH}, c AS (SELECT node, min(r) AS c FROM reach GROUP BY node), b AS (SELECT c FROM c GROUP BY c HAVING count(*) >= 3) SELECT src, dst, sim FROM edges JOIN c ON c.node = src JOIN b USING (c) WHERE sim >= 0.6")
+def _(spark, d):
+    return graph.without_small_components(edges(spark, d).filter("sim >= 0.6"), 3)
+
+
+@query("edge_confidence", f"""WITH {EDGES}, s AS (SELECT u, sum(sim) AS s, count(*) AS n FROM near GROUP BY u)
+    SELECT src, dst, sim, round(CASE WHEN a.n + b.n > 2 THEN sim / ((a.s + b.s - 2 * sim) / (a.n + b.n - 2)) ELSE 10 END, 6) AS conf FROM edges JOIN s a ON a.u = src JOIN s b ON b.u = dst""")
+def _(spark, d):
+    return rounded(graph.edge_confidence(edges(spark, d)), "conf")
+
+
+@query("pagerank")
+def _(spark, d):
+    return rounded(graph.pagerank(edges(spark, d), 0.5), "pagerank")
+
+
+@query("centralities")
+def _(spark, d):
+    e = edges(spark, d)
+    return rounded(graph.path_centralities(e, 0.5).join(graph.eigenvector(e, 0.5, 20), "node"), "between_central", "closeness_central", "eigenvec_central")
+
+
+@query("random_walks")
+def _(spark, d):
+    return graph.walks(edges(spark, d), 2, 6).select("node", F.array_join("walk", "|").alias("walk"))
+
+
+# ---- matching ---------------------------------------------------------------------------------------------------
+
+
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    return edges(spark, d).select(F.col("src").alias("qg"), F.col("dst").alias("ba"), F.col("sim").alias("cos_sim"))
+
+
+CONF = f"""{EDGES}, w AS (SELECT src AS qg, dst AS ba, sim AS cos_sim, sum(sim) OVER (PARTITION BY src) AS sq, count(*) OVER (PARTITION BY src) AS nq, sum(sim) OVER (PARTITION BY dst) AS sb, count(*) OVER (PARTITION BY dst) AS nb FROM edges),
+conf AS (SELECT qg, ba, cos_sim, CASE WHEN nq + nb > 2 THEN cos_sim / ((sq + sb - 2 * cos_sim) / (nq + nb - 2)) ELSE cos_sim / 0.2::DOUBLE END AS sim_conf, 1::DOUBLE / (nq + nb - 1) AS degree_conf FROM w)"""
+
+
+@query("match_confidence", f"WITH {CONF} SELECT qg, ba, cos_sim, round(sim_conf, 6) AS sim_conf, round(degree_conf, 6) AS degree_conf FROM conf")
+def _(spark, d):
+    return rounded(match.confidences(candidates(spark, d), 0.3), "sim_conf", "degree_conf")
+
+
+@query("normalised_confidence", f"WITH {CONF} SELECT qg, ba, cos_sim, round((sim_conf - (SELECT min(sim_conf) FROM conf)) / (SELECT max(sim_conf) - min(sim_conf) FROM conf), 6) AS sim_conf, round((degree_conf - (SELECT min(degree_conf) FROM conf)) / (SELECT max(degree_conf) - min(degree_conf) FROM conf), 6) AS degree_conf FROM conf")
+def _(spark, d):
+    return rounded(match.normalised(match.confidences(candidates(spark, d), 0.3)), "sim_conf", "degree_conf")
+
+
+@query("mutual_best", f"WITH {EDGES}, r AS (SELECT src AS qg, dst AS ba, sim AS score, row_number() OVER (PARTITION BY src ORDER BY sim DESC, src, dst) AS a, row_number() OVER (PARTITION BY dst ORDER BY sim DESC, src, dst) AS b FROM edges) SELECT qg, ba, score FROM r WHERE a = 1 AND b = 1")
+def _(spark, d):
+    return match.mutual_best(candidates(spark, d).withColumnRenamed("cos_sim", "score"))
+
+
+@query("ranked_hits", f"""WITH {EDGES}, r AS (SELECT substr(src, 1, 1) = substr(dst, 1, 1) AS ok, row_number() OVER (ORDER BY sim DESC, src, dst) AS n FROM edges), c AS (SELECT unnest([10, 20, 50, 100, 200, 500, 1000]) AS cutoff)
+    SELECT cutoff, count(*) FILTER (ok) AS correct, count(*) FILTER (NOT ok) AS wrong FROM r JOIN c ON n <= cutoff GROUP BY cutoff UNION ALL SELECT 0, count(*) FILTER (ok), count(*) FILTER (NOT ok) FROM r""")
+def _(spark, d):
+    return metrics.ranked_hits(candidates(spark, d).withColumn("ok", F.substring("qg", 1, 1) == F.substring("ba", 1, 1)), "cos_sim", "ok", ["qg", "ba"])
+
+
+def _scored(spark, d):
+    return candidates(spark, d).withColumnRenamed("cos_sim", "score")
+
+
+QUERIES["greedy_match"] = lambda spark, d: match.greedy(_scored(spark, d))
+QUERIES["random_match"] = lambda spark, d: match.random_matching(_scored(spark, d))
+QUERIES["hungarian_match"] = lambda spark, d: match.hungarian(_scored(spark, d), 0.5)
+QUERIES["confident_match"] = lambda spark, d: match.confident(match.confidences(candidates(spark, d), 0.3).withColumnRenamed("cos_sim", "score"))
+
+
+@query("reidentification")
+def _(spark, d):
+    records = read(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("ent_id"), F.array(F.lower("s_name")).alias("attrs"))
+    spec = attack.AttackSpec(m=M, k=K, thresholds=[0.5], weights=((1.0, 0.0, 0.0),), blocking="none")
+    return attack.evaluate(attack.plain_graph(records, spec), attack.encoded_graph(records, spec), records, records, spec)

@@ -57,7 +57,8 @@ def fold(positions: Column, m: int) -> Column:
 
 def rule90(positions: Column, m: int) -> Column:
     """Each bit becomes the XOR of its neighbours, in a circle."""
-    left, right = (F.transform(positions, lambda p, d=d: F.pmod(p + d, F.lit(m)).cast("int")) for d in (1, -1))
+    shifted = lambda d: F.transform(positions, lambda p: F.pmod(p + d, F.lit(m)).cast("int"))
+    left, right = shifted(1), shifted(-1)
     return F.array_sort(F.array_except(F.array_union(left, right), F.array_intersect(left, right)))
 
 

@@ -53,7 +53,8 @@ def minhash_signature(qgrams: Column, n: int, seed: int = 42) -> Column:
     """n minima of (a x + b) mod prime over the q-grams' CRC-32; null for an empty set."""
     a, b = minhash_coefficients(n, seed)
     x = F.transform(qgrams, lambda q: F.crc32(q.cast("binary")))
-    return F.when(F.size(qgrams) > 0, F.array(*[F.array_min(F.transform(x, lambda v, i=i: (v * a[i] + b[i]) % MINHASH_PRIME)) for i in range(n)]))
+    least = lambda i: F.array_min(F.transform(x, lambda v: (v * a[i] + b[i]) % MINHASH_PRIME))
+    return F.when(F.size(qgrams) > 0, F.array(*[least(i) for i in range(n)]))
 
 
 def minhash_blocks(df: DataFrame, node: str, qgrams: str, band: int = 4, bands: int = 50, seed: int = 42, merge_bands: bool = False) -> DataFrame:

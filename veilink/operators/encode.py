@@ -88,7 +88,8 @@ def record_filter(specs: list[AttributeSpec], bits: list[int], seed: int = 42) -
     own = [attribute_filter(s) for s in specs]
     chosen = record_map([s.m for s in specs], bits, seed)
     tables = [F.map_from_entries(F.array(*[F.struct(F.lit(p), F.array(*[F.lit(t) for t, (b, q) in enumerate(chosen) if (b, q) == (a, p)])) for p in sorted({q for b, q in chosen if b == a})])) for a in range(len(specs))]
-    parts = [F.flatten(F.filter(F.transform(positions, lambda p, t=t: F.try_element_at(t, p)), lambda x: x.isNotNull())) for positions, t in zip(own, tables)]
+    gather = lambda positions, t: F.flatten(F.filter(F.transform(positions, lambda p: F.try_element_at(t, p)), lambda x: x.isNotNull()))
+    parts = [gather(positions, t) for positions, t in zip(own, tables)]
     return F.array_sort(F.flatten(F.array(*parts)))
 
 

@@ -50,7 +50,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         near = links.join(label.withColumnsRenamed({"node": "v", "component": "c"}), "v").groupBy(F.col("u").alias("node")).agg(F.min("c").alias("c"))
         lower = label.join(near, "node").select("node", F.least("component", "c").alias("component"))
-        jump = lower.join(label.withColumnsRenamed({"node": "component", "component": "up"}), "component").select("node", F.least("component", "up").alias("component"))
+        jump = lower.join(label.toDF("component", "up"), "component").select("node", F.least("component", "up").alias("component"))
         after = cut(jump)
         moved = after.join(label.withColumnRenamed("component", "before"), "node").filter("component <> before").limit(1).count()
         label = after
@@ -108,9 +108,9 @@ def basic_features(nodes: DataFrame, edges: DataFrame, thresholds: list[float])
     made = near.groupBy(F.col("u").alias("node")).agg(*aggs)
     out = nodes.select("node", F.col("freq").cast("double").alias("node_freq")).join(made, "node", "left").na.fill(0.0)
     for t in thresholds:
-        size = near.filter(F.col("sim") >= t).agg(F.count_distinct("u").alias(f"__n{t:.2f}"))
-        out = out.crossJoin(F.broadcast(size)).withColumn(f"degree_central-{t:.2f}", F.when(F.col(f"__n{t:.2f}") > 1, 2.0 * F.col(f"degree-{t:.2f}") / (F.col(f"__n{t:.2f}") - 1)).otherwise(0.0)).drop(f"__n{t:.2f}")
-    return out.withColumns({f"degree-{t:.2f}": F.col(f"degree-{t:.2f}").cast("double") for t in thresholds})
+        size = near.filter(F.col("sim") >= t).agg(F.count_distinct("u").alias("__n"))
+        out = out.crossJoin(F.broadcast(size)).withColumn(f"degree_central-{t:.2f}", F.when(F.col("__n") > 1, 2.0 * F.col(f"`degree-{t:.2f}`") / (F.col("__n") - 1)).otherwise(0.0)).drop("__n")
+    return out.withColumns({f"degree-{t:.2f}": F.col(f"`degree-{t:.2f}`").cast("double") for t in thresholds})
 
 
 def _buckets(found: DataFrame, degrees: DataFrame, name: str, threshold: float, n: int) -> DataFrame:

@@ -118,6 +118,10 @@ def members_without(paths: list[str], word: str) -> list[str]:
     return [p for p in paths if p.lower().endswith((".txt", ".csv")) and word not in p.rsplit("/", 1)[-1]]
 
 
+def _starting(parts, prefix: str):
+    return F.filter(parts, lambda t: t.startswith(prefix))
+
+
 def token_records(lines: DataFrame, line_col: str = "value", carry_from: str | None = None) -> DataFrame:
     """``id`` and twelve columns of ';'-separated token lines. Gender 1 is Female, others Male.
 
@@ -127,8 +131,8 @@ def token_records(lines: DataFrame, line_col: str = "value", carry_from: str | N
     parts = F.split(line_col, ";")
     columns = {}
     for prefix, name in TOKENS.items():
-        hit = F.filter(parts, lambda t, p=prefix: t.startswith(p))
-        value = F.when(F.size(hit) > 0, F.substring(F.element_at(hit, -1), len(prefix) + 1, 1_000_000))
+        hit = _starting(parts, prefix)
+        value = F.when(F.size(hit) > 0, F.substring(F.try_element_at(hit, F.lit(-1)), len(prefix) + 1, 1_000_000))
         columns[name] = F.when(value == "1", "Female").when(value.isNotNull(), "Male") if name == "gender" else value
     out = lines.select(F.trim(parts[0]).alias("id"), *[c.alias(n) for n, c in columns.items()], *([carry_from] if carry_from else []))
     if carry_from:
