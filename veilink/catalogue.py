@@ -317,7 +317,7 @@ def _(spark, d):
 
 @query("cosine_pairs", """WITH c AS (SELECT a.vec_id AS id1, b.vec_id AS id2, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id),
     s AS (SELECT id1, id2, list_inner_product(x, y) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(y, y))) AS c, list_distance(x, y) AS e FROM c)
-    SELECT id1, id2, round(c, 4) AS cosine, round(1 - acos(greatest(least(c, 1.0), -1.0)) / pi(), 4) AS angular, round(e, 4) AS euclid FROM s""")
+    SELECT id1, id2, round(c, 4) + 0::DOUBLE AS cosine, round(1 - acos(greatest(least(c, 1.0), -1.0)) / pi(), 4) AS angular, round(e, 4) AS euclid FROM s""")
 def _(spark, d):
     v = read(spark, d, "embeddings")
     x = v.select("label", F.col("vec_id").alias("id1"), F.col("embedding").alias("a")).join(v.select("label", F.col("vec_id").alias("id2"), F.col("embedding").alias("b")), "label").filter("id1 < id2")
@@ -503,7 +503,7 @@ def _(spark, d):
     return metrics.label_counts(pairs(spark, d), "is_match")
 
 
-@query("coral_covariance", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT 'x{i}' AS a, 'x{j}' AS b, round(covar_samp(embedding[{i + 1}]::DOUBLE, embedding[{j + 1}]::DOUBLE), 6) AS covariance FROM embeddings" for i in range(5) for j in range(i, 5)) + ")")
+@query("coral_covariance", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT 'x{i}' AS a, 'x{j}' AS b, round(covar_samp(embedding[{i + 1}]::DOUBLE, embedding[{j + 1}]::DOUBLE), 6) + 0::DOUBLE AS covariance FROM embeddings" for i in range(5) for j in range(i, 5)) + ")")
 def _(spark, d):
     v = read(spark, d, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(5)])
     return rounded(transfer.covariance(v, [f"x{i}" for i in range(5)]), "covariance")
@@ -542,7 +542,7 @@ def _(spark, d):
 
 
 @query("sim_bins", f"""WITH {PAIRS}, b AS (SELECT least(9, floor((1.0 - dice) * 10 + 1e-9))::INTEGER AS k, jaccard - dice AS x FROM pairs), g AS (SELECT k, avg(x) AS mean, count(*) AS n FROM b GROUP BY k)
-    SELECT round(1.0 - r / 10.0::DOUBLE, 6) AS upper, round(coalesce(mean, 0), 6) AS mean, coalesce(n, 0) AS n FROM range(10) t(r) LEFT JOIN g ON g.k = r WHERE r >= (SELECT min(k) FROM g)""")
+    SELECT round(1.0 - r / 10.0::DOUBLE, 6) AS upper, round(coalesce(mean, 0), 6) + 0::DOUBLE AS mean, coalesce(n, 0) AS n FROM range(10) t(r) LEFT JOIN g ON g.k = r WHERE r >= (SELECT min(k) FROM g)""")
 def _(spark, d):
     return rounded(regress.binned_difference(pairs(spark, d), "dice", "jaccard"), "mean")
 
