@@ -30,7 +30,7 @@ from .common import Workspace, table, text_or_empty
 from .components import components
 from .shingles import common, document_words, mix, seeded, shingle_set, signature
 
-COORDINATES, START, SMALL, CHUNK_ROWS, MAX_LEVELS = 64, 2, 64, 32, 12
+COORDINATES, START, SMALL, CHUNK_ROWS, MAX_LEVELS = 64, 2, 128, 64, 12
 _U = np.uint64
 
 
@@ -103,7 +103,8 @@ def _branch(threshold: float):
         for batch in batches:
             sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
             node, rep = batch.column("node").to_numpy().view(np.uint64), batch.column("rep").to_numpy()
-            steps = np.clip(np.log2(batch.column("n").to_numpy() / SMALL).round(), 1, 6)
+            # so many coordinates that a node of pairs at the threshold becomes small at once
+            steps = np.clip(np.ceil(np.log(batch.column("n").to_numpy() / SMALL) / np.log(1 / threshold)), 1, 16)
             # the node rounds its number of branches up or down by chance, so that the mean is threshold**-steps
             chance = (mix(node ^ _U(0xBB67AE8584CAA73B)) >> _U(11)).astype(float) / 2**53
             branches = np.floor(threshold**-steps + chance)
