@@ -168,14 +168,13 @@ def pagerank(edges: DataFrame, threshold: float, rounds: int = 30, damping: floa
 def eigenvector(edges: DataFrame, threshold: float, rounds: int = 50) -> DataFrame:
     """``node, eigenvec_central``: a fixed number of power steps of A + I, with unit length."""
     near = cut(both_ways(edges).filter(F.col("sim") >= threshold).select("u", "v"))
-    x = near.select(F.col("u").alias("node")).distinct().withColumn("x", F.lit(1.0))
+    x = cut(near.select(F.col("u").alias("node")).distinct().withColumn("x", F.lit(1.0)))
     for i in range(rounds):
         given = near.join(x, F.col("v") == F.col("node")).groupBy(F.col("u").alias("node")).agg(F.sum("x").alias("s"))
-        x = x.join(given, "node").select("node", (F.col("x") + F.col("s")).alias("x"))
-        norm = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-        x = x.crossJoin(F.broadcast(norm)).select("node", (F.col("x") / F.col("norm")).alias("x"))
-        if i % 5 == 4:
-            x = cut(x)
+        x = cut(x.join(given, "node").select("node", (F.col("x") + F.col("s")).alias("x")))  # a round reads x twice, so each is cut
+        if i % 5 == 4 or i == rounds - 1:
+            norm = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+            x = cut(x.crossJoin(F.broadcast(norm)).select("node", (F.col("x") / F.col("norm")).alias("x")))
     return x.withColumnRenamed("x", "eigenvec_central")
 
 
