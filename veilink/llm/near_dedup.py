@@ -98,13 +98,13 @@ def _roots(trees: int):
     return run
 
 
-def _branch(threshold: float):
+def _branch(threshold: float, level: int):
     def run(batches):
         for batch in batches:
             sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
             node, rep = batch.column("node").to_numpy().view(np.uint64), batch.column("rep").to_numpy()
-            # so many coordinates that a node of pairs at the threshold becomes small at once
-            steps = np.clip(np.ceil(np.log(batch.column("n").to_numpy() / SMALL) / np.log(1 / threshold)), 1, 16)
+            # at most as many coordinates as make a node of pairs at the threshold small; few at first, which part unlike rows
+            steps = np.clip(np.ceil(np.log(batch.column("n").to_numpy() / SMALL) / np.log(1 / threshold)), 1, min(16, 2 << level))
             # the node rounds its number of branches up or down by chance, so that the mean is threshold**-steps
             chance = (mix(node ^ _U(0xBB67AE8584CAA73B)) >> _U(11)).astype(float) / 2**53
             branches = np.floor(threshold**-steps + chance)
@@ -267,7 +267,7 @@ def _grouped(docs: DataFrame, shingle_words: int, part: int, whole: int, recall:
         again = work.stage(labelled(large.select("node", "n", "rep"), labels), "again")
         mixed = again.groupBy("node").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("node")
         branching = again.join(mixed, "node").join(heads, "rep").select("node", "n", "rep", "sig")
-        nodes = work.stage(branching.mapInArrow(_branch(threshold), "node long, rep long"), "nodes")
+        nodes = work.stage(branching.mapInArrow(_branch(threshold, level), "node long, rep long"), "nodes")
         work.drop(live, again)
     roots = work.stage(labelled(classes, labels).withColumnRenamed("label", "root"), "roots")
     least = roots.groupBy("root").agg(F.min("least").alias("first"))
