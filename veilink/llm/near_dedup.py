@@ -6,14 +6,17 @@
    Rows on the same path share a node. A node whose rows are all known to be connected is done.
 3. A node of at most ``SMALL`` rows is compared exhaustively, on full sets, once for all trees that formed it.
 4. In a larger node every row is compared with a pivot, and the node branches: by the expected 1/threshold branches for each
-   further coordinate, so that a pair at the threshold is expected to stay together in as many nodes as before.
+   further coordinate, times ``GROWTH``, so that a pair at the threshold is expected to stay together in more nodes than before
+   and its lines of descent die out with no more than a bounded probability, however many levels follow. Each level
+   has ``FRESH`` minwise values of its own, taken from the full sets of the rows that branch.
    Between levels all links found so far are contracted, so a large group of near copies soon is one label, and only
    rows outside it are compared further.
 5. Nodes that are still large after ``MAX_LEVELS`` are compared exhaustively in chunk pairs.
 6. Links and classes give connected components.
 
-A pair at the threshold t shares a depth-``START`` node of one tree with probability about t**START; the number of
-trees follows from the recall target.
+A pair at the threshold t agrees on a binomial number of the ``COORDINATES``, shares a depth-``START`` node of one tree with
+their share to the power of START, and is still in some node of it after any number of levels with at least
+``survival(GROWTH)``; the number of trees follows from the recall target.
 """
 
 from __future__ import annotations
@@ -31,11 +34,25 @@ from .components import components
 from .shingles import common, document_words, mix, seeded, shingle_set, signature
 
 COORDINATES, START, SMALL, CHUNK_ROWS, MAX_LEVELS = 64, 2, 128, 64, 12
+GROWTH, FRESH, MAX_STEPS = 1.5, 512, 8
 _U = np.uint64
 
 
 def trees_for(recall: float, threshold: float) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**START))
+    """The least number by which a pair at the threshold is missed with 1 - recall at most, over all its numbers of equal coordinates."""
+    n, stays, trees = COORDINATES, survival(GROWTH), 1
+    chance = [math.comb(n, k) * threshold**k * (1 - threshold) ** (n - k) for k in range(n + 1)]
+    while sum(c * (1 - (k / n) ** START * stays) ** trees for k, c in enumerate(chance)) > 1 - recall:
+        trees += 1
+    return trees
+
+
+def survival(growth: float) -> float:
+    """Chance that descent with a Poisson number of children, ``growth`` on average, never dies out."""
+    dies = 0.0
+    for _ in range(500):
+        dies = math.exp(growth * (dies - 1))
+    return 1 - dies
 
 
 def similar(a: np.ndarray, b: np.ndarray, part: int, whole: int) -> bool:
@@ -77,7 +94,7 @@ def _sets(size: int):
 def _paths(sigs: np.ndarray, nodes: np.ndarray, steps: int) -> np.ndarray:
     """The child of each node for the row's minwise values at ``steps`` coordinates, which depend on the node alone."""
     for _ in range(steps):
-        at = (mix(nodes ^ _U(0x6A09E667F3BCC909)) % _U(COORDINATES)).astype(np.int64)
+        at = (mix(nodes ^ _U(0x6A09E667F3BCC909)) % _U(sigs.shape[1])).astype(np.int64)
         nodes = mix(nodes * _U(0x9E3779B97F4A7C15) + sigs[np.arange(len(sigs)), at].astype(np.uint64) + _U(1))
     return nodes
 
@@ -98,16 +115,26 @@ def _roots(trees: int):
     return run
 
 
+def _fresh(level: int):
+    def run(batches):
+        odd = seeded(FRESH, 100 + level) | _U(1)
+        for batch in batches:
+            sigs = [signature(np.frombuffer(blob, np.uint64), odd).tobytes() for blob in batch.column("shingles").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sigs, pa.binary())], ["rep", "sig"])
+
+    return run
+
+
 def _branch(threshold: float, level: int):
     def run(batches):
         for batch in batches:
-            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, FRESH)
             node, rep = batch.column("node").to_numpy().view(np.uint64), batch.column("rep").to_numpy()
             # at most as many coordinates as make a node of pairs at the threshold small; few at first, which part unlike rows
-            steps = np.clip(np.ceil(np.log(batch.column("n").to_numpy() / SMALL) / np.log(1 / threshold)), 1, min(16, 2 << level))
-            # the node rounds its number of branches up or down by chance, so that the mean is threshold**-steps
+            steps = np.clip(np.ceil(np.log(batch.column("n").to_numpy() / SMALL) / np.log(1 / threshold)), 1, min(MAX_STEPS, 2 << level))
+            # the node rounds its number of branches up or down by chance, so that the mean is GROWTH * threshold**-steps
             chance = (mix(node ^ _U(0xBB67AE8584CAA73B)) >> _U(11)).astype(float) / 2**53
-            branches = np.floor(threshold**-steps + chance)
+            branches = np.floor(GROWTH * threshold**-steps + chance)
             for s in np.unique(steps):
                 for j in range(int(branches[steps == s].max())):
                     rows = np.flatnonzero((steps == s) & (branches > j))
@@ -266,9 +293,11 @@ def _grouped(docs: DataFrame, shingle_words: int, part: int, whole: int, recall:
             break
         again = work.stage(labelled(large.select("node", "n", "rep"), labels), "again")
         mixed = again.groupBy("node").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("node")
-        branching = again.join(mixed, "node").join(heads, "rep").select("node", "n", "rep", "sig")
+        wide = again.join(mixed, "node")
+        fresh = work.stage(sets.join(wide.select("rep").distinct(), "rep").select("rep", "shingles").mapInArrow(_fresh(level), "rep long, sig binary"), "fresh")
+        branching = wide.join(fresh, "rep").select("node", "n", "rep", "sig")
         nodes = work.stage(branching.mapInArrow(_branch(threshold, level), "node long, rep long"), "nodes")
-        work.drop(live, again)
+        work.drop(live, again, fresh)
     roots = work.stage(labelled(classes, labels).withColumnRenamed("label", "root"), "roots")
     least = roots.groupBy("root").agg(F.min("least").alias("first"))
     of_class = work.stage(roots.join(least, "root").select("n", "low", "high", F.col("first.id").alias("component_id"), F.col("first.uid").alias("stays")), "components")
