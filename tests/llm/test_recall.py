@@ -2,7 +2,9 @@
 
 import random
 
-from veilink.llm import line_dedup, near_dedup
+import pytest
+
+from veilink.llm import line_dedup, near_dedup, pii
 
 
 def _edited(rng, line, edits):
@@ -47,3 +49,14 @@ def test_chain_of_near_copies_at_the_threshold(spark, monkeypatch):
     found = {r.component_id for r in near_dedup.near_duplicates(docs, 3, 85, 100).collect()}
     print(f"{len(found) - 1} of {len(texts) - 1} links lost")
     assert found == {0}
+
+
+@pytest.mark.parametrize("before, phone, after", [
+    ("call 2024-03-16 ", "555-123-4567", " please"), ("call on 2024 03 16 ", "555-123-4567", " please"), ("call room 12 ", "555-123-4567", " please"),
+    ("tel ", "555-123-4567", " 22"), ("tel ", "5551234567", " please"),
+])
+def test_phone_beside_other_digits(before, phone, after):
+    text = before + phone + after
+    at = ("phone", len(before), len(before) + len(phone))
+    assert at in pii.proposals(text)
+    assert pii.added_spans(text, pii.base_spans(text)) == [at]

@@ -2,7 +2,8 @@
 
 The base rules (e-mail, IP, card, phone) are exact patterns with validations; what they find always stays. Generators of
 high recall propose further, overlapping spans of each kind: spelled-out e-mail addresses, addresses with ports or in brackets,
-phone numbers without a leading plus, card numbers with other separators. Boosted trees score each candidate on its format and
+phone numbers without a leading plus, card numbers with other separators; besides the longest matches, every sub-run of digit
+groups and of domain labels that fits its kind, and bare runs of 7 to 15 digits. Boosted trees score each candidate on its format and
 its context; a threshold for each kind, calibrated on held-out examples for precision, selects redactions; of overlapping
 selected spans of one kind the most probable stays. Trees are trained once from labelled examples, which are generated
 from formats of personal data and of look-alikes (versions, hashes, dates, order numbers) in a fixed, seeded number.
@@ -24,8 +25,8 @@ from .boosting import Boosted
 from .common import table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-#: Labelled examples that the trees are trained and calibrated on.
-EXAMPLES = 6000
+#: Labelled candidates that the trees are trained and calibrated on.
+EXAMPLES = 15000
 #: Least share of true spans among calibration examples above a threshold.
 PRECISION = 0.995
 #: Characters on each side that context features see.
@@ -103,6 +104,47 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     return [(k, *m.span()) for k in KINDS if _NEEDS[k].search(text) for m in _WIDE[k].finditer(text)]
 
 
+_DIGITS, _GAP, _IP_GAP = re.compile(r"[0-9]+"), re.compile(r"[ ._/()-]{0,4}"), re.compile(r"\s?(?:\[\.\]|\.)\s?")
+_DATE = re.compile(r"(?:19|20)[0-9]{2}([ ./-])[0-9]{1,2}\1[0-9]{1,2} $")
+_LABEL_END = re.compile(r"[A-Za-z0-9-](?![A-Za-z0-9-])")
+
+
+def proposals(text: str) -> list[tuple[str, int, int]]:
+    """``candidates`` and the shorter spans of the same kinds within and beside them; a bounded number for each digit group."""
+    found = dict.fromkeys(candidates(text))
+    for kind, start, end in list(found):
+        if kind == "email":
+            for m in _LABEL_END.finditer(text, start, end):
+                if _WIDE["email"].fullmatch(text, start, m.end()):
+                    found[kind, start, m.end()] = None
+    groups = [m.span() for m in _DIGITS.finditer(text)]
+    joined = [bool(_GAP.fullmatch(text, a[1], b[0])) for a, b in zip(groups, groups[1:])]
+    dotted = [bool(_IP_GAP.fullmatch(text, a[1], b[0])) for a, b in zip(groups, groups[1:])]
+    for i, (a, b) in enumerate(groups):
+        if 7 <= b - a <= 15 and not text[a - 1 : a].isalpha() and not text[b : b + 1].isalpha():
+            found["phone", a, b] = None
+        if all(dotted[i : i + 3]) and i + 3 < len(groups) and all(y - x <= 3 for x, y in groups[i : i + 4]):
+            found["ip", a, groups[i + 3][1]] = None
+        starts = {a} | {a - n for n in (1, 2) if n <= a and text[a - n : a] in ("(", "+", "+(")}
+        for j in range(i + 1, min(i + 6, len(groups))):
+            if not joined[j - 1]:
+                break
+            end = groups[j][1]
+            if _WIDE["card"].fullmatch(text, a, end):
+                found["card", a, end] = None
+            for start in starts:
+                for stop in {end, end + (text[end : end + 1] == ")")}:
+                    if not text[stop : stop + 1].isalnum() and _WIDE["phone"].fullmatch(text, start, stop):
+                        found["phone", start, stop] = None
+    return list(found)
+
+
+def _beside(text: str) -> tuple[int, int]:
+    """Lengths of the gap to the next digit group, and of that group, or zeros."""
+    m = re.match(r"([ ._/()-]{0,4})([0-9]+)", text)
+    return (len(m[1]), len(m[2])) if m else (0, 0)
+
+
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
     """Format and context of a span; labels and ids of documents play no part."""
     span, before, after = text[start:end], text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
@@ -115,11 +157,38 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         bool(_CUES[kind].search(before)), bool(_CUES[kind].search(after)), bool(_AGAINST.search(before.rstrip())), before[-1:].isalnum(), after[:1].isalnum(),
         before[-1:] in ".,-_/=#:", after[:1] in "-_/=", sum(c.isdigit() for c in before[-12:]), sum(c.isdigit() for c in after[:12]),
         len(re.split(r"\.", span)[-1]), bool(re.search(r"[a-z]{2,6}$", span)), len(set(groups)),
+        groups[0] if groups else 0, groups[-1] if groups else 0, groups[-2] if len(groups) > 1 else 0, bool(re.match(r"(?:19|20)[0-9]{2}(?![0-9])", span)), before[-1:] in "(+[", ". " in span,
+        *_beside(before[::-1]), *_beside(after), bool(_DATE.search(before)), bool(_CUES[kind].search(before[-12:])), span.count("/"), span.count("(") - span.count(")"),
     ]
 
 
 def _example(rng: random.Random) -> tuple[str, str, bool]:
     """(text, kind of the generator, whether its span is personal data)."""
+    before, span, after, kind, true = _parts(rng)
+    return before + span + after, kind, true
+
+
+def _placed(rng: random.Random) -> tuple[str, str, bool, int, int]:
+    """(text, kind, whether its span is personal data, start, end): an example whose span often stands beside other digits."""
+    before, span, after, kind, true = _parts(rng)
+    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    if kind == "phone" and rng.random() < 0.2:
+        span = num(10) if true else num(rng.choice([7, 8, 9, 12, 13, 14]))
+        if not true:
+            before = f"{rng.choice(['order', 'ref', 'id', 'serial', 'invoice'])} "
+    if kind in ("phone", "card") and rng.random() < 0.5:
+        date = rng.choice([f"20{num(2)}-{rng.randint(1, 12):02}-{rng.randint(10, 28)} ", f"20{num(2)} {rng.randint(1, 12):02} {rng.randint(10, 28)} ", f"{rng.choice(['room', 'page', 'on'])} {num(2)} ", f"{num(rng.randint(1, 3))} "])
+        before += date if rng.random() < 0.7 else ""
+        after = f" {num(rng.randint(1, 3))}{after}" if rng.random() < 0.3 else after
+    if kind == "ip" and not true and rng.random() < 0.3:
+        span += "".join(f".{rng.randint(0, 99)}" for _ in range(rng.randint(1, 2)))
+    if kind == "email" and rng.random() < 0.3:
+        after = f". {after.strip(' .,').capitalize()}"
+    return before + span + after, kind, true, len(before), len(before) + len(span)
+
+
+def _parts(rng: random.Random) -> tuple[str, str, str, str, bool]:
+    """(text before the span, span, text after it, kind of the generator, whether the span is personal data)."""
     word = lambda: "".join(rng.choice("aeioubcdfglmnprst") for _ in range(rng.randint(2, 8)))
     num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     kind, true = rng.choice(KINDS), rng.random() < 0.5
@@ -146,37 +215,42 @@ def _example(rng: random.Random) -> tuple[str, str, bool]:
     cue = {"email": ["email", "contact", "write"], "ip": ["host", "server", "ip"], "card": ["card", "visa", "credit"], "phone": ["tel", "phone", "call"]}[kind]
     against = ["version", "order", "ref", "build", "date", "page", "serial", "invoice"]
     near = rng.choice(cue) if rng.random() < (0.6 if true else 0.05) else rng.choice(against) if rng.random() < (0.02 if true else 0.4) else word()
-    return f"{word()} {word()} {near}{rng.choice([' ', ': ', ' '])}{span}{rng.choice([' ', '. ', ', '])}{word()} {word()}", kind, true
+    return f"{word()} {word()} {near}{rng.choice([' ', ': ', ' '])}", span, f"{rng.choice([' ', '. ', ', '])}{word()} {word()}", kind, true
 
 
 @functools.lru_cache(maxsize=1)
 def model() -> tuple[Boosted, dict[str, float]]:
     """The trees, and for each kind the least probability that keeps ``PRECISION`` on examples not trained on."""
     rng = random.Random(11)
-    rows, y = [], []
+    rows, y, group, n = [], [], [], 0
     while len(y) < EXAMPLES:
-        text, kind, true = _example(rng)
-        for k, a, b in candidates(text):
-            if k == kind:
-                rows.append(features(text, k, a, b))
-                y.append(float(true))
+        text, kind, true, start, end = _placed(rng)
+        n += 1
+        for k, a, b in proposals(text):
+            rows.append(features(text, k, a, b))
+            y.append(float(true and (k, a, b) == (kind, start, end)))
+            group.append((n, k))
     x, y = np.array(rows, dtype=float), np.array(y)
     cut = len(y) * 2 // 3
-    trees = Boosted().fit(x[:cut], y[:cut])
+    trees = Boosted(depth=4).fit(x[:cut], y[:cut])
     p, limits = trees.probability(x[cut:]), {}
-    for i, kind in enumerate(KINDS):
-        own = x[cut:, 0] == i
-        order = np.argsort(-p[own], kind="stable")
-        hits = np.cumsum(y[cut:][own][order]) / np.arange(1, own.sum() + 1)
+    best: dict[tuple[int, str], int] = {}  # the most probable proposal of each text and kind, which the overlap rule keeps
+    for i, g in enumerate(group[cut:]):
+        if g not in best or p[i] > p[best[g]]:
+            best[g] = i
+    for kind in KINDS:
+        own = np.array([i for (_, k), i in best.items() if k == kind])
+        order = own[np.argsort(-p[own], kind="stable")]
+        hits = np.cumsum(y[cut:][order]) / np.arange(1, len(order) + 1)
         good = np.flatnonzero(hits >= PRECISION)
-        limits[kind] = max(0.5, float(p[own][order][good[-1]])) if len(good) else 1.1
+        limits[kind] = max(0.5, float(p[order][good[-1]])) if len(good) else 1.1
     return trees, limits
 
 
 def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int]]:
     """Selected candidates that overlap no base span; of overlapping ones of a kind, the most probable, then the first."""
     taken = sorted(s for spans in base.values() for s in spans)
-    found = [(k, a, b) for k, a, b in candidates(text) if not _overlaps(taken, a, b)]
+    found = [(k, a, b) for k, a, b in proposals(text) if not _overlaps(taken, a, b)]
     if not found:
         return []
     trees, limits = model()
