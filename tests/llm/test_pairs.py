@@ -47,8 +47,11 @@ class Groups:
         self.root[max(a, b)] = min(a, b)
 
 
-def test_near_duplicates(docs, texts, monkeypatch):
-    monkeypatch.setattr(near_dedup, "SMALL", 8)  # so that large nodes occur
+@pytest.mark.parametrize("whole", [True, False])
+def test_near_duplicates(docs, texts, monkeypatch, whole):
+    if not whole:  # so that large groups and nodes occur
+        for name, value in (("SMALL", 8), ("GROUP_ROWS", 8), ("SMALL_SETS", 16), ("CHUNK_ROWS", 8), ("PIVOTS", 2), ("MAX_LEVELS", 1), ("TREES_AT_ONCE", 99)):
+            monkeypatch.setattr(near_dedup, name, value)
     sets = []
     for t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())

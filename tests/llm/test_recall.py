@@ -39,13 +39,17 @@ def test_line_recall_without_a_gate(spark):
     assert len(short) > 20 and all(short) and sum(found) >= 0.97 * len(found)
 
 
-def test_chain_of_near_copies_at_the_threshold(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "SMALL", 32)  # so that the group branches for as many levels as one of thousands
+@pytest.mark.parametrize("whole", [True, False])
+def test_chain_of_near_copies_at_the_threshold(spark, monkeypatch, tmp_path, whole):
+    if not whole:  # so that the group branches for as many levels as one of thousands
+        for name, value in (("GROUP_ROWS", 32), ("SMALL_SETS", 64), ("CHUNK_ROWS", 64), ("PIVOTS", 2), ("TREES_AT_ONCE", 99)):
+            monkeypatch.setattr(near_dedup, name, value)
     core = [f"core{i}" for i in range(165)]
     texts = [" ".join(core + [f"w{j}" for j in range(12 * i, 12 * i + 18)]) for i in range(600)]
     sets = [{tuple(t.split()[k : k + 3]) for k in range(181)} for t in texts]
     assert 0.85 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.86 and len(sets[0] & sets[2]) / len(sets[0] | sets[2]) < 0.85
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).localCheckpoint()
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
     found = {r.component_id for r in near_dedup.near_duplicates(docs, 3, 85, 100).collect()}
     print(f"{len(found) - 1} of {len(texts) - 1} links lost")
     assert found == {0}

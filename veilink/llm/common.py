@@ -38,39 +38,55 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
+#: Spark's own switch for deleting a query's shuffle files as soon as the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Workspace:
     """Tables written to the shared folder to cut lineage: a lost executor costs a re-read, not a re-run.
 
-    ``drop`` removes a table that no later step reads; what is left goes when the driver ends.
+    ``drop`` removes a table that no later step reads, ``keep_only`` all but those that a result still reads; what is
+    left goes with ``close`` or when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        self.live: list[str] = []
         self.count = 0
+        OPEN.append(self)
         atexit.register(self._quiet_drop, self.path)
 
-    def stage(self, df: DataFrame, name: str = "t", free_shuffle: bool = True) -> DataFrame:
-        """Write ``df`` as Parquet and read it again, with the written schema."""
+    def stage(self, df: DataFrame, name: str = "t") -> DataFrame:
+        """Write ``df`` as Parquet and read it again, with the written schema; shuffle files of the write go at once."""
         at = f"{self.path}/{self.count}-{name}"
         self.count += 1
-        df.write.option("compression", "zstd").parquet(at)
-        if free_shuffle:
-            self.free()
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(at)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        self.live.append(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._staged_at = at
         return out
 
-    def free(self) -> None:
-        """Let Spark delete shuffle files of finished steps now rather than at the next collection."""
-        import gc
-
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *staged: DataFrame) -> None:
         for df in staged:
             self._quiet_drop(df._staged_at)
+            self.live.remove(df._staged_at)
+
+    def keep_only(self, *staged: DataFrame) -> None:
+        kept = {df._staged_at for df in staged}
+        for at in self.live:
+            if at not in kept:
+                self._quiet_drop(at)
+        self.live = [at for at in self.live if at in kept]
+
+    def close(self) -> None:
+        self._quiet_drop(self.path)
+        self.live = []
 
     def _quiet_drop(self, at: str) -> None:
         try:
@@ -81,5 +97,25 @@ class Workspace:
             pass
 
 
+#: Workspaces whose tables may still be read.
+OPEN: list[Workspace] = []
+
+
+def close_all(but: list[Workspace] = ()) -> None:
+    """Drop the tables of all workspaces: for callers, such as a pipeline, that have written every result they keep."""
+    for work in OPEN:
+        if work not in but:
+            work.close()
+    OPEN[:] = list(but)
+
+
+def with_label(rows: DataFrame, small: DataFrame, on: str, n: int) -> DataFrame:
+    """``rows`` joined with ``small``, of ``n`` rows: broadcast where that is a few MB, else by a shuffle of both."""
+    return rows.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on)
+
+
+BROADCAST_ROWS = 1_000_000
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,22 +1,24 @@
 """Near-duplicate documents by a chosen-path set similarity join (after Christiani, Pagh and Sivertsen, 2018).
 
 1. One scan turns each text into its set of word shingles and stages a narrow row: set size, a 128-bit digest of the
-   set, and ``COORDINATES`` minwise values. Equal sets form a class; one row stands for each class.
-2. In each of several independent trees a row takes the path that minwise values at randomly chosen coordinates spell.
-   Rows on the same path share a node. A node whose rows are all known to be connected is done.
-3. A node of at most ``SMALL`` rows is compared exhaustively, on full sets, once for all trees that formed it.
-4. In a larger node every row is compared with a pivot, and the node branches: by the expected 1/threshold branches for each
-   further coordinate, times ``GROWTH``, so that a pair at the threshold is expected to stay together in more nodes than before
-   and its lines of descent die out with no more than a bounded probability, however many levels follow. Each level
-   has ``FRESH`` minwise values of its own, taken from the full sets of the rows that branch.
-   Between levels all links found so far are contracted, so a large group of near copies soon is one label, and only
-   rows outside it are compared further.
-5. Nodes that are still large after ``MAX_LEVELS`` are compared exhaustively in chunk pairs.
-6. Links and classes give connected components.
-
-A pair at the threshold t agrees on a binomial number of the ``COORDINATES``, shares a depth-``START`` node of one tree with
-their share to the power of START, and is still in some node of it after any number of levels with at least
-``survival(GROWTH)``; the number of trees follows from the recall target.
+   set, and a sketch of ``COORDINATES`` 16-bit minwise values. Equal sets form a class; one row stands for each class.
+2. In each of several independent trees a row takes the path that minwise values at ``START`` randomly chosen coordinates
+   spell. Rows on the same path share a node; the nodes of all trees that hold the same rows are compared once. Within a node
+   sketches that agree on fewer than ``least_agreeing`` coordinates are passed over; the others span candidate groups.
+   A node of more than ``SMALL`` rows becomes one candidate group as it is.
+3. Full sets travel once, to the candidate group, where all pairs are compared: products of the incidence matrix.
+4. Groups too large for a task (``GROUP_ROWS``, ``GROUP_SHINGLES``) are first compared in random chunks that share a few
+   pivots, so most of a group of near copies becomes one label. Rows then take paths in ``TREES_AT_ONCE`` trees at a time; nodes
+   of at most ``SMALL_SETS`` rows are compared exhaustively on full sets, in a larger node every row is compared with a pivot and
+   the node branches: by the expected 1/threshold branches for each further coordinate, times ``GROWTH``, so that a pair at the
+   threshold is expected to stay together in more nodes than before and its lines of descent die out with no more than a bounded
+   probability, however many levels follow. Each level has ``FRESH`` minwise values of its own, taken from the full sets of
+   the rows that branch. Between levels all links found so far are contracted, and nodes of one label are done. Nodes
+   that are still large after ``MAX_LEVELS`` are compared exhaustively in chunk pairs.
+5. Links and classes give connected components.
+
+A pair at the threshold agrees on a binomial number of the ``COORDINATES`` and shares a node of one tree with their share to
+the power of START (times ``survival(GROWTH)`` where nodes branch); the number of trees follows from the recall target.
 """
 
 from __future__ import annotations
@@ -27,26 +29,41 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import Workspace, table, text_or_empty
+from .common import BROADCAST_ROWS, Workspace, table, text_or_empty, with_label
 from .components import components
+from .groups import by_node, chunks_with_pivots, hot_nodes, members_of, pairs_batch, sampled, spanning, whole_nodes
 from .shingles import common, document_words, mix, seeded, shingle_set, signature
 
-COORDINATES, START, SMALL, CHUNK_ROWS, MAX_LEVELS = 64, 2, 128, 64, 12
+COORDINATES, START, SMALL = 64, 2, 2048
+#: What one task compares at once: rows of a candidate group, and shingles of them all (8 bytes each).
+GROUP_ROWS, GROUP_SHINGLES = 4096, 4_000_000
+SMALL_SETS, CHUNK_ROWS, PIVOTS, MAX_LEVELS, TREES_AT_ONCE = 512, 1024, 8, 12, 4
 GROWTH, FRESH, MAX_STEPS = 1.5, 512, 8
+RECALL = 0.9999999
 _U = np.uint64
 
 
-def trees_for(recall: float, threshold: float) -> int:
-    """The least number by which a pair at the threshold is missed with 1 - recall at most, over all its numbers of equal coordinates."""
-    n, stays, trees = COORDINATES, survival(GROWTH), 1
+def trees_for(recall: float, threshold: float, growth: float | None = None) -> int:
+    """The least number by which a pair at the threshold is missed with 1 - recall at most, over all its numbers of equal coordinates.
+
+    With ``growth``, nodes branch, and a pair's lines of descent have to survive as well.
+    """
+    n, stays, trees = COORDINATES, survival(growth) if growth else 1.0, 1
     chance = [math.comb(n, k) * threshold**k * (1 - threshold) ** (n - k) for k in range(n + 1)]
     while sum(c * (1 - (k / n) ** START * stays) ** trees for k, c in enumerate(chance)) > 1 - recall:
         trees += 1
     return trees
 
 
+def least_agreeing(recall: float, threshold: float) -> int:
+    """The most coordinates that may be asked to agree, if a pair at the threshold is to fail with 1 - recall at most."""
+    n, below, k = COORDINATES, 0.0, 0
+    while below + (step := math.comb(n, k) * threshold**k * (1 - threshold) ** (n - k)) <= 1 - recall:
+        below, k = below + step, k + 1
+    return k
+
+
 def survival(growth: float) -> float:
     """Chance that descent with a Poisson number of children, ``growth`` on average, never dies out."""
     dies = 0.0
@@ -73,7 +90,7 @@ def _profiles(size: int):
                 n.append(len(values))
                 low.append(int(values.sum(dtype=np.uint64).view(np.int64)))
                 high.append(int(mix(values ^ _U(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)))
-                sigs.append(signature(values, odd).tobytes())
+                sigs.append(signature(values, odd).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(sigs, pa.binary())],
                 ["uid", "id", "n", "low", "high", "sig"],
@@ -82,11 +99,13 @@ def _profiles(size: int):
     return run
 
 
-def _sets(size: int):
+def _sets(size: int, kept: tuple[str, ...]):
+    """The columns ``kept`` and the set of each ``text``."""
+
     def run(batches):
         for batch in batches:
-            blobs = [shingle_set(w, size).tobytes() for w in document_words(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["rep", "shingles"])
+            blobs = [shingle_set(w, size).tobytes() for w in document_words(batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(blobs, pa.binary())], [*kept, "shingles"])
 
     return run
 
@@ -103,11 +122,11 @@ def _out(node: np.ndarray, rep: np.ndarray):
     return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(rep, pa.int64())], ["node", "rep"])
 
 
-def _roots(trees: int):
+def _roots(trees: int, first: int = 0):
     def run(batches):
-        seeds = seeded(trees, 4)
+        seeds = seeded(first + trees, 4)[first:]
         for batch in batches:
-            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, COORDINATES)
             rep = batch.column("rep").to_numpy()
             for seed in seeds:
                 yield _out(_paths(sigs, np.full(len(sigs), seed), START), rep)
@@ -115,6 +134,63 @@ def _roots(trees: int):
     return run
 
 
+def _shared(most: int):
+    """``node, rep, pivot`` of nodes with more than one row: of small ones with a number for the set of their rows instead of
+    the node, so that equal sets of several trees fall together, of others with the pivot to link with. Sorted by node, rep.
+    """
+
+    def small(reps):
+        who = mix(np.bitwise_xor.reduce(mix(reps.view(np.uint64) + _U(1)), keepdims=True) + _U(len(reps)))
+        return np.repeat(who, len(reps)), reps, np.full(len(reps), -1)
+
+    def run(batches):
+        open_, held, count, pivot = None, [], 0, None  # the node at the end of the last batch; ``held`` is empty once it is large
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, rep, out = batch.column("node").to_numpy(), batch.column("rep").to_numpy(), []
+            cuts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+            for a, b in zip(cuts, np.append(cuts[1:], len(node))):
+                if open_ is None or node[a] != open_:
+                    if 1 < count <= most:
+                        out.append(small(np.concatenate(held)))
+                    open_, held, count, pivot = node[a], [], 0, rep[a]
+                if b - a == 1 and not count:
+                    held, count = [rep[a:b]], 1
+                    continue
+                count += int(b - a)
+                held.append(rep[a:b])
+                if count > most:
+                    more = np.concatenate(held)
+                    out.append((np.full(len(more), open_).view(np.uint64), more, np.full(len(more), pivot)))
+                    held = []
+            yield _marked(out)
+        if 1 < count <= most:
+            yield _marked([small(np.concatenate(held))])
+
+    return run
+
+
+def _marked(parts):
+    if not parts:
+        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    node, rep, pivot = (np.concatenate(x) for x in zip(*parts))
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (node.view(np.int64), rep, pivot)], ["node", "rep", "pivot"])
+
+
+def _agreeing(least: int):
+    """Links that span what agrees on ``least`` coordinates within the nodes."""
+
+    def run(batches):
+        for rows in whole_nodes(batches):
+            sigs = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, COORDINATES)
+            rep = rows.column("rep").to_numpy()
+            found = spanning(rows.column("node").to_numpy(), lambda i, j: (sigs[i] == sigs[j]).sum(axis=1) >= least)
+            yield pairs_batch([(rep[i], rep[j]) for i, j in found])
+
+    return run
+
+
 def _fresh(level: int):
     def run(batches):
         odd = seeded(FRESH, 100 + level) | _U(1)
@@ -131,7 +207,7 @@ def _branch(threshold: float, level: int):
             sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, FRESH)
             node, rep = batch.column("node").to_numpy().view(np.uint64), batch.column("rep").to_numpy()
             # at most as many coordinates as make a node of pairs at the threshold small; few at first, which part unlike rows
-            steps = np.clip(np.ceil(np.log(batch.column("n").to_numpy() / SMALL) / np.log(1 / threshold)), 1, min(MAX_STEPS, 2 << level))
+            steps = np.clip(np.ceil(np.log(batch.column("n").to_numpy() / SMALL_SETS) / np.log(1 / threshold)), 1, min(MAX_STEPS, 2 << level))
             # the node rounds its number of branches up or down by chance, so that the mean is GROWTH * threshold**-steps
             chance = (mix(node ^ _U(0xBB67AE8584CAA73B)) >> _U(11)).astype(float) / 2**53
             branches = np.floor(GROWTH * threshold**-steps + chance)
@@ -144,23 +220,33 @@ def _branch(threshold: float, level: int):
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections, by products of the incidence matrix, some columns at a time."""
-    sizes = np.array([len(x) for x in sets])
-    values, column = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    often = np.bincount(column, minlength=len(values)) > 1
-    place = np.cumsum(often) - 1
-    keep = often[column]
-    column, owner = place[column[keep]], owner[keep]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    out, width = np.zeros((len(sets), len(sets)), dtype=np.float32), 4096
-    for a in range(0, int(often.sum()), width):
-        i, j = np.searchsorted(column, (a, a + width))
-        part = np.zeros((len(sets), width), dtype=np.float32)
-        part[owner[i:j], column[i:j] - a] = 1
+    """Sizes of all pairwise intersections: products of the incidence matrix for common shingles, pairs of owners for rare ones."""
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    values, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), sizes)
+    out, width, rare = np.zeros((n, n), dtype=np.float32), 2048, n // 64
+    dense = counts > max(rare, 1)
+    place = np.cumsum(dense) - 1
+    keep = dense[column]
+    at, own = place[column[keep]], owner[keep]
+    order = np.argsort(at, kind="stable")
+    at, own = at[order], own[order]
+    for a in range(0, int(dense.sum()), width):
+        i, j = np.searchsorted(at, (a, a + width))
+        part = np.zeros((n, width), dtype=np.float32)
+        part[own[i:j], at[i:j] - a] = 1
         out += part @ part.T
-    return out.astype(np.int64)
+    few = ~dense & (counts > 1)
+    keep = few[column]
+    order = np.argsort(column[keep], kind="stable")
+    own, often = owner[keep][order], counts[column[keep][order]]
+    for c in np.unique(often):
+        rows = own[often == c].reshape(-1, c)
+        for x in range(c):
+            for y in range(x):
+                np.add.at(out, (rows[:, x], rows[:, y]), 1)
+                np.add.at(out, (rows[:, y], rows[:, x]), 1)
+    return out
 
 
 def _exhaustive(part: int, whole: int):
@@ -170,16 +256,18 @@ def _exhaustive(part: int, whole: int):
         n = len(ids)
         if n < 2 or len(set(labels)) < 2:
             return []
+        size = np.array([len(x) for x in sets])
         if n <= 4:
             near = np.zeros((n, n), dtype=bool)
             for i in range(n):
                 for j in range(i):
                     near[i, j] = near[j, i] = labels[i] != labels[j] and similar(sets[i], sets[j], part, whole)
         else:
-            both, size = intersections(sets), np.array([len(x) for x in sets])
-            near = whole * both >= part * (size[:, None] + size[None, :] - both)
+            both, near = intersections(sets), np.empty((n, n), dtype=bool)
+            for i in range(n):  # integers below 2^24 are exact in float32
+                shared = both[i].astype(np.int64)
+                near[i] = whole * shared >= part * (size[i] + size - shared)
         known = np.array(labels)
-        near |= known[:, None] == known[None, :]
         found, seen = [], np.zeros(n, dtype=bool)
         for i in range(n):
             if seen[i]:
@@ -187,33 +275,24 @@ def _exhaustive(part: int, whole: int):
             seen[i], edge = True, [i]
             while edge:
                 k = edge.pop()
-                fresh = np.flatnonzero(near[k] & ~seen)
+                fresh = np.flatnonzero((near[k] | (known == known[k])) & ~seen)
                 seen[fresh] = True
                 edge += fresh.tolist()
                 found += [(ids[k], ids[j]) for j in fresh if labels[j] != labels[k]]
         return found
 
     def run(batches):
-        now, ids, labels, sets = None, [], [], []
-        for batch in batches:
-            found = []
-            for node, rep, label, blob in zip(*(batch.column(c).to_pylist() for c in ("node", "rep", "label", "shingles"))):
-                if node != now:
-                    found += links(ids, labels, sets)
-                    now, ids, labels, sets = node, [], [], []
-                ids.append(rep)
-                labels.append(label)
-                sets.append(np.frombuffer(blob, np.uint64))
-            yield _pairs(found)
-        yield _pairs(links(ids, labels, sets))
+        for rows in whole_nodes(batches):
+            node, found = rows.column("node").to_numpy(), []
+            ids, labels, blobs = (rows.column(c).to_pylist() for c in ("rep", "label", "shingles"))
+            cuts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+            for a, b in zip(cuts, np.append(cuts[1:], len(node))):
+                found += links(ids[a:b], labels[a:b], [np.frombuffer(x, np.uint64) for x in blobs[a:b]])
+            yield pairs_batch(found)
 
     return run
 
 
-def _pairs(found):
-    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-
 def _with_pivot(part: int, whole: int):
     def run(batches):
         for batch in batches:
@@ -225,7 +304,7 @@ def _with_pivot(part: int, whole: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, part: int = 4, whole: int = 5, recall: float = 0.99999999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, part: int = 4, whole: int = 5, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``<id_col>, n_shingles, component_id, kept``.
 
     Texts are linked where the Jaccard similarity of their shingle sets is at least part / whole, confirmed on full
@@ -236,21 +315,24 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, part: int = 4, whol
     are not read. An empty table gives an empty result. ``docs`` is scanned twice and must give the same rows in the
     same order each time, as files and staged tables do.
     """
-    return _grouped(docs, shingle_words, part, whole, recall, id_col, text_col).select(
+    return _grouped(docs, shingle_words, part, whole, recall, id_col, text_col)[0].select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 
-def keep_one(docs: DataFrame, shingle_words: int = 5, part: int = 4, whole: int = 5, recall: float = 0.99999999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, shingle_words: int = 5, part: int = 4, whole: int = 5, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows and columns, without the rows of each component but one: that with the smallest id, then the first.
 
-    Null ids come last. Texts without shingles all stay.
+    Null ids come last. Texts without shingles all stay. ``docs`` is scanned three times, see ``near_duplicates``.
     """
-    stay = _grouped(docs, shingle_words, part, whole, recall, id_col, text_col).filter("uid = stays").select(F.col("uid").alias("__uid"))
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(stay, "__uid", "left_semi").select(*docs.columns)
+    groups, work = _grouped(docs, shingle_words, part, whole, recall, id_col, text_col)
+    gone = work.stage(groups.filter("uid <> stays").select(F.col("uid").alias("__uid")), "gone")
+    work.keep_only(gone)
+    rows, n = docs.withColumn("__uid", F.monotonically_increasing_id()), gone.count()
+    return rows.join(F.broadcast(gone) if n <= BROADCAST_ROWS else gone, "__uid", "left_anti").select(*docs.columns)
 
 
-def _grouped(docs: DataFrame, shingle_words: int, part: int, whole: int, recall: float, id_col: str, text_col: str) -> DataFrame:
+def _grouped(docs: DataFrame, shingle_words: int, part: int, whole: int, recall: float, id_col: str, text_col: str) -> tuple[DataFrame, Workspace]:
     """``uid, id, n, component_id, stays``: stays is the number of the row that represents the component."""
     spark = docs.sparkSession
     work = Workspace(spark, "near-dedup")
@@ -261,9 +343,66 @@ def _grouped(docs: DataFrame, shingle_words: int, part: int, whole: int, recall:
     classes = work.stage(
         profiles.filter("n > 0").groupBy("n", "low", "high").agg(F.min("uid").alias("rep"), F.min(F.struct(F.col("id").isNull().alias("last"), "id", "uid")).alias("least")), "classes"
     )
-    heads = profiles.select("uid", "sig").join(classes.select(F.col("rep").alias("uid")), "uid").select(F.col("uid").alias("rep"), "sig")
-    nodes = work.stage(heads.mapInArrow(_roots(trees_for(recall, threshold)), "node long, rep long"), "nodes", free_shuffle=False)
-    labels = sets = None
+    heads = work.stage(profiles.select(F.col("uid").alias("rep"), "sig").join(classes.select("rep", F.col("n").alias("weight")), "rep"), "heads")
+    labels = _candidates(heads, recall, threshold, work)
+    small, large = members_of(labels, heads.select("rep", "weight"), GROUP_ROWS, GROUP_SHINGLES, work)
+    found = work.stage(_confirmed(rows, small.withColumnRenamed("grp", "node").withColumn("label", F.col("rep")), shingle_words, part, whole), "links")
+    labels = contracted(found, None, work)
+    if large.take(1):
+        labels = _large_groups(rows, heads, large, labels, shingle_words, part, whole, recall, work)
+    roots = work.stage(labelled(classes, labels).withColumnRenamed("label", "root"), "roots")
+    least = roots.groupBy("root").agg(F.min("least").alias("first"))
+    of_class = work.stage(roots.join(least, "root").select("n", "low", "high", F.col("first.id").alias("component_id"), F.col("first.uid").alias("stays")), "components")
+    work.keep_only(profiles, of_class)
+    own = F.col("n") == 0
+    return profiles.select("uid", "id", "n", "low", "high").join(of_class, ["n", "low", "high"], "left").select(
+        "uid", "id", "n", F.when(own, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.when(own, F.col("uid")).otherwise(F.col("stays")).alias("stays")
+    ), work
+
+
+def _candidates(heads: DataFrame, recall: float, threshold: float, work: Workspace) -> DataFrame:
+    """``rep, label``: groups that hold every pair at the threshold, but for the chance stated above."""
+    roots = _roots(trees_for(recall, threshold))
+    hot = work.stage(hot_nodes(sampled(heads.select("rep", "sig")).mapInArrow(roots, "node long, rep long"), 4 * SMALL), "hot")
+    nodes = heads.select("rep", "sig").mapInArrow(roots, "node long, rep long").join(F.broadcast(hot), "node", "left")
+    nodes = nodes.select(F.expr("if(pivot IS NULL, node, xxhash64(rep))").alias("node"), "rep", F.coalesce("pivot", F.lit(-1)).alias("pivot"))
+    marked = work.stage(by_node(nodes.filter("pivot = -1").select("node", "rep"), "rep").mapInArrow(_shared(SMALL), "node long, rep long, pivot long"), "shared")
+    if hot.take(1):
+        marked = marked.unionByName(nodes.filter("pivot <> -1"))
+    shared = marked.filter("pivot = -1").select("node", "rep").distinct().join(heads.select("rep", "sig"), "rep")
+    found = by_node(shared).mapInArrow(_agreeing(least_agreeing(recall, threshold)), "a long, b long")
+    stars = marked.filter("pivot <> -1 AND pivot <> rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+    return contracted(work.stage(found.unionByName(stars).distinct(), "candidates"), None, work)
+
+
+def _confirmed(rows: DataFrame, placed: DataFrame, shingle_words: int, part: int, whole: int) -> DataFrame:
+    """Links within the nodes of ``placed`` (``node, rep, label``, each rep in one node), on full sets."""
+    wide = with_label(rows.select(F.col("uid").alias("rep"), "text"), placed, "rep", placed.count()).select("node", "rep", "label", "text")
+    sets = wide.mapInArrow(_sets(shingle_words, ("node", "rep", "label")), "node long, rep long, label long, shingles binary")
+    return by_node(sets, "rep").mapInArrow(_exhaustive(part, whole), "a long, b long")
+
+
+def _large_groups(rows: DataFrame, heads: DataFrame, large: DataFrame, labels: DataFrame, shingle_words: int, part: int, whole: int, recall: float, work: Workspace) -> DataFrame:
+    """``labels`` after the links of groups that no task can compare as a whole."""
+    threshold = part / whole
+    large = work.stage(large, "large")
+    wide = with_label(rows.select(F.col("uid").alias("rep"), "text"), large.select("rep"), "rep", large.count())
+    sets = work.stage(wide.select("rep", "text").mapInArrow(_sets(shingle_words, ("rep",)), "rep long, shingles binary"), "sets")
+    compare = _exhaustive(part, whole)
+    chunks = chunks_with_pivots(large, CHUNK_ROWS, PIVOTS).join(sets, "rep")
+    labels = contracted(work.stage(by_node(chunks, "rep").mapInArrow(compare, "a long, b long").distinct(), "links"), labels, work)
+    members = work.stage(heads.select("rep", "sig").join(large.select("rep", "grp"), "rep"), "heads")
+    trees = trees_for(recall, threshold, GROWTH)
+    for first in range(0, trees, TREES_AT_ONCE):
+        roots = members.select("rep", "sig").mapInArrow(_roots(min(TREES_AT_ONCE, trees - first), first), "node long, rep long")
+        # rows of different groups are no candidates, so a node holds rows of one group
+        nodes = roots.join(members.select("rep", "grp"), "rep").select(F.xxhash64("node", "grp").alias("node"), "rep")
+        labels = _tree_links(work.stage(nodes, "nodes"), sets, labels, threshold, part, whole, work)
+    return labels
+
+
+def _tree_links(nodes: DataFrame, sets: DataFrame, labels: DataFrame, threshold: float, part: int, whole: int, work: Workspace) -> DataFrame:
+    """``labels`` after the links found in these nodes and those they branch into."""
     for level in range(MAX_LEVELS + 1):
         rows_ = labelled(nodes, labels)
         # few different pivots, so that trees which gather the same rows mostly compare the same pairs
@@ -275,36 +414,28 @@ def _grouped(docs: DataFrame, shingle_words: int, part: int, whole: int, recall:
         shared = shared.groupBy("n", "who").agg(F.min(F.struct("node", "pivot")).alias("x")).select("n", "x.node", "x.pivot")
         live = work.stage(rows_.join(shared, "node"), "live")
         work.drop(nodes)
-        if sets is None:
-            wanted = live.select(F.col("rep").alias("uid")).distinct()
-            sets = work.stage(rows.select("uid", "text").join(wanted, "uid").mapInArrow(_sets(shingle_words), "rep long, shingles binary"), "sets")
-        small, large = live.filter(F.col("n") <= SMALL).select("node", "rep", "label"), live.filter(F.col("n") > SMALL)
-        last = not large.take(1)
+        small, big = live.filter(F.col("n") <= SMALL_SETS).select("node", "rep", "label"), live.filter(F.col("n") > SMALL_SETS)
+        last = not big.take(1)
         if level == MAX_LEVELS and not last:
-            small, last = small.unionByName(_chunk_pairs(large)), True
-        found = small.join(sets, "rep").repartition("node").sortWithinPartitions("node").mapInArrow(_exhaustive(part, whole), "a long, b long")
+            small, last = small.unionByName(_chunk_pairs(big)), True
+        found = by_node(small.join(sets, "rep"), "rep").mapInArrow(_exhaustive(part, whole), "a long, b long")
         if not last:
-            pivots = large.filter("rep = pivot").select("node", F.col("label").alias("l"))
-            pairs = large.join(pivots, "node").filter("label <> l").select("pivot", "rep").distinct()
+            pivots = big.filter("rep = pivot").select("node", F.col("label").alias("l"))
+            pairs = big.join(pivots, "node").filter("label <> l").select("pivot", "rep").distinct()
             stars = sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("pivot_shingles"))
             found = found.unionByName(pairs.join(sets, "rep").join(stars, "pivot").mapInArrow(_with_pivot(part, whole), "a long, b long"))
         labels = contracted(work.stage(found.distinct(), "links"), labels, work)
         if last:
-            break
-        again = work.stage(labelled(large.select("node", "n", "rep"), labels), "again")
+            work.drop(live)
+            return labels
+        again = work.stage(labelled(big.select("node", "n", "rep"), labels), "again")
         mixed = again.groupBy("node").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("node")
         wide = again.join(mixed, "node")
         fresh = work.stage(sets.join(wide.select("rep").distinct(), "rep").select("rep", "shingles").mapInArrow(_fresh(level), "rep long, sig binary"), "fresh")
         branching = wide.join(fresh, "rep").select("node", "n", "rep", "sig")
         nodes = work.stage(branching.mapInArrow(_branch(threshold, level), "node long, rep long"), "nodes")
         work.drop(live, again, fresh)
-    roots = work.stage(labelled(classes, labels).withColumnRenamed("label", "root"), "roots")
-    least = roots.groupBy("root").agg(F.min("least").alias("first"))
-    of_class = work.stage(roots.join(least, "root").select("n", "low", "high", F.col("first.id").alias("component_id"), F.col("first.uid").alias("stays")), "components")
-    own = F.col("n") == 0
-    return profiles.select("uid", "id", "n", "low", "high").join(of_class, ["n", "low", "high"], "left").select(
-        "uid", "id", "n", F.when(own, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.when(own, F.col("uid")).otherwise(F.col("stays")).alias("stays")
-    )
+    return labels
 
 
 def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -328,9 +459,9 @@ def contracted(links: DataFrame, labels: DataFrame | None, work: Workspace) -> D
 
 
 def _chunk_pairs(large: DataFrame) -> DataFrame:
-    """Rows of large nodes as the small nodes of all pairs of chunks of ``CHUNK_ROWS`` rows."""
-    numbered = large.withColumn("chunk", F.expr(f"cast((row_number() OVER (PARTITION BY node ORDER BY rep) - 1) / {CHUNK_ROWS} AS int)"))
-    last = f"cast((n - 1) / {CHUNK_ROWS} AS int)"
+    """Rows of large nodes as the small nodes of all pairs of chunks of half ``SMALL_SETS`` rows."""
+    numbered = large.withColumn("chunk", F.expr(f"cast((row_number() OVER (PARTITION BY node ORDER BY rep) - 1) / {SMALL_SETS // 2} AS int)"))
+    last = f"cast((n - 1) / {SMALL_SETS // 2} AS int)"
     return numbered.select(F.explode(F.expr(f"sequence(0, {last})")).alias("other"), "node", "rep", "label", "chunk").select(
         F.xxhash64("node", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("node"), "rep", "label"
     )
