@@ -66,19 +66,22 @@ def test_near_duplicates(docs, texts, monkeypatch, whole):
     assert near_dedup.keep_one(docs, 3, 85, 100).count() == len({groups.find(i) for i in range(len(texts))})
 
 
-def test_lines(docs, texts, monkeypatch):
-    monkeypatch.setattr(line_dedup, "SMALL", 6)
+@pytest.mark.parametrize("whole", [True, False])
+def test_lines(docs, texts, monkeypatch, whole):
+    """Groups by edit similarity alone, without the operator's blocks and SimHashes."""
+    if not whole:  # so that blocks and groups too large for a task occur
+        for name, value in (("SMALL", 6), ("GROUP_ROWS", 6), ("SMALL_TEXTS", 8), ("CHUNK_ROWS", 8), ("PIVOTS", 2), ("MAX_LEVELS", 1)):
+            monkeypatch.setattr(line_dedup, name, value)
     places: dict[str, list] = {}
     for i, t in enumerate(texts):
         for k, line in enumerate(t.split("\n")):
             places.setdefault(line_dedup.normalise(line), []).append((i, k))
     lines = list(places)
-    sims = line_dedup.simhashes([x.encode() for x in lines])[2]
     groups = Groups(len(lines))
-    for i in range(len(lines)):
-        for j in np.flatnonzero(np.bitwise_count(sims[:i] ^ sims[i]) <= line_dedup.DISTANCE):
-            if line_dedup.similar(lines[i], lines[j]):
-                groups.join(i, int(j))
+    for i, a in enumerate(lines):
+        for j in range(i):
+            if groups.find(i) != groups.find(j) and line_dedup.similar(a, lines[j]):
+                groups.join(i, j)
     members: dict[int, list] = {}
     for i, x in enumerate(lines):
         members.setdefault(groups.find(i), []).extend(places[x])

@@ -39,6 +39,25 @@ def test_line_recall_without_a_gate(spark):
     assert len(short) > 20 and all(short) and sum(found) >= 0.97 * len(found)
 
 
+def test_one_changed_letter(spark):
+    """Nine of ten lines of any length from 6 to 80 words meet their copy with one changed letter; so does the review's pair."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    rows, lengths = [], (6, 10, 15, 25, 40, 80)
+    for i in range(600):
+        line = " ".join(rng.choice(vocabulary) for _ in range(lengths[i % 6]))
+        at = rng.randrange(len(line))
+        rows += [(2 * i, line), (2 * i + 1, line[:at] + "z" + line[at + 1 :])]
+    said = "the committee reviewed every proposal before the final meeting{} in october and approved"
+    rows += [(1200, said.format("")), (1201, said.format("s"))]
+    out = {r.doc_id: r.keep_id for r in line_dedup.line_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = [out[2 * i] == out[2 * i + 1] for i in range(600)]
+    share = {n: sum(found[k::6]) / 100 for k, n in enumerate(lengths)}
+    print(share)
+    assert min(share.values()) >= 0.9 and out[1201] == 1200
+    assert sum(out[2 * i] == 2 * i for i in range(600)) >= 598  # unlike lines stay apart
+
+
 @pytest.mark.parametrize("whole", [True, False])
 def test_chain_of_near_copies_at_the_threshold(spark, monkeypatch, tmp_path, whole):
     if not whole:  # so that the group branches for as many levels as one of thousands

@@ -23,6 +23,14 @@ def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string")
 
 
+def unused(rows: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``rows`` doesn't have; Spark's names differ by more than case."""
+    taken, out = {c.lower() for c in rows.columns}, f"__{name}"
+    while out in taken:
+        out += "_"
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
@@ -119,3 +127,9 @@ BROADCAST_ROWS = 1_000_000
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def input_bytes(rows: DataFrame) -> int:
+    """The optimizer's estimate of the table's size, which for files is their size; 0 where it has none."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 50 else 0

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, shuffle_partitions
+from .components import components
 
 #: One row of so many is counted to find nodes that a large share of all rows falls into.
 SAMPLE = 64
@@ -42,16 +43,19 @@ def whole_nodes(batches, key: str = "node"):
         yield held
 
 
-def spanning(node: np.ndarray, near) -> list[tuple[int, int]]:
-    """Pairs of row numbers that connect what ``near(i, j)`` (arrays of rows in, a mask out) connects within each node."""
+def spanning(node: np.ndarray, rep: np.ndarray, near) -> list[tuple[int, int]]:
+    """Pairs of rows that connect what ``near(i, j)`` (arrays of row numbers in, a mask out) connects within each node.
+
+    Each connected group becomes a star around its row of smallest ``rep``: stars of several nodes merge in few steps.
+    """
     n = len(node)
     group, members = np.arange(n), {}
-    found, at, d = [], np.arange(n), 1
+    at, d = np.arange(n), 1
     while True:
         at = at[at + d < n]
         at = at[node[at] == node[at + d]]
         if not len(at):
-            return found
+            break
         apart = at[group[at] != group[at + d]]
         if len(apart):
             for i in apart[near(apart, apart + d)].tolist():
@@ -62,8 +66,12 @@ def spanning(node: np.ndarray, near) -> list[tuple[int, int]]:
                         a, b, x, y = b, a, y, x
                     group[y] = a
                     members[a] = x + y
-                    found.append((i, i + d))
         d += 1
+    found = []
+    for rows in members.values():
+        lead = min(rows, key=lambda i: rep[i])
+        found += [(lead, i) for i in rows if i != lead]
+    return found
 
 
 def hot_nodes(sample: DataFrame, least: int) -> DataFrame:
@@ -103,3 +111,71 @@ def chunks_with_pivots(large: DataFrame, rows: int, pivots: int) -> DataFrame:
     spread = first.select("grp", "size", F.explode("heads.rep").alias("rep")).select("grp", "rep", F.explode(F.expr(f"sequence(0, cast(size / {rows} AS int))")).alias("chunk"))
     both = placed.select("grp", "rep", F.col("chunk").cast("long").alias("chunk")).unionByName(spread.select("grp", "rep", F.col("chunk").cast("long").alias("chunk"))).distinct()
     return both.select(F.xxhash64("grp", "chunk").alias("node"), "rep", F.col("rep").alias("label"))
+
+
+def node_links(nodes: DataFrame, payload: DataFrame, labels: DataFrame | None, small_rows: int, levels: int, exhaustive, verify, branch, work: Workspace) -> DataFrame:
+    """``rep, label`` after the links found in these staged nodes (``node, rep``) and those they branch into.
+
+    Nodes of at most ``small_rows`` rows are compared by ``exhaustive`` (sorted by node) on ``payload`` (``rep`` and more); rows of a
+    larger node are compared with a pivot by ``verify`` (the pivot's columns are named ``pivot_...``) and
+    ``branch(rows, level, work)`` makes its children. Nodes of one label are done. After ``levels`` levels chunk pairs are compared.
+    """
+    stars = payload.select(F.col("rep").alias("pivot"), *(F.col(c).alias(f"pivot_{c}") for c in payload.columns if c != "rep"))
+    for level in range(levels + 1):
+        rows = labelled(nodes, labels)
+        # few different pivots, so that trees which gather the same rows mostly compare the same pairs
+        pivot = F.expr("min(struct(xxhash64(rep, node & 3), rep)).rep").alias("pivot")
+        shared = rows.groupBy("node").agg(
+            F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(rep))").alias("who"), F.min("label").alias("l0"), F.max("label").alias("l1"), pivot
+        ).filter("n > 1 AND l0 < l1")
+        # trees that gather the same rows need one comparison
+        shared = shared.groupBy("n", "who").agg(F.min(F.struct("node", "pivot")).alias("x")).select("n", "x.node", "x.pivot")
+        live = work.stage(rows.join(shared, "node"), "live")
+        work.drop(nodes)
+        small, big = live.filter(F.col("n") <= small_rows).select("node", "rep", "label"), live.filter(F.col("n") > small_rows)
+        last = not big.take(1)
+        if level == levels and not last:
+            small, last = small.unionByName(_chunk_pairs(big, small_rows)), True
+        found = by_node(small.join(payload, "rep"), "rep").mapInArrow(exhaustive, "a long, b long")
+        if not last:
+            pivots = big.filter("rep = pivot").select("node", F.col("label").alias("l"))
+            pairs = big.join(pivots, "node").filter("label <> l").select("pivot", "rep").distinct()
+            found = found.unionByName(pairs.join(payload, "rep").join(stars, "pivot").mapInArrow(verify, "a long, b long"))
+        labels = contracted(work.stage(found.distinct(), "links"), labels, work)
+        if last:
+            work.drop(live)
+            return labels
+        again = work.stage(labelled(big.select("node", "n", "rep"), labels), "again")
+        mixed = again.groupBy("node").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("node")
+        nodes = branch(again.join(mixed, "node").select("node", "n", "rep"), level, work)
+        work.drop(live, again)
+    return labels
+
+
+def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows with the label of their ``rep``: itself where no link has reached it."""
+    if labels is None:
+        return rows.withColumn("label", F.col("rep"))
+    return rows.join(labels.withColumnRenamed("label", "known"), "rep", "left").withColumn("label", F.coalesce("known", "rep")).drop("known")
+
+
+def contracted(links: DataFrame, labels: DataFrame | None, work: Workspace) -> DataFrame:
+    """``rep, label`` after new links (``a, b``): components run over labels, not over all links so far."""
+    if labels is None:
+        return work.stage(components(links, work).select(F.col("node").alias("rep"), F.col("root").alias("label")), "labels")
+    a = labelled(links.select(F.col("a").alias("rep"), "b"), labels).select(F.col("label").alias("a"), F.col("b").alias("rep"))
+    ends = work.stage(labelled(a, labels).select("a", F.col("label").alias("b")).filter("a <> b").distinct(), "ends")
+    if not ends.take(1):
+        return labels
+    roots = work.stage(components(ends, work), "contracted")
+    known = labels.unionByName(roots.select(F.col("node").alias("rep"), F.col("node").alias("label"))).groupBy("rep").agg(F.min("label").alias("label"))
+    return work.stage(known.join(roots.withColumnRenamed("node", "label"), "label", "left").select("rep", F.coalesce("root", "label").alias("label")), "labels")
+
+
+def _chunk_pairs(large: DataFrame, most: int) -> DataFrame:
+    """Rows of large nodes as the small nodes of all pairs of chunks of ``most / 2`` rows."""
+    numbered = large.withColumn("chunk", F.expr(f"cast((row_number() OVER (PARTITION BY node ORDER BY rep) - 1) / {most // 2} AS int)"))
+    last = f"cast((n - 1) / {most // 2} AS int)"
+    return numbered.select(F.explode(F.expr(f"sequence(0, {last})")).alias("other"), "node", "rep", "label", "chunk").select(
+        F.xxhash64("node", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("node"), "rep", "label"
+    )

@@ -30,9 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Workspace, table, text_or_empty, with_label
-from .components import components
-from .groups import by_node, chunks_with_pivots, hot_nodes, members_of, pairs_batch, sampled, spanning, whole_nodes
+from .common import BROADCAST_ROWS, Workspace, table, text_or_empty, unused, with_label
+from .groups import by_node, chunks_with_pivots, contracted, hot_nodes, labelled, members_of, node_links, pairs_batch, sampled, spanning, whole_nodes
 from .shingles import common, document_words, mix, seeded, shingle_set, signature
 
 COORDINATES, START, SMALL = 64, 2, 2048
@@ -185,7 +184,7 @@ def _agreeing(least: int):
         for rows in whole_nodes(batches):
             sigs = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, COORDINATES)
             rep = rows.column("rep").to_numpy()
-            found = spanning(rows.column("node").to_numpy(), lambda i, j: (sigs[i] == sigs[j]).sum(axis=1) >= least)
+            found = spanning(rows.column("node").to_numpy(), rep, lambda i, j: (sigs[i] == sigs[j]).sum(axis=1) >= least)
             yield pairs_batch([(rep[i], rep[j]) for i, j in found])
 
     return run
@@ -278,7 +277,7 @@ def _exhaustive(part: int, whole: int):
                 fresh = np.flatnonzero((near[k] | (known == known[k])) & ~seen)
                 seen[fresh] = True
                 edge += fresh.tolist()
-                found += [(ids[k], ids[j]) for j in fresh if labels[j] != labels[k]]
+                found += [(ids[i], ids[j]) for j in fresh if labels[j] != labels[i]]
         return found
 
     def run(batches):
@@ -299,7 +298,7 @@ def _with_pivot(part: int, whole: int):
             left, right = (batch.column(c).to_pylist() for c in ("shingles", "pivot_shingles"))
             ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), part, whole) for x, y in zip(left, right)]
             keep = pa.array(np.flatnonzero(ok), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("pivot").take(keep), batch.column("rep").take(keep)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("pivot", "rep")], ["a", "b"])
 
     return run
 
@@ -326,10 +325,11 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, part: int = 4, whole: int
     Null ids come last. Texts without shingles all stay. ``docs`` is scanned three times, see ``near_duplicates``.
     """
     groups, work = _grouped(docs, shingle_words, part, whole, recall, id_col, text_col)
-    gone = work.stage(groups.filter("uid <> stays").select(F.col("uid").alias("__uid")), "gone")
+    uid = unused(docs, "uid")
+    gone = work.stage(groups.filter("uid <> stays").select(F.col("uid").alias(uid)), "gone")
     work.keep_only(gone)
-    rows, n = docs.withColumn("__uid", F.monotonically_increasing_id()), gone.count()
-    return rows.join(F.broadcast(gone) if n <= BROADCAST_ROWS else gone, "__uid", "left_anti").select(*docs.columns)
+    rows, n = docs.withColumn(uid, F.monotonically_increasing_id()), gone.count()
+    return rows.join(F.broadcast(gone) if n <= BROADCAST_ROWS else gone, uid, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def _grouped(docs: DataFrame, shingle_words: int, part: int, whole: int, recall: float, id_col: str, text_col: str) -> tuple[DataFrame, Workspace]:
@@ -397,74 +397,19 @@ def _large_groups(rows: DataFrame, heads: DataFrame, large: DataFrame, labels: D
         roots = members.select("rep", "sig").mapInArrow(_roots(min(TREES_AT_ONCE, trees - first), first), "node long, rep long")
         # rows of different groups are no candidates, so a node holds rows of one group
         nodes = roots.join(members.select("rep", "grp"), "rep").select(F.xxhash64("node", "grp").alias("node"), "rep")
-        labels = _tree_links(work.stage(nodes, "nodes"), sets, labels, threshold, part, whole, work)
+        labels = node_links(
+            work.stage(nodes, "nodes"), sets, labels, SMALL_SETS, MAX_LEVELS, compare, _with_pivot(part, whole),
+            lambda rows, level, work: _children(rows, sets, level, threshold, work), work,
+        )
     return labels
 
 
-def _tree_links(nodes: DataFrame, sets: DataFrame, labels: DataFrame, threshold: float, part: int, whole: int, work: Workspace) -> DataFrame:
-    """``labels`` after the links found in these nodes and those they branch into."""
-    for level in range(MAX_LEVELS + 1):
-        rows_ = labelled(nodes, labels)
-        # few different pivots, so that trees which gather the same rows mostly compare the same pairs
-        pivot = F.expr("min(struct(xxhash64(rep, node & 3), rep)).rep").alias("pivot")
-        shared = rows_.groupBy("node").agg(
-            F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(rep))").alias("who"), F.min("label").alias("l0"), F.max("label").alias("l1"), pivot
-        ).filter("n > 1 AND l0 < l1")
-        # trees that gather the same rows need one comparison
-        shared = shared.groupBy("n", "who").agg(F.min(F.struct("node", "pivot")).alias("x")).select("n", "x.node", "x.pivot")
-        live = work.stage(rows_.join(shared, "node"), "live")
-        work.drop(nodes)
-        small, big = live.filter(F.col("n") <= SMALL_SETS).select("node", "rep", "label"), live.filter(F.col("n") > SMALL_SETS)
-        last = not big.take(1)
-        if level == MAX_LEVELS and not last:
-            small, last = small.unionByName(_chunk_pairs(big)), True
-        found = by_node(small.join(sets, "rep"), "rep").mapInArrow(_exhaustive(part, whole), "a long, b long")
-        if not last:
-            pivots = big.filter("rep = pivot").select("node", F.col("label").alias("l"))
-            pairs = big.join(pivots, "node").filter("label <> l").select("pivot", "rep").distinct()
-            stars = sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("pivot_shingles"))
-            found = found.unionByName(pairs.join(sets, "rep").join(stars, "pivot").mapInArrow(_with_pivot(part, whole), "a long, b long"))
-        labels = contracted(work.stage(found.distinct(), "links"), labels, work)
-        if last:
-            work.drop(live)
-            return labels
-        again = work.stage(labelled(big.select("node", "n", "rep"), labels), "again")
-        mixed = again.groupBy("node").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("node")
-        wide = again.join(mixed, "node")
-        fresh = work.stage(sets.join(wide.select("rep").distinct(), "rep").select("rep", "shingles").mapInArrow(_fresh(level), "rep long, sig binary"), "fresh")
-        branching = wide.join(fresh, "rep").select("node", "n", "rep", "sig")
-        nodes = work.stage(branching.mapInArrow(_branch(threshold, level), "node long, rep long"), "nodes")
-        work.drop(live, again, fresh)
-    return labels
-
-
-def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The rows with the label of their ``rep``: itself where no link has reached it."""
-    if labels is None:
-        return rows.withColumn("label", F.col("rep"))
-    return rows.join(labels.withColumnRenamed("label", "known"), "rep", "left").withColumn("label", F.coalesce("known", "rep")).drop("known")
-
-
-def contracted(links: DataFrame, labels: DataFrame | None, work: Workspace) -> DataFrame:
-    """``rep, label`` after new links (``a, b``): components run over labels, not over all links so far."""
-    if labels is None:
-        return work.stage(components(links, work).select(F.col("node").alias("rep"), F.col("root").alias("label")), "labels")
-    a = labelled(links.select(F.col("a").alias("rep"), "b"), labels).select(F.col("label").alias("a"), F.col("b").alias("rep"))
-    ends = work.stage(labelled(a, labels).select("a", F.col("label").alias("b")).filter("a <> b").distinct(), "ends")
-    if not ends.take(1):
-        return labels
-    roots = work.stage(components(ends, work), "contracted")
-    known = labels.unionByName(roots.select(F.col("node").alias("rep"), F.col("node").alias("label"))).groupBy("rep").agg(F.min("label").alias("label"))
-    return work.stage(known.join(roots.withColumnRenamed("node", "label"), "label", "left").select("rep", F.coalesce("root", "label").alias("label")), "labels")
-
-
-def _chunk_pairs(large: DataFrame) -> DataFrame:
-    """Rows of large nodes as the small nodes of all pairs of chunks of half ``SMALL_SETS`` rows."""
-    numbered = large.withColumn("chunk", F.expr(f"cast((row_number() OVER (PARTITION BY node ORDER BY rep) - 1) / {SMALL_SETS // 2} AS int)"))
-    last = f"cast((n - 1) / {SMALL_SETS // 2} AS int)"
-    return numbered.select(F.explode(F.expr(f"sequence(0, {last})")).alias("other"), "node", "rep", "label", "chunk").select(
-        F.xxhash64("node", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("node"), "rep", "label"
-    )
+def _children(wide: DataFrame, sets: DataFrame, level: int, threshold: float, work: Workspace) -> DataFrame:
+    """``node, rep`` of the nodes that rows of large nodes (``node, n, rep``) branch into."""
+    fresh = work.stage(sets.join(wide.select("rep").distinct(), "rep").select("rep", "shingles").mapInArrow(_fresh(level), "rep long, sig binary"), "fresh")
+    nodes = work.stage(wide.join(fresh, "rep").select("node", "n", "rep", "sig").mapInArrow(_branch(threshold, level), "node long, rep long"), "nodes")
+    work.drop(fresh)
+    return nodes
 
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
