@@ -5,12 +5,13 @@ high recall propose further, overlapping spans of each kind: spelled-out e-mail
 phone numbers without a leading plus, card numbers with other separators; besides the longest matches, every sub-run of digit
 groups and of domain labels that fits its kind, and bare runs of 7 to 15 digits. Boosted trees score each candidate on its format and
 its context; a threshold for each kind, calibrated on held-out examples for precision, selects redactions; of overlapping
-selected spans of one kind the most probable stays. Trees are trained once from labelled examples, which are generated
+selected spans of one kind the most probable stays. Trees are trained on the driver, once in a process, and broadcast; their labelled examples are generated
 from formats of personal data and of look-alikes (versions, hashes, dates, order numbers) in a fixed, seeded number.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import random
@@ -87,7 +88,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
         at = text.find("@", max(at + 1, end))
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p) < 4 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
                 out["ip"].append(m.span())
         for m in _CARD.finditer(text):
             if 16 <= len(d := _digits(m[0])) <= 19 and luhn(d):
@@ -247,24 +248,42 @@ def model() -> tuple[Boosted, dict[str, float]]:
     return trees, limits
 
 
-def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int]]:
+def added_spans(text: str, base: dict[str, list[tuple[int, int]]], fitted: tuple[Boosted, dict[str, float]] | None = None) -> list[tuple[str, int, int]]:
     """Selected candidates that overlap no base span; of overlapping ones of a kind, the most probable, then the first."""
-    taken = sorted(s for spans in base.values() for s in spans)
-    found = [(k, a, b) for k, a, b in proposals(text) if not _overlaps(taken, a, b)]
+    taken = Spans()
+    for spans in base.values():
+        for a, b in spans:
+            taken.add(a, b)
+    found = [(k, a, b) for k, a, b in proposals(text) if not taken.meets(a, b)]
     if not found:
         return []
-    trees, limits = model()
+    trees, limits = fitted or model()
     p = trees.probability(np.array([features(text, *f) for f in found], dtype=float))
     out: list[tuple[str, int, int]] = []
+    chosen = {k: Spans() for k in KINDS}
     for _, (k, a, b) in sorted((-q, f) for q, f in zip(p, found) if q >= limits[f[0]]):
-        if not any(k == k2 and a < b2 and a2 < b for k2, a2, b2 in out):
+        if not chosen[k].meets(a, b):
+            chosen[k].add(a, b)
             out.append((k, a, b))
     return out
 
 
-def _overlaps(spans: list[tuple[int, int]], a: int, b: int) -> bool:
-    """spans: sorted; few of one text overlap each other."""
-    return any(s < b and a < e for s, e in spans)
+class Spans:
+    """A union of intervals, kept as sorted disjoint ones."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect.bisect_right(self.ends, a)
+        return i < len(self.starts) and self.starts[i] < b
+
+    def add(self, a: int, b: int) -> None:
+        i, j = bisect.bisect_right(self.ends, a), bisect.bisect_left(self.starts, b)
+        if i < j:
+            a, b = min(a, self.starts[i]), max(b, self.ends[j - 1])
+        self.starts[i:j], self.ends[i:j] = [a], [b]
 
 
 def listed(spans) -> str:
@@ -282,14 +301,14 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _find(with_text: bool):
+def _find(with_text: bool, fitted):
     def run(batches):
         for batch in batches:
             counts, digests, spans, texts = [[] for _ in KINDS], [], [], []
             for text in batch.column(1).to_pylist():
                 base = base_spans(text)
                 own = [(k, a, b) for k in KINDS for a, b in base[k]]
-                every = own + added_spans(text, base)
+                every = own + added_spans(text, base, fitted.value)
                 for c, k in zip(counts, KINDS):
                     c.append(len(base[k]))
                 digests.append(hashlib.sha256(listed(own).encode()).hexdigest())
@@ -316,12 +335,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, " + "".join(f"n_{k} long, " for k in KINDS) + "base_sha256 string, spans string" + ", redacted string" * with_text
-    return rows.mapInArrow(_find(with_text), schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_find(with_text, docs.sparkSession.sparkContext.broadcast(model())), schema).withColumnRenamed("id", id_col)
 
 
 def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The input rows and columns with personal data replaced in the text; a null text stays null."""
-    position = docs.columns.index(text_col)
+    position, fitted = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(model())
 
     def run(batches):
         for batch in batches:
@@ -329,7 +348,7 @@ def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for text in batch.column(position).to_pylist():
                 if text is not None:
                     base = base_spans(text)
-                    text = redact(text, [(k, a, b) for k in KINDS for a, b in base[k]] + added_spans(text, base))
+                    text = redact(text, [(k, a, b) for k in KINDS for a, b in base[k]] + added_spans(text, base, fitted.value))
                 out.append(text)
             yield batch.set_column(position, batch.schema.names[position], pa.array(out, pa.string()))
 
