@@ -135,9 +135,12 @@ def test_pruning_keeps_the_best():
 
 def test_archive_frames():
     rows = [{"row": i, "url": "u", "digest": "0" * 64, "bytes": 5, "refers": None} for i in range(50)]
-    records = [warc.record(r, b"<p>%d" % r["row"] + b"text " * 100) for r in rows]
+    records = [warc.record(r, b"<p>%d" % r["row"] + b"text " * 100, "crawl") for r in rows]
     frames, lead = warc.archive(records)
     assert frames[0][:4] == bytes.fromhex("5d2a4d18") and len(frames[0]) == lead and len(frames) == 51
+    odd = warc.record({**rows[0], "url": "http://a/\r\nX: y\r\n\r\n\u2028é"}, b"12345", "crawl")
+    assert warc.parse(odd)[0]["warc-target-uri"] == "http://a/%0D%0AX: y%0D%0A%0D%0A%E2%80%A8é" and "x" not in warc.parse(odd)[0]
+    assert len({warc.record_id(run, 1) for run in ("a", "b")}) == 2
     headers, block = warc.parse(records[7])
     assert headers["warc-type"] == "response" and block.endswith(b"text ")
 

@@ -32,27 +32,34 @@ DICTIONARY_BYTES, SAMPLE_BYTES = 65_536, 2_000_000
 READ_BYTES = 4_000_000
 
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
+_CONTROL = re.compile("[\x00-\x1f\x7f-\x9f\u2028\u2029\ud800-\udfff]")
 _MANIFEST = "archive string, first long, length long, records long"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
 
 
-def record_id(key: object) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'page:{key}')}>"
+def record_id(run: str, row: int) -> str:
+    """The URN of a row's record; ``run`` is drawn for each write, so other crawls give other names, and a repeated task the same."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{run}:{row}')}>"
 
 
-def record(row: dict, payload: bytes | None) -> bytes:
+def header_value(text: str) -> str:
+    """``text`` with control characters and lone surrogates percent-encoded, so that it stays within its header line."""
+    return _CONTROL.sub(lambda m: "".join(f"%{x:02X}" for x in m[0].encode("utf-8", "surrogatepass")), text)
+
+
+def record(row: dict, payload: bytes | None, run: str) -> bytes:
     """The WARC/1.1 record of a row; without a payload, a revisit (profile identical-payload-digest)."""
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if payload is None else 'response'}",
-        f"WARC-Record-ID: {record_id(row['row'])}",
+        f"WARC-Record-ID: {record_id(run, row['row'])}",
         "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Target-URI: {row['url']}",
+        f"WARC-Target-URI: {header_value(row['url'])}",
         f"WARC-Payload-Digest: sha256:{row['digest']}",
         f"WARC-Row: {row['row']}",
     ]
     if payload is None:
-        head += [f"WARC-Refers-To: {record_id(row['refers'])}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {record_id(run, row['refers'])}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
         kind, block = "application/http; msgtype=response", _HTTP % row["bytes"]
     else:
         kind, block = "application/http; msgtype=response", _HTTP % row["bytes"] + payload
@@ -71,11 +78,17 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:size]
 
 
+def qualified(spark, folder: str) -> str:
+    """The folder with the scheme and authority that Spark itself resolves it to: without a scheme, that of the default file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def filesystem(uri: str):
-    """(pyarrow file system, path) of a folder."""
+    """(pyarrow file system, path) of a qualified folder; Hadoop's names of S3 are pyarrow's ``s3``."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if re.match(r"\w+:/", uri) else f"file://{uri}")
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]:", "s3:", uri)))
 
 
 def train(records: list[bytes]):
@@ -104,7 +117,7 @@ def archive(records: list[bytes]) -> tuple[list[bytes], int]:
     return [lead, *(packer.compress(x) for x in records)], len(lead)
 
 
-def _write(folder: str):
+def _write(folder: str, crawl: str):
     def run(batches):
         store, base = filesystem(folder)
         pending: list[bytes] = []
@@ -133,7 +146,7 @@ def _write(folder: str):
         for batch in batches:
             for row in batch.to_pylist():
                 payload = row["html"].encode() if row["html"] is not None else b""
-                raw = record(row, None if row["refers"] is not None else payload)
+                raw = record(row, None if row["refers"] is not None else payload, crawl)
                 pending.append(raw)
                 size += len(raw)
                 if size >= ARCHIVE_BYTES:
@@ -192,7 +205,7 @@ def write_warc(pages: DataFrame, folder: str, work: Workspace, id_col: str = "pa
     """Write an archive record per row into ``folder``; returns the staged manifest and the staged keys (row, id).
 
     Of equal payloads of at least ``LEAST_REVISIT`` bytes the row with the smallest id is the response and the
-    others revisit it. Null html is an empty payload. Rows are numbered, so null and repeated ids keep
+    others revisit it. Null html is an empty payload; control characters of a url are percent-encoded. Rows are numbered, so null and repeated ids keep
     records of their own; among rows of one id the lowest number counts as smallest, null ids come last.
     """
     html = text_or_empty(html_col)
@@ -205,9 +218,10 @@ def write_warc(pages: DataFrame, folder: str, work: Workspace, id_col: str = "pa
     )
     whole = rows.select("row", "url", "html", F.octet_length("html").cast("long").alias("bytes"), F.sha2("html", 256).alias("digest"))
     records = whole.join(revisits, "row", "left").select("row", "url", F.when(F.col("refers").isNull(), F.col("html")).alias("html"), "bytes", "digest", "refers")
+    folder = qualified(pages.sparkSession, folder)
     store, base = filesystem(folder)
     store.create_dir(base, recursive=True)
-    return work.stage(records.mapInArrow(_write(folder), _MANIFEST), "manifest"), keys
+    return work.stage(records.mapInArrow(_write(folder, uuid.uuid4().hex), _MANIFEST), "manifest"), keys
 
 
 def read_warc(spark, folder: str, manifest: DataFrame) -> DataFrame:
@@ -215,7 +229,7 @@ def read_warc(spark, folder: str, manifest: DataFrame) -> DataFrame:
 
     ``digest`` and ``bytes`` are computed from the payload as read (null for revisits), ``said`` is the header's digest.
     """
-    return manifest.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(_read(folder), _READ_SCHEMA)
+    return manifest.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(_read(qualified(spark, folder)), _READ_SCHEMA)
 
 
 def warc_roundtrip(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
