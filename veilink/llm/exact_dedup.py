@@ -12,6 +12,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,9 +24,9 @@ from .common import WS, Workspace, shuffle_partitions, table, text_or_empty
 
 #: Rows of a block, as a power of two: 8 MB of fingerprints.
 BLOCK_BITS = 20
-#: Bits of the suspects' filter, as a power of two. It has a fixed size (1 MB), whatever the input; where it
-#: fills up, more texts are shuffled and the result stays the same.
-FILTER_BITS = 23
+#: Bits of the suspects' filter for each of their fingerprints, and the least and the most bits in all, as powers of two.
+#: At the most (32 MB) it fills up with the input; more texts are shuffled then, and the result stays the same.
+BITS_EACH, FILTER_BITS = 16, (16, 28)
 
 
 def owner_of(sorted_hashes: np.ndarray, owners: int) -> np.ndarray:
@@ -67,11 +69,13 @@ def _mark(key: tuple, rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame
 
 
 def _passes(suspects: DataFrame):
-    """A Column over ``h``, true for every suspect's fingerprint: one bit of a scalar bitmap of fixed size."""
-    place = f"shiftrightunsigned(h, {64 - FILTER_BITS})"
+    """A Column over ``h``, true for every suspect's fingerprint: one bit of a scalar bitmap, sized by their number."""
+    many = suspects.agg(F.approx_count_distinct("h")).first()[0]
+    size = min(max(math.ceil(math.log2(BITS_EACH * max(many, 1))), FILTER_BITS[0]), FILTER_BITS[1])
+    place = f"shiftrightunsigned(h, {64 - size})"
     bit = f"shiftleft(1L, cast({place} % 64 AS int))"
     words = suspects.groupBy(F.expr(f"shiftright({place}, 6)").alias("w")).agg(F.expr(f"bit_or({bit})").alias("bits"))
-    every = suspects.sparkSession.range(1 << (FILTER_BITS - 6)).join(F.broadcast(words), F.col("id") == F.col("w"), "left")
+    every = suspects.sparkSession.range(1 << (size - 6)).join(F.broadcast(words), F.col("id") == F.col("w"), "left")
     bitmap = every.agg(F.expr("transform(array_sort(collect_list(struct(id, coalesce(bits, 0L) AS bits))), x -> x.bits)"))
     word = F.element_at(bitmap.scalar(), F.expr(f"cast(shiftright({place}, 6) + 1 AS int)"))
     return word.bitwiseAND(F.expr(bit)) != 0
