@@ -3,7 +3,8 @@
 1. Vectors become integers and are range-partitioned by falling length, ties by row, so equal lengths spread too.
    Within a range, runs of ``BUCKET`` vectors are buckets.
 2. Every query gets a first threshold: its k-th score among the ``SEEDS`` longest vectors, a set of fixed size.
-3. A range is sent only those queries that it can still serve: |q| times its longest vector reaches their threshold.
+3. Queries go in blocks of about ``QUERY_BLOCK``, each broadcast to the ranges. A task serves only those that its vectors
+   can: |q| times the longest reaches their threshold, which rises with what the task has found.
 4. For a query and a bucket, the local cosine threshold is threshold / (|q| * bucket's longest). Over 1, the query is
    done with the range. From ``COORDINATE_FROM`` on, the query's largest coordinates bound those of a partner
    (coordinate pruning); below, vectors too short to reach the threshold go (length pruning).
@@ -24,8 +25,8 @@ from .common import Workspace, shuffle_partitions, table
 BUCKET, SEEDS, FOCUS = 1024, 2048, 6
 #: Local cosine threshold from which coordinates prune better than lengths.
 COORDINATE_FROM = 0.35
-#: Vectors of a range at most; one range with its queries is a task.
-RANGE_ROWS = 32_768
+#: Vectors of a range, about; queries that one broadcast holds, about.
+RANGE_ROWS, QUERY_BLOCK = 32_768, 16_384
 _SLACK = 1e-9
 _EXACT = float(2**53)
 
@@ -105,35 +106,49 @@ def survivors(rows: np.ndarray, norms: np.ndarray, units: np.ndarray, q: np.ndar
     return np.flatnonzero(fits)
 
 
-def _search(k: int):
-    def run(key: tuple, probes: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(probes) and len(asks):
-            probes = probes.sort_values(["norm", "uid"], ascending=[False, True])
-            uids, norms = probes["uid"].to_numpy(), probes["norm"].to_numpy()
-            qs, rows = align(stack(asks["v"]), stack(probes["v"]))
+def _search(k: int, asks):
+    """Candidates for the best of a task's vectors for each query of the block ``asks`` (a broadcast list of uid, norm, v, threshold)."""
+
+    def run(batches):
+        q_rows = stack([a[2] for a in asks.value])
+        thresholds = [-np.inf if a[3] is None else float(a[3]) for a in asks.value]
+        tops = [np.zeros(0, np.int64)] * len(thresholds)  # the k best scores of the task so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            norm, uid = batch.column("norm").to_numpy(), batch.column("uid").to_numpy()
+            order = np.lexsort((uid, -norm))
+            norms, uids = norm[order], uid[order]
+            qs, rows = align(q_rows, stack(batch.column("v").to_pylist())[order])
             units = rows / np.where(norms == 0, 1, norms)[:, None]
-            ids = probes["id"].to_numpy()
-            for q_uid, q_norm, q, first in zip(asks["uid"], asks["norm"], qs, asks["threshold"]):
-                best = [np.zeros(0, np.int64), np.zeros(0, np.int64)]  # scores, places
-                threshold = -np.inf if pd.isna(first) else float(int(first))
+            ids = batch.column("id").take(pa.array(order)).to_pandas().to_numpy()
+            out = []
+            for i, (q_uid, q_norm, _, _) in enumerate(asks.value):
+                threshold = thresholds[i]
+                if threshold > 0 and q_norm * norms[0] * (1 + _SLACK) < threshold:
+                    continue
+                scores, places = np.zeros(0, np.int64), np.zeros(0, np.int64)
                 for a in range(0, len(rows), BUCKET):
                     b = min(a + BUCKET, len(rows))
-                    left = survivors(rows[a:b], norms[a:b], units[a:b], q, q_norm, threshold)
+                    left = survivors(rows[a:b], norms[a:b], units[a:b], qs[i], q_norm, threshold)
                     if left is None:
                         break
                     left = left[uids[a:b][left] != q_uid] + a
-                    scores = products(rows[left], q)
-                    good = scores >= threshold
-                    scores, left = np.concatenate((best[0], scores[good])), np.concatenate((best[1], left[good]))
+                    got = products(rows[left], qs[i])
+                    good = got >= threshold
+                    scores, places = np.concatenate((scores, got[good])), np.concatenate((places, left[good]))
                     if len(scores) > k:
-                        keep = np.lexsort((uids[left], pd.isna(ids[left]), np.where(pd.isna(ids[left]), 0, ids[left]), -scores))[:k]
-                        scores, left = scores[keep], left[keep]
+                        own = ids[places]
+                        keep = np.lexsort((uids[places], pd.isna(own), np.where(pd.isna(own), 0, own), -scores))[:k]
+                        scores, places = scores[keep], places[keep]
                     if len(scores) == k:
                         threshold = max(threshold, float(scores.min()))
-                    best = [scores, left]
-                out += [(q_uid, uids[p], s) for s, p in zip(*best)]
-        return pd.DataFrame(out, columns=["q_uid", "uid", "score"]).astype("int64")
+                if len(scores):
+                    out += zip([q_uid] * len(scores), uids[places].tolist(), scores.tolist())
+                    tops[i] = np.sort(np.concatenate((tops[i], scores)))[-k:]
+                    if len(tops[i]) == k:
+                        thresholds[i] = max(thresholds[i], float(tops[i][0]))
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in range(3)], ["q_uid", "uid", "score"])
 
     return run
 
@@ -143,7 +158,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float
 
     Components become floor(scale * x). Ties go to the smaller id, then to the earlier row; null ids come last. Vectors
     that are null, or hold null or non-finite components, take no part. Shorter vectors count as filled with zeros. Rows
-    that repeat an id are rows of their own; only the query's own row is left out. Fewer than k other rows: all of them.
+    that repeat an id are rows of their own; only the query's own row is left out. Fewer than k other rows: all of them. An empty
+    table gives an empty result; other columns are not read.
     """
     spark = vectors.sparkSession
     work = Workspace(spark, "top-k")
@@ -162,19 +178,26 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float
     asks = work.stage(
         packed.filter("q").select("uid", "id", "norm", "v").mapInArrow(_first_thresholds(seeds, k), f"uid long, id {kind}, norm double, v binary, threshold long"), "asks"
     )
-    longest = ranged.groupBy(F.col("range").alias("to")).agg(F.max("norm").alias("longest"))
-    reach = F.col("threshold").isNull() | (F.col("threshold") <= 0) | (F.col("norm") * F.col("longest") * (1 + _SLACK) >= F.col("threshold"))
-    sent = asks.join(F.broadcast(longest), reach).select("to", "uid", "norm", "v", "threshold")
-    found = ranged.select("range", "uid", "id", "norm", "v").groupBy("range").cogroup(sent.groupBy("to")).applyInPandas(_search(k), "q_uid long, uid long, score long")
-    best = Window.partitionBy("q_uid").orderBy(F.desc("score"), F.asc_nulls_last("id"), "uid")
-    ids = packed.select("uid", "id")
+    blocks = max(1, -(-asks.count() // QUERY_BLOCK))
+    for block in range(blocks):
+        own = asks.filter(F.pmod(F.xxhash64("uid"), F.lit(blocks)) == block).select("uid", "norm", "v", "threshold").collect()
+        sent = spark.sparkContext.broadcast([(r["uid"], r["norm"], bytes(r["v"]), r["threshold"]) for r in own])
+        part = ranged.select("uid", "id", "norm", "v").mapInArrow(_search(k, sent), "q_uid long, uid long, score long")
+        # k rows for each query and batch at most; those beyond the k best go before the tables of blocks are joined
+        part = part.join(packed.select("uid", "id"), "uid") if blocks == 1 else work.stage(_first(part.join(packed.select("uid", "id"), "uid"), k), "found")
+        found = part if block == 0 else found.unionByName(part)
+    found = found if blocks > 1 else _first(found, k)
     return (
-        found.join(ids, "uid").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-        .join(asks.select(F.col("uid").alias("q_uid"), F.col("id").alias("query_id")), "q_uid")
+        found.join(asks.select(F.col("uid").alias("q_uid"), F.col("id").alias("query_id")), "q_uid")
         .select("query_id", "rank", F.col("id").alias(id_col), "score")
     )
 
 
+def _first(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("q_uid").orderBy(F.desc("score"), F.asc_nulls_last("id"), "uid")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
 def op7_top_k(spark, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
