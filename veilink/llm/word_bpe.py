@@ -2,8 +2,8 @@
 
 For vocabularies whose pre-tokeniser never lets a token span white space, a text's ids are its words' ids in order.
 
-1. One scan splits the texts into words. Each block (``2**BLOCK_BITS`` rows of an input partition) sends its distinct
-   words, sorted, to their owners (by CRC-32 of the word), as one compressed message to each.
+1. One scan splits the texts into words. Each block (consecutive rows of an input partition, up to ``BLOCK_ROWS`` rows and about
+   ``BLOCK_BYTES`` of text) sends its distinct words, sorted, to their owners (by CRC-32 of the word), as one compressed message to each.
 2. An owner merges its messages into its part of the distinct-word table, encodes each word once, and answers
    each block with the ids, in the message's order.
 3. Blocks meet their answers, join ids back by position, and decode through the id-to-piece table, once per
@@ -25,10 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, shuffle_partitions, table, text_or_empty
+from .common import Workspace, input_bytes, shuffle_partitions, table, text_or_empty
 
-#: Rows of a block, as a power of two.
-BLOCK_BITS = 12
+#: Rows of a block at most, and bytes of text after which the next one begins; a longer text is a block with what comes before it.
+BLOCK_ROWS, BLOCK_BYTES = 4096, 16_000_000
+#: Bytes of input for each owner of words, about.
+OWNER_BYTES = 256_000_000
 #: Bytes of text that are compressed together for the exchange that brings blocks and answers together.
 BUNDLE = 2_000_000
 
@@ -67,10 +69,26 @@ def by_owner(words, owners: int) -> list[list[str]]:
     return out
 
 
+def _blocks():
+    """Numbers the blocks of a partition: a function from (row number, bytes) of consecutive rows to the block."""
+    state = {"rows": 0, "bytes": 0, "block": None}
+
+    def of(uid: int, size: int) -> int:
+        if state["block"] is None or state["rows"] >= BLOCK_ROWS or state["bytes"] >= BLOCK_BYTES:
+            state.update(rows=0, bytes=0, block=uid)  # the first row's number, so blocks of all partitions differ
+        state["rows"] += 1
+        state["bytes"] += size
+        return state["block"]
+
+    return of
+
+
 def _send(owners: int):
     def run(batches):
         import pyarrow as pa
 
+        of = _blocks()
+
         def messages(block, words):
             parts = [(o, _pack(ws)) for o, ws in enumerate(by_owner(words, owners)) if ws]
             return pa.RecordBatch.from_arrays(
@@ -80,7 +98,8 @@ def _send(owners: int):
 
         now, words = None, set()
         for batch in batches:  # blocks come in ascending order within a partition
-            for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                block = of(uid, len(text))
                 if block != now:
                     if words:
                         yield messages(now, words)
@@ -97,9 +116,10 @@ def _bundles(batches):
     import pyarrow as pa
     import zstandard
 
-    packer = zstandard.ZstdCompressor(level=3)
+    packer, of = zstandard.ZstdCompressor(level=3), _blocks()
     for batch in batches:
-        blocks, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        texts = batch.column(2).to_pylist()
+        blocks = [of(uid, len(t)) for uid, t in zip(batch.column(0).to_pylist(), texts)]
         cuts, sizes, blobs, size, first = [], [], [], 0, 0
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         null = batch.column(1).is_null().to_pylist()  # null ids go apart: pandas would turn their list into floats
@@ -193,8 +213,9 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     work = Workspace(spark, "word-bpe")
-    owners = owners or shuffle_partitions(spark)
-    rows = docs.select(F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    partitions = shuffle_partitions(spark)
+    owners = owners or min(max(partitions, input_bytes(docs) // OWNER_BYTES), 64 * partitions)
+    rows = docs.select(F.monotonically_increasing_id().alias("block"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     messages = rows.select("block", "text").mapInArrow(_send(owners), "owner int, block long, words binary")
     answers = work.stage(messages.groupBy("owner").applyInPandas(_answer(path), "block long, owner int, sizes binary, ids binary"), "answers")
