@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import public_tokenizers
-from veilink.llm import golomb, line_dedup, near_dedup, packing, pii, queries, shingles, tokens, topk, toxicity, warc
+from veilink.llm import common, golomb, line_dedup, near_dedup, packing, pii, queries, shingles, tokens, topk, toxicity, warc
 
 DATA = "/root/testdata/sf0.01"
 
@@ -22,10 +22,37 @@ def test_golomb_round_trip(values):
     assert (golomb.decode(golomb.encode(values)) == values).all()
 
 
-@given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), max_size=30))
-@settings(deadline=None, max_examples=60)
-def test_packing_plan(counts):
-    places, used = packing.plan(counts, 64)
+def in_order(counts, capacity):
+    """The rounds' outcome, one piece after another with a stack of gaps: the number of sequences."""
+    left, gaps, used = sorted((s for s, n in counts.items() for _ in range(n)), reverse=True), [], 0
+    while left:
+        large = sum(2 * s > capacity for s in left)
+        opened = large or -(-sum(left) // capacity)
+        gaps += [capacity - s for s in left[:opened]]
+        left, used, moved = left[opened:], used + min(opened, len(left)), True
+        while moved:
+            stack, kept, rest, waiting, moved = [], [], [], sorted((g for g in gaps if g), reverse=True), False
+            for s in left:
+                while waiting and waiting[0] >= s:
+                    stack.append(waiting.pop(0))
+                if stack:
+                    kept.append(stack.pop() - s)
+                    moved = True
+                else:
+                    rest.append(s)
+            left, gaps = rest, kept + stack + waiting
+    return used
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_packing_plan(spark, seed):
+    source = random.Random(seed)
+    counts = {source.randint(1, 64): source.randint(1, 50) for _ in range((1, 3, 12, 25, 60)[seed])}
+    table = spark.createDataFrame(list(counts.items()), "length long, n long")
+    places = [tuple(r) for r in packing.plan(table, 64, common.Workspace(spark, "test")).select("length", "low", "many", "sequence", "offset").collect()]
+    used = in_order(counts, 64)
+    for s, n in counts.items():  # every rank once
+        assert sorted(r for t, low, many, *_ in places if t == s for r in range(low, low + many)) == list(range(n))
     fill: dict[int, list] = {}
     for s, _, n, q, o in places:
         for i in range(n):

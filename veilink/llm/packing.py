@@ -1,14 +1,16 @@
 """Bulk-synchronous best-fit packing of token sequences.
 
 1. One scan tokenises the texts and stages a narrow row for each piece.
-2. Pieces of equal length and open sequences with an equal gap are interchangeable, so both are range-sorted as
-   runs: (length, number). There are at most ``capacity`` lengths, whatever the corpus holds.
-3. A sweep goes through lengths and gaps in descending order. Each length meets its successor, the smallest gap
-   that is no shorter; where more pieces than gaps want the same gaps, the rank within the run decides. Every gap
-   takes one piece at most in a sweep. Gaps are then updated, and sweeps repeat until nothing fits; the largest of the
-   pieces left open as many sequences as their tokens need at least, and sweeps go on.
-4. The sweeps' outcome is a table of rank intervals. Each piece finds its place by a distributed rank (counted
-   in salted parts, so one very frequent length is not one task) and a join with that table.
+2. Pieces of equal length and open sequences with an equal gap are interchangeable, so the tables of the rounds hold runs:
+   (length, number) and (gap, first sequence, number). Their rows follow the number of different lengths (at most ``capacity``)
+   and of rounds, not of pieces.
+3. A round sorts runs of both kinds into ``RANGES`` ranges of sizes. In each range a sweep goes from large to small, and every
+   piece meets its successor, the smallest gap that is no shorter; where more pieces than gaps want the same gaps, the rank
+   within the run decides. Gaps and pieces that find nothing in their range are carried to a last sweep over what all ranges left.
+   Every gap takes one piece at most in a round. Gaps are then updated, and rounds repeat until nothing fits; the
+   largest of the pieces left open as many sequences as their tokens need at least, and rounds go on.
+4. The outcome is a table of rank intervals. Each piece finds its place by a distributed rank (very frequent lengths are
+   counted in salted parts) and a join on length and bucket of ranks, so that a piece meets the few intervals of its bucket.
 """
 
 from __future__ import annotations
@@ -21,11 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace, shuffle_partitions, table, text_or_empty
+from .common import Workspace, table, text_or_empty
 from .tokens import byte_bpe
 
-#: Up to so many rank intervals are broadcast (32 bytes each); beyond, they are joined by a shuffle.
+#: Up to so many rank intervals are broadcast (48 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_INTERVALS = 200_000
+#: Ranges of sizes that are swept apart, and pieces of one length that are ranked in one part.
+RANGES, PART_ROWS = 16, 1_000_000
+#: Kinds of the rounds' rows.
+GAP, PIECE, PLACED = 0, 1, 2
+_RUN = "kind int, size long, n long, at long, low long, offset long, round int"
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -56,56 +63,94 @@ def _pieces(path: str, end_id: int, capacity: int, with_ids: bool):
     return run
 
 
-def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Intervals (length, first rank, number, first sequence, offset), and the number of sequences.
+def _sweep(capacity: int, round_: int):
+    """One sweep over runs sorted by range, falling size, gaps first: matched runs, gaps that took a piece, and what is left.
 
-    counts: pieces of each length. The work grows with the number of distinct lengths, not of pieces.
+    ``at`` is a gap's first sequence, and the number of a length's pieces that are placed; ``low`` the first rank placed. A gap
+    that took a piece in this round has its number in ``round`` and is not swept again in it.
     """
-    left = {s: n for s, n in sorted(counts.items(), reverse=True) if n}
-    used = dict.fromkeys(left, 0)
-    places: list[tuple[int, int, int, int, int]] = []
-    sequences = 0
-
-    def place(s: int, n: int, sequence: int, offset: int) -> None:
-        places.append((s, used[s], n, sequence, offset))
-        used[s] += n
-        left[s] -= n
-
-    gaps: list[tuple[int, int, int]] = []  # gap, first sequence, number
-    while any(left.values()):
-        # no two of these share a sequence, so each opens one
-        opening = [(s, n) for s, n in left.items() if n and 2 * s > capacity]
-        need = -(-sum(s * n for s, n in left.items()) // capacity) if not opening else 0
-        for s, n in left.items():
-            if need <= 0:
-                break
-            if n:
-                opening.append((s, min(n, need)))
-                need -= min(n, need)
-        for s, n in opening:
-            place(s, n, sequences, 0)
-            gaps.append((capacity - s, sequences, n))
-            sequences += n
-        while True:
-            kept, moved, stack = [], False, []
-            waiting = sorted((g for g in gaps if g[0]), reverse=True)
-            at = 0
-            for s in [s for s, n in left.items() if n]:
-                while at < len(waiting) and waiting[at][0] >= s:
-                    stack.append(waiting[at])
-                    at += 1
-                while left[s] and stack:
-                    gap, first, n = stack.pop()
-                    m = min(n, left[s])
-                    place(s, m, first, capacity - gap)
-                    kept.append((gap - s, first, m))
-                    if m < n:
-                        stack.append((gap, first + m, n - m))
-                    moved = True
-            gaps = kept + stack + waiting[at:]
-            if not moved:
-                break
-    return places, sequences
+
+    def run(batches):
+        out, stack, now = [], [], None
+        for batch in batches:
+            for part, kind, size, n, at, low, offset, seen in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "size", "n", "at", "low", "offset", "round"))):
+                if part != now:
+                    out += stack
+                    stack, now = [], part
+                if kind == GAP:
+                    stack.append((GAP, size, n, at, low, offset, seen))
+                    continue
+                while n and stack:
+                    _, gap, many, first, *rest = stack.pop()
+                    m = min(n, many)
+                    out += [(PLACED, size, m, first, at, capacity - gap, round_), (GAP, gap - size, m, first, 0, 0, round_)]
+                    n, at = n - m, at + m
+                    if m < many:
+                        stack.append((GAP, gap, many - m, first + m, *rest))
+                if n:
+                    out.append((PIECE, size, n, at, low, offset, seen))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in out + stack], pa.int32() if i in (0, 6) else pa.int64()) for i in range(7)], ["kind", "size", "n", "at", "low", "offset", "round"]
+        )
+
+    return run
+
+
+def _swept(runs: DataFrame, capacity: int, round_: int) -> DataFrame:
+    """The runs after a round."""
+    order = ["part", F.desc("size"), "kind"]
+    part = F.floor(F.col("size") * RANGES / (capacity + 1)).cast("int").alias("part")
+    open_ = (F.col("kind") == PIECE) | ((F.col("kind") == GAP) & (F.col("size") > 0))
+    own = runs.filter(open_).withColumn("part", part).repartition("part").sortWithinPartitions(*order).mapInArrow(_sweep(capacity, round_), _RUN)
+    free = (F.col("kind") == PIECE) | ((F.col("kind") == GAP) & (F.col("round") < round_))
+    rest = own.filter(free).withColumn("part", F.lit(0)).repartition(1).sortWithinPartitions(*order).mapInArrow(_sweep(capacity, round_), _RUN)
+    return runs.filter(F.col("kind") == PLACED).unionByName(own.filter(~free)).unionByName(rest)
+
+
+def _opened(runs: DataFrame, capacity: int, need: int, sequences: int, round_: int) -> DataFrame:
+    """The runs after the largest pieces opened ``need`` sequences, or, where it is 0, all that are longer than half of one."""
+    pieces, falling = runs.filter(F.col("kind") == PIECE), Window.orderBy(F.desc("size"))  # a row for each length
+    wanted = F.greatest(F.lit(0), F.least("n", F.lit(need) - F.col("before"))) if need else F.when(F.col("size") * 2 > capacity, F.col("n")).otherwise(0)
+    before = F.coalesce(F.sum("n").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = pieces.withColumn("before", before).withColumn("m", wanted.cast("long"))
+    first = F.col("before") + sequences
+    row = lambda kind, size, n, at, low: [F.lit(kind).alias("kind"), size.alias("size"), n.alias("n"), at.cast("long").alias("at"), low.cast("long").alias("low"), F.lit(0).cast("long").alias("offset"), F.lit(round_).alias("round")]
+    new = own.filter("m > 0")
+    size, m, none = F.col("size"), F.col("m"), F.lit(0)
+    return (
+        runs.filter(F.col("kind") != PIECE)
+        .unionByName(new.select(*row(PLACED, size, m, first, F.col("at"))))
+        .unionByName(new.select(*row(GAP, capacity - size, m, first, none)))
+        .unionByName(own.filter("n > m").select(*row(PIECE, size, F.col("n") - m, F.col("at") + m, none)))
+    )
+
+
+def plan(counts: DataFrame, capacity: int, work: Workspace) -> DataFrame:
+    """Intervals ``length, low, many, sequence, offset`` for ``counts`` (``length, n``): pieces ranked low to low + many - 1 of a
+    length go to the sequences from ``sequence`` on, at ``offset``.
+
+    The driver sees a few sums of each round.
+    """
+    zero = lambda name: F.lit(0).cast("long").alias(name)
+    runs = work.stage(counts.select(F.lit(PIECE).alias("kind"), F.col("length").alias("size"), "n", zero("at"), zero("low"), zero("offset"), F.lit(0).alias("round")), "runs")
+    is_piece, sequences, round_, moved = F.col("kind") == PIECE, 0, 0, False
+    while True:
+        left = runs.agg(
+            F.sum(F.when(is_piece, F.col("size") * F.col("n"))).alias("tokens"), F.sum(F.when(is_piece & (F.col("size") * 2 > capacity), F.col("n"))).alias("large"),
+            F.count_if((F.col("kind") == PLACED) & (F.col("round") == round_)).alias("moved"),
+        ).first()
+        if not left["tokens"]:
+            return runs.filter(F.col("kind") == PLACED).select(F.col("size").alias("length"), "low", F.col("n").alias("many"), F.col("at").alias("sequence"), "offset")
+        swept = runs
+        if not round_ or not left["moved"]:
+            need = 0 if left["large"] else -(-left["tokens"] // capacity)
+            # opened in the round before, so that they take part in this one
+            swept = _opened(runs, capacity, need, sequences, round_)
+            sequences += left["large"] or need
+        round_ += 1
+        after = work.stage(_swept(swept, capacity, round_), "runs")
+        work.drop(runs)
+        runs = after
 
 
 def best_fit_pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -121,29 +166,28 @@ def best_fit_pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
     kind = texts.schema["id"].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     pieces = work.stage(texts.mapInArrow(_pieces(path, end_id, capacity, with_ids), schema).withColumn("uid", F.monotonically_increasing_id()), "pieces")
-    salts = max(64, shuffle_partitions(spark))
-    salt = F.pmod(F.xxhash64("uid"), F.lit(salts)).alias("salt")
-    sizes = pieces.groupBy("length", salt).agg(F.count(F.lit(1)).alias("n"))
+    counts = work.stage(pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "counts")  # at most capacity rows
+    slots = plan(counts, capacity, work)
+    # buckets of ranks, about as many for each length as it has intervals
+    widths = slots.groupBy("length").agg(F.count(F.lit(1)).alias("intervals")).join(counts, "length").select(
+        "length", F.expr(f"int(n div {PART_ROWS}) + 1").alias("parts"), F.expr("n div intervals + 1").alias("width")
+    )
+    widths = work.stage(widths, "widths")
+    salt = F.expr("pmod(xxhash64(uid), parts)").alias("salt")
+    salted = pieces.join(F.broadcast(widths), "length").withColumn("salt", salt)
+    sizes = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = work.stage(sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "sizes")
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
-    places, _ = plan(counts, capacity)
-    slots = spark.createDataFrame(
-        pa.table({k: pa.array([p[i] for p in places], pa.int64()) for i, k in enumerate(("length", "low", "many", "sequence", "offset"))})
+    sizes = work.stage(sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("length", "salt", "before"), "sizes")
+    slots = work.stage(
+        slots.join(widths, "length").withColumn("bucket", F.explode(F.expr("sequence(low div width, (low + many - 1) div width)"))).select("length", "bucket", "low", "many", "sequence", "offset"), "slots"
     )
-    if len(places) <= BROADCAST_INTERVALS:
-        slots = F.broadcast(slots)
+    small = slots.count() <= BROADCAST_INTERVALS
     inside = Window.partitionBy("length", "salt").orderBy("uid")
-    ranked = (
-        pieces.select("uid", "length", salt).withColumn("rank", F.row_number().over(inside))
-        .join(sizes.select("length", "salt", "before"), ["length", "salt"]).select("uid", "length", (F.col("rank") - 1 + F.col("before")).alias("rank"))
-    ) if with_ids else (
-        pieces.withColumn("salt", salt).withColumn("rank", F.row_number().over(inside))
-        .join(sizes.select("length", "salt", "before"), ["length", "salt"]).withColumn("rank", F.col("rank") - 1 + F.col("before"))
-    )
-    placed = ranked.join(slots, "length").filter("rank >= low AND rank < low + many")
+    ranked = (salted.drop("ids") if with_ids else salted).withColumn("rank", F.row_number().over(inside)).join(F.broadcast(sizes) if sizes.count() <= BROADCAST_INTERVALS else sizes, ["length", "salt"])
+    ranked = ranked.withColumn("rank", F.col("rank") - 1 + F.col("before")).withColumn("bucket", F.expr("rank div width"))
+    placed = ranked.join(F.broadcast(slots) if small else slots, ["length", "bucket"]).filter("rank >= low AND rank < low + many")
     if with_ids:
-        placed = pieces.join(placed.select("uid", "rank", "low", "sequence", "offset"), "uid")
+        placed = placed.join(pieces.select("uid", "ids"), "uid")
     return placed.select(
         F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset", *["ids"] * with_ids
     )
