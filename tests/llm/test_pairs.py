@@ -1,6 +1,7 @@
 """Near duplicates, lines, tokens and the pipeline against brute force on a small fixture."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import pytest
 
 import corpus_pipeline
 import public_tokenizers
-from veilink.llm import line_dedup, near_dedup, packing, pii, toxicity, word_bpe
+from veilink.llm import line_dedup, near_dedup, packing, pii, tokens, toxicity, word_bpe
 
 
 @pytest.fixture(scope="module")
@@ -101,13 +102,59 @@ def test_tokens(docs, texts):
 
 
 def test_packed_sequences(docs, texts):
-    packed = packing.best_fit_pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 128, with_ids=True)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    packed = packing.best_fit_pack(docs, path, 128, with_ids=True)
     rows = packing.sequences(packed).collect()
     assert all(len(r.ids) == 4 * r.n_tokens <= 512 for r in rows)
     pieces = sorted(packed.collect(), key=lambda r: (r.doc_id, r.piece))
-    whole = b"".join(bytes(r.ids) for r in pieces if r.doc_id == 0)
-    assert whole.endswith(bytes(4)) and all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in pieces)
-    assert len(rows) <= -(-sum(r.length for r in pieces) // 128) * 1.15 + 1
+    lone = sorted(packing.best_fit_pack(docs, path, 128).collect(), key=lambda r: (r.doc_id, r.piece))
+    assert [r[:5] for r in lone] == [r[:5] for r in pieces] and {r.sequence_id for r in lone} == set(range(len(rows)))
+    tk = tokens.byte_bpe(path).exact  # each piece against the library, and gapless in its sequence
+    at = {}
+    for i, t in enumerate(texts):
+        ids = [*tk.encode(t, add_special_tokens=False).ids, 0]
+        own = [r for r in pieces if r.doc_id == i]
+        assert [r.start for r in own] == [0, *range(len(ids) % 128 or 128, len(ids), 128)][: len(own)] and sum(r.length for r in own) == len(ids)
+        for r in own:
+            want = np.array(ids[r.start : r.start + r.length], "<u4").tobytes()
+            assert bytes(r.ids) == want and r.ids_crc32 == zlib.crc32(want)
+    for r in lone:
+        at.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in at.values():
+        assert [o for o, _ in sorted(parts)] == list(itertools.accumulate([n for _, n in sorted(parts)], initial=0))[:-1] and sum(n for _, n in parts) <= 128
+    best: list[int] = []  # best-fit decreasing, one piece after another
+    for r in sorted(pieces, key=lambda r: -r.length):
+        fits = [g for g in best if g >= r.length]
+        if fits:
+            best.remove(min(fits))
+        best.append((min(fits) if fits else 128) - r.length)
+    assert len(rows) <= 1.02 * len(best) + 1
+
+
+def test_pii_rows(spark):
+    """The base rules against the contract's patterns, and the digest of their spans."""
+    texts = [
+        "a.b+c@d-e.fr x@y, 10.0.0.255 and 256.1.1.1, 1.2.3.4.5 +49 (30) 123456 +1", "4111 1111 1111 1111 4111-1111-1111-1112 5500005555555559", "@@ a@b.c.d@e.f " + "9" * 5000 + ".1.1.1", "", None,
+        "+1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 x 0000001.002.03.4", "ü é 4111111111111111é a@b.co\u2028",
+    ]
+
+    def luhn(d):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    rules = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda t: True), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda t: all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in t.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda t: 16 <= len(digits(t)) <= 19 and luhn(digits(t))), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: 8 <= len(digits(t)) <= 15),
+    ]
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_text=True).collect()}
+    for i, t in enumerate(texts):
+        want = [(k, *m.span()) for k, pattern, ok in rules for m in re.finditer(pattern, t or "") if ok(m[0])]
+        assert [got[i][f"n_{k}"] for k, *_ in rules] == [sum(w[0] == k for w in want) for k, *_ in rules]
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+        spans = [x.split(":") for x in got[i].spans.split(",") if x]
+        assert {f"{k}:{a}:{b}" for k, a, b in want} <= {":".join(x) for x in spans}
+        assert spans == sorted(spans, key=lambda x: ([r[0] for r in rules].index(x[0]), int(x[1]), int(x[2])))
+        assert all((t or "")[int(a) : int(b)] not in got[i].redacted or int(b) - int(a) < 3 for _, a, b in spans)
 
 
 def test_pipeline_stages(spark, docs, texts, monkeypatch, tmp_path):
@@ -118,8 +165,39 @@ def test_pipeline_stages(spark, docs, texts, monkeypatch, tmp_path):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, s in enumerate(scores) if s < 0.5]
     lines = {r.doc_id: r for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
     gone = {(r.doc_id, r.line) for r in line_dedup.line_groups(docs).collect() if not r.kept}
-    assert all(lines[i].text == "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) and lines[i].n_chars == len(lines[i].text) for i, t in enumerate(texts))
+    left = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in enumerate(texts)}
+    assert {i: (r.text, r.n_chars) for i, r in lines.items()} == {i: (t, len(t)) for i, t in left.items() if t}
     redacted = {r.doc_id: r.text for r in corpus_pipeline.redact(spark, docs, "").collect()}
     assert redacted[len(texts) - 2] == "mail me at [EMAIL] now" and redacted[0] == texts[0]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "pii", "packing"]
-    assert hashlib.sha256(pii.listed([("email", 1, 2)]).encode()).hexdigest()
+    with pytest.raises(Exception, match="(?i)not exist|no such file"):  # the next stage has begun
+        kept_of_lines = corpus_pipeline.drop_lines(spark, docs, "")
+        corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        kept_of_lines.collect()
+
+
+ODD = [(1, None, "en"), (2, "", None), (3, " \n\t", "en"), (None, "no id at all\nsecond line", "de"), (4, "same words\nin two rows", "en"), (5, "same words\nin two rows", "en"), (5, "same words\nin two rows", "en"), (6, "x" * 1_000_000, "en"), (7, "a.b@c.org 10.0.0.1", "en")]
+
+
+def test_pipeline_edges(spark, monkeypatch, tmp_path):
+    """Nulls, blank and repeated rows, one token of a million letters, an empty table, clashing columns."""
+    monkeypatch.setattr(toxicity, "fit", lambda *a, **k: toxicity.Network())
+    monkeypatch.setattr(toxicity.Scorer, "__call__", lambda self, texts: np.zeros(len(texts)))
+    rows = [(i, t, lang, "s", len(t) if t else None, "u", "g") for i, t, lang in ODD]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __uid string, __gone string").write.parquet(str(tmp_path / "0"))
+    docs, counts = spark.read.parquet(str(tmp_path / "0")), []
+    empty = docs.filter("doc_id = -1")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, empty, "").count() == 0
+        out = stage(spark, docs, "")
+        if name != "packing":
+            assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / str(k + 1)))
+        docs = spark.read.parquet(str(tmp_path / str(k + 1)))
+        counts.append(docs.count())
+        if name == "line_dedup":
+            got = sorted(((r.doc_id, r.text if r.doc_id != 6 else len(r.text)) for r in docs.collect()), key=repr)
+            assert got == sorted([(1, None), (2, ""), (3, " \n\t"), (None, "no id at all\nsecond line"), (4, "same words\nin two rows"), (6, 1_000_000), (7, "a.b@c.org 10.0.0.1")], key=repr)
+        if name == "pii":
+            assert {r.text for r in docs.filter("doc_id = 7").collect()} == {"[EMAIL] [IP]"} and docs.filter("text IS NULL").count() == 1
+    assert counts[:4] == [9, 7, 7, 7] and docs.filter("doc_id = 6").agg({"length": "sum"}).first()[0] > 2048

@@ -95,6 +95,7 @@ class Workspace:
     def close(self) -> None:
         self._quiet_drop(self.path)
         self.live = []
+        OPEN[:] = [work for work in OPEN if work is not self]
 
     def _quiet_drop(self, at: str) -> None:
         try:
@@ -109,14 +110,6 @@ class Workspace:
 OPEN: list[Workspace] = []
 
 
-def close_all(but: list[Workspace] = ()) -> None:
-    """Drop the tables of all workspaces: for callers, such as a pipeline, that have written every result they keep."""
-    for work in OPEN:
-        if work not in but:
-            work.close()
-    OPEN[:] = list(but)
-
-
 def with_label(rows: DataFrame, small: DataFrame, on: str, n: int) -> DataFrame:
     """``rows`` joined with ``small``, of ``n`` rows: broadcast where that is a few MB, else by a shuffle of both."""
     return rows.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on)
