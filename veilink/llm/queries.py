@@ -18,6 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_warc": warc.SQL,
+    "op5_near_dedup": near_dedup.SQL,
     "op7_top_k": topk.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
