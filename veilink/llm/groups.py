@@ -16,6 +16,8 @@ from .components import components
 
 #: One row of so many is counted to find nodes that a large share of all rows falls into.
 SAMPLE = 64
+#: Pairs of rows that are looked at in one step, about.
+AT_ONCE = 65_536
 
 
 def pairs_batch(found) -> pa.RecordBatch:
@@ -50,23 +52,32 @@ def spanning(node: np.ndarray, rep: np.ndarray, near) -> list[tuple[int, int]]:
     """
     n = len(node)
     group, members = np.arange(n), {}
-    at, d = np.arange(n), 1
+    at, d, width = np.arange(n), 1, 1
     while True:
-        at = at[at + d < n]
-        at = at[node[at] == node[at + d]]
+        left, right = [], []
+        for _ in range(width):  # distances d to d + width - 1 at once; first 1, so that near neighbours join before others are looked at
+            at = at[at + d < n]
+            at = at[node[at] == node[at + d]]
+            if not len(at):
+                break
+            apart = at[group[at] != group[at + d]]
+            left.append(apart)
+            right.append(apart + d)
+            d += 1
+        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+        if len(i):
+            hits = np.flatnonzero(near(i, j))
+            for x, y in zip(i[hits].tolist(), j[hits].tolist()):
+                a, b = int(group[x]), int(group[y])
+                if a != b:
+                    more, fewer = members.pop(a, [a]), members.pop(b, [b])
+                    if len(more) < len(fewer):
+                        a, b, more, fewer = b, a, fewer, more
+                    group[fewer] = a
+                    members[a] = more + fewer
         if not len(at):
             break
-        apart = at[group[at] != group[at + d]]
-        if len(apart):
-            for i in apart[near(apart, apart + d)].tolist():
-                a, b = int(group[i]), int(group[i + d])
-                if a != b:
-                    x, y = members.pop(a, [a]), members.pop(b, [b])
-                    if len(x) < len(y):
-                        a, b, x, y = b, a, y, x
-                    group[y] = a
-                    members[a] = x + y
-        d += 1
+        width = max(1, min(2 * width, AT_ONCE // len(at)))
     found = []
     for rows in members.values():
         lead = min(rows, key=lambda i: rep[i])
