@@ -169,11 +169,6 @@ def _(spark, d):
     return encode.encode(read(spark, d, "part"), "p_partkey", encode.EncodeSpec("random", ("p_name",), m=M, k=K)).select("id", as_text("positions").alias("positions"))
 
 
-@query("record_bloom")
-def _(spark, d):
-    return encode.encode(read(spark, d, "part"), "p_partkey", encode.EncodeSpec("rbf", ("p_name", "p_brand"), m=M, k=K)).select("id", as_text("positions").alias("positions"))
-
-
 @query("clk_bloom", f"""WITH g AS (SELECT p_partkey AS id, unnest({_Q.format("lower(trim(p_name))")}) AS g FROM part UNION SELECT p_partkey, unnest({_Q.format("lower(trim(p_brand))")}) FROM part),
     h AS (SELECT DISTINCT g, {digest_sql('g', 'sha1', M)} AS h1, {digest_sql('g', 'md5', M)} AS h2 FROM g), p AS (SELECT id, unnest([(h1 + h2) % {M}, (h1 + 2 * h2) % {M}, (h1 + 3 * h2) % {M}]) AS p FROM g JOIN h USING (g))
     SELECT id, {listed('list_sort(list_distinct(list(p)))')} AS positions FROM p GROUP BY id""")
@@ -552,11 +547,6 @@ def _(spark, d):
     return pairs(spark, d).groupBy(regress.similarity_class(F.col("dice")).alias("sim_class")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sim_class_sample")
-def _(spark, d):
-    return rounded(regress.sample_per_class(pairs(spark, d), "dice", ["id1", "id2"], 50), "dice", "jaccard", "overlap")
-
-
 @query("sim_models")
 def _(spark, d):
     p, out = pairs(spark, d), None
@@ -567,11 +557,6 @@ def _(spark, d):
     return rounded(out, "explained", "least", "largest", "mean", "deviation", "mse", "msle", "r2")
 
 
-@query("cosine_histogram")
-def _(spark, d):
-    return regress.cosine_histogram(pairs(spark, d), "dice", "is_match", ["id1", "id2"], 3, 2)
-
-
 # ---- graphs -----------------------------------------------------------------------------------------------------
 
 
@@ -647,11 +632,6 @@ def _(spark, d):
     return rounded(graph.edge_confidence(edges(spark, d)), "conf")
 
 
-@query("pagerank")
-def _(spark, d):
-    return rounded(graph.pagerank(edges(spark, d), 0.5), "pagerank")
-
-
 @query("centralities")
 def _(spark, d):
     e = edges(spark, d)
@@ -699,10 +679,8 @@ def _scored(spark, d):
     return candidates(spark, d).withColumnRenamed("cos_sim", "score")
 
 
-QUERIES["greedy_match"] = lambda spark, d: match.greedy(_scored(spark, d))
-QUERIES["random_match"] = lambda spark, d: match.random_matching(_scored(spark, d))
 QUERIES["hungarian_match"] = lambda spark, d: match.hungarian(_scored(spark, d), 0.5)
-QUERIES["confident_match"] = lambda spark, d: match.confident(match.confidences(candidates(spark, d), 0.3).withColumnRenamed("cos_sim", "score"))
+QUERIES["confident_match"] = lambda spark, d: match.confident(_scored(spark, d), min_sim=0.3)
 
 
 @query("reidentification")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,17 +37,6 @@ def comparison_stats(k: int, m: int, attributes: list[str], spark) -> DataFrame:
     return spark.createDataFrame([(k, m, 0, ",".join(attributes))], "n_hash int, bits int, cap int, atts string")
 
 
-def _entropy_ncd(x: str, y: str) -> float:
-    """Normalised compression distance with character entropy as the compressed size."""
-
-    def entropy(s: str) -> float:
-        n = len(s)
-        return -sum(s.count(c) / n * math.log2(s.count(c) / n) for c in set(s)) + 1 if n else 1.0
-
-    a, b, both = entropy(x), entropy(y), min(entropy(x + y), entropy(y + x))
-    return (both - min(a, b)) / max(a, b)
-
-
 def text_similarity(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """Adds to each pair ``hamming, jaccard, levenshtein, overlap, sorensen`` of two texts; characters count as multisets.
 
@@ -71,10 +57,15 @@ def text_similarity(pairs: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def entropy_ncd(pairs: DataFrame, left: str, right: str, name: str = "entropy_ncd") -> DataFrame:
-    @F.pandas_udf("double")
-    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([1 - _entropy_ncd(a or "", b or "") for a, b in zip(x, y)])
-
-    return pairs.withColumn(name, distance(F.col(left), F.col(right)))
-
-
+    """Adds 1 - normalised compression distance, with 1 + character entropy as the compressed size (1 for an empty text)."""
+    x, y = (F.coalesce(F.col(c), F.lit("")) for c in (left, right))
+
+    def size(text: Column) -> Column:
+        letters, n = F.filter(F.split(text, ""), lambda c: c != ""), F.length(text).cast("double")
+        times = lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n
+        return 1.0 + F.aggregate(F.transform(F.array_distinct(letters), lambda c: -times(c) * F.log2(times(c))), F.lit(0.0), lambda a, v: a + v)
+
+    # the entropy of a concatenation does not depend on its order
+    made = pairs.withColumns({"__x": size(x), "__y": size(y), "__both": size(F.concat(x, y))})
+    distance = (F.col("__both") - F.least("__x", "__y")) / F.greatest("__x", "__y")
+    return made.withColumn(name, 1.0 - distance).drop("__x", "__y", "__both")

@@ -98,6 +98,28 @@ def degree_histogram(edges: DataFrame, thresholds: list[float]) -> DataFrame:
     return each.groupBy("threshold", "u").agg(F.count(F.lit(1)).alias("degree")).groupBy("threshold", "degree").agg(F.count(F.lit(1)).alias("nodes"))
 
 
+def graph_report(nodes: DataFrame, edges: DataFrame, thresholds: list[float]) -> DataFrame:
+    """``measure, threshold, value, n``: nodes, edges, singletons and the histogram of node frequencies; for each threshold edges,
+    the histograms of degrees and of component sizes, and components."""
+    row = lambda df, measure, t=None, value=F.lit(None), n="n": df.select(F.lit(measure).alias("measure"), F.lit(t).cast("double").alias("threshold"), value.cast("long").alias("value"), F.col(n).cast("long").alias("n"))
+    count = lambda df: df.agg(F.count(F.lit(1)).alias("n"))
+    parts = [
+        row(count(nodes), "nodes"), row(count(edges), "edges"), row(count(nodes.join(both_ways(edges).select(F.col("u").alias("node")).distinct(), "node", "left_anti")), "singletons"),
+        row(nodes.groupBy("freq").agg(F.count(F.lit(1)).alias("n")), "node_freq", value=F.col("freq")),
+    ]
+    for t in thresholds:
+        kept = edges.filter(F.col("sim") >= t)
+        sizes = cut(connected_components(kept).groupBy("component").agg(F.count(F.lit(1)).alias("size")))
+        parts += [
+            row(count(kept), "edges_at", t), row(degree_histogram(edges, [t]), "degree", t, F.col("degree"), "nodes"), row(count(sizes), "components", t),
+            row(sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n")), "component_size", t, F.col("size")),
+        ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def basic_features(nodes: DataFrame, edges: DataFrame, thresholds: list[float]) -> DataFrame:
     """``node_freq, max_sim`` and, for each threshold, ``min_sim, sim_avr, sim_std, degree, degree_central`` over edges that reach it."""
     near = both_ways(edges)

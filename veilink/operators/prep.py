@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import missing_to_null
+from .graph import cut
 
 
 def fill_nulls(df: DataFrame, value: str = "") -> DataFrame:
@@ -133,3 +134,38 @@ def hash_split(df: DataFrame, id_col: str, share: float, seed: str = "t") -> tup
     """(train, test) by a hash of the id: the same on every run."""
     part = F.conv(F.substring(F.md5(F.concat(F.col(id_col).cast("string"), F.lit("|" + seed)).cast("binary")), 1, 7), 16, 10).cast("long") < int(share * 16**7)
     return df.filter(part), df.filter(~part)
+
+
+def populate(a: DataFrame, b: DataFrame, sample: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(left records, right records, gold) of a sample as ``linkage_sample`` draws it; gold has the ids that both sides hold."""
+    side = lambda name: sample.filter(F.col("side") == name).select(id_col)
+    left, right = side("a"), side("b")
+    return a.join(left, id_col, "left_semi"), b.join(right, id_col, "left_semi"), gold_of(left.intersect(right), id_col)
+
+
+def quality_report(a: DataFrame, b: DataFrame, gold: DataFrame, columns: list[str]) -> DataFrame:
+    """``side, variable, count, unique, top, freq, missing``: profiles of both tables and of the gold standard's ids."""
+    parts = [profile(t, c).select(F.lit(name).alias("side"), "*") for name, t, c in (("a", a, columns), ("b", b, columns), ("gold", gold, ["id1", "id2"]))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def save_all(a: DataFrame, b: DataFrame, gold: DataFrame, columns: list[str], path: str) -> None:
+    """A linkage set without nulls, with a profile of each side."""
+    from ..sources.sinks import save_linkage_set
+
+    save_linkage_set(fill_nulls(a), fill_nulls(b), gold, {"stats_a": profile(a, columns), "stats_b": profile(b, columns)}, path)
+
+
+def first_rows(df: DataFrame, order: list[Column], ties: list[str], n: int) -> DataFrame:
+    """The first n rows by ``order`` (one column), then ``ties``, where n may be a share of all rows: no task sorts them all.
+
+    Rows are range-partitioned in this order, so whole ranges before the n-th row stay, and only the range that holds it is ranked.
+    """
+    by = [*order, *ties]
+    ranged = cut(df.repartitionByRange(*by).withColumn("__range", F.spark_partition_id()))  # ranges are drawn by sampling, so once
+    counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    upto = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range: as many as partitions
+    before = counts.select("__range", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"))
+    at = Window.partitionBy("__range").orderBy(*by)
+    ranked = ranged.withColumn("__at", F.row_number().over(at)).join(F.broadcast(before), "__range")
+    return ranked.filter(F.col("__before") + F.col("__at") <= n).drop("__range", "__at", "__before")

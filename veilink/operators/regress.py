@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
-from pyspark.ml.regression import IsotonicRegression, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel, LinearRegression, LinearRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .prep import first_rows, hash_split
+
 
 def similarity_class(v: Column) -> Column:
     """The decile (lo, hi] as '0-1' to '9-10'; 'None' for values not above 0 or above 1."""
@@ -17,10 +19,15 @@ def similarity_class(v: Column) -> Column:
     return out.otherwise("None")
 
 
+def drawn(ids: list[str], seed: int) -> Column:
+    """A hash of the ids to draw by, which SQL can repeat."""
+    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ids], F.lit(str(seed))).cast("binary"))
+
+
 def sample_per_class(pairs: DataFrame, sim: str, ids: list[str], most: int = 500, seed: int = 0) -> DataFrame:
     """At most so many pairs of each class, in the order of a hash: a sampling operator, its cap is its purpose."""
     x = pairs.withColumn("sim_class", similarity_class(F.col(sim)))
-    w = Window.partitionBy("sim_class").orderBy(F.xxhash64(*ids, F.lit(seed)), *ids)
+    w = Window.partitionBy("sim_class").orderBy(drawn(ids, seed), *ids)
     return x.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= most).drop("__n")
 
 
@@ -53,6 +60,19 @@ class SimilarityModel:
         self.model = make.fit(self._features(df, columns))
         return self
 
+    def save(self, path: str) -> None:
+        """The fitted model and what it was fitted on; ``load`` reads it back."""
+        self.model.write().overwrite().save(f"{path}/model")
+        SparkSession.active().createDataFrame([(self.kind, self.columns)], "kind string, columns array<string>").write.mode("overwrite").parquet(f"{path}/about")
+
+    @classmethod
+    def load(cls, path: str) -> SimilarityModel:
+        about = SparkSession.active().read.parquet(f"{path}/about").first()
+        out = cls(about["kind"])
+        out.columns = list(about["columns"])
+        out.model = (IsotonicRegressionModel if out.kind == "isotonic" else LinearRegressionModel).load(f"{path}/model")
+        return out
+
     def predict(self, df: DataFrame, name: str = "adjusted") -> DataFrame:
         return self.model.transform(self._features(df, self.columns)).select(*df.columns, F.col("prediction").alias(name))
 
@@ -68,6 +88,14 @@ def regression_quality(df: DataFrame, predicted: str, actual: str) -> DataFrame:
     )
 
 
+def trained_and_tested(pairs: DataFrame, ids: list[str], columns: list[str], label: str, kind: str = "linear", share: float = 0.75, seed: str = "42") -> tuple[SimilarityModel, DataFrame]:
+    """A model fitted on a share of the pairs, by a hash of their ids, and its quality on the others."""
+    keyed = pairs.withColumn("__id", F.concat_ws("|", *ids))
+    train, test = (t.drop("__id") for t in hash_split(keyed, "__id", share, seed))
+    model = SimilarityModel(kind).fit(train, columns, label)
+    return model, regression_quality(model.predict(test), "adjusted", label)
+
+
 def simple_line(df: DataFrame, x: str, y: str) -> DataFrame:
     """``slope, intercept, r2`` of the one-predictor line."""
     return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
@@ -81,6 +109,6 @@ def adjusted_edges(edges: DataFrame, slope: float, intercept: float, least: floa
 def cosine_histogram(pairs: DataFrame, cos: str, is_match: str, ids: list[str], digits: int = 3, over_sample: int = 1, seed: int = 0) -> DataFrame:
     """``is_match, value, n``: cosine similarities of matches, and of so many times as many non-matches, first by a hash."""
     matches = pairs.filter(F.col(is_match) == 1)
-    n = matches.count() * over_sample
-    rest = pairs.filter(F.col(is_match) == 0).orderBy(F.xxhash64(*ids, F.lit(seed)), *ids).limit(n)
+    rest = pairs.filter(F.col(is_match) == 0).withColumn("__h", drawn(ids, seed))
+    rest = first_rows(rest, [F.col("__h").asc()], ids, matches.count() * over_sample).drop("__h")
     return matches.unionByName(rest).groupBy(F.col(is_match).alias("is_match"), F.round(cos, digits).alias("value")).agg(F.count(F.lit(1)).alias("n"))

@@ -11,9 +11,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from .graph import cut
 from .metrics import quality
+from .prep import first_rows
 
 METRICS = ["dice", "jaccard", "overlap", "hamming", "entropy"]
 #: Fewest selected matches that a target classifier is trained on, and the target ratio of the two classes.
@@ -85,14 +86,13 @@ def non_matches_to_keep(matches: int, share: float = 0.01) -> int:
 
 def balanced(df: DataFrame, matches: int, share: float = 0.01, label: str = "is_match", ties: tuple[str, ...] = ("id1", "id2")) -> DataFrame:
     """All matches, and the non-matches of highest ``pp``, so many that matches are a share of all; ties by ids."""
-    rest = df.filter(F.col(label) == 0).orderBy(F.desc("pp"), *ties).limit(non_matches_to_keep(matches, share))
+    rest = first_rows(df.filter(F.col(label) == 0), [F.desc("pp")], list(ties), non_matches_to_keep(matches, share))
     return rest.unionByName(df.filter(F.col(label) == 1))
 
 
-def first_matches(df: DataFrame, n: int, order: list[Column | str], label: str = "is_match") -> DataFrame:
+def first_matches(df: DataFrame, n: int, order: list[str], label: str = "is_match") -> DataFrame:
     """Non-matches, and the first n matches."""
-    ranked = df.filter(F.col(label) == 1).withColumn("__n", F.row_number().over(Window.orderBy(*order))).filter(F.col("__n") <= n).drop("__n")
-    return df.filter(F.col(label) == 0).unionByName(ranked)
+    return df.filter(F.col(label) == 0).unionByName(first_rows(df.filter(F.col(label) == 1), [F.col(order[0])], order[1:], n))
 
 
 def covariance(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -133,7 +133,7 @@ def transfer(source: DataFrame, target: DataFrame, columns: list[str] | None = N
     for each weight function. Too few or too unbalanced selected rows end as a status, not as an error."""
     columns = columns or METRICS
     separator = Classifier(kind).fit(domain_data(source, target, columns), columns, "domain")
-    chosen = confident_instances(separator, source, least).persist()
+    chosen = cut(confident_instances(separator, source, least))
     counts = {r["is_match"]: r["count"] for r in chosen.groupBy("is_match").count().collect()}
     matches, rest = counts.get(1, 0), counts.get(0, 0)
     spark = source.sparkSession
@@ -164,7 +164,7 @@ def source_bound(source: DataFrame, target: DataFrame, columns: list[str] | None
     error = Classifier(kind).fit(source, columns, "is_match").proba(source).agg(F.avg(F.abs((F.col("pp") >= 0.5).cast("int") - F.col("is_match")))).first()[0]
     n = min(source.count(), target.count()) // 2
     side = lambda df, y: df.withColumn("__id", F.concat_ws("|", "id1", "id2")).orderBy(*in_hash_order("__id", seed)).limit(n).select(*columns, F.lit(y).alias("domain"))
-    both = side(source, 0).unionByName(side(target, 1)).persist()
+    both = cut(side(source, 0).unionByName(side(target, 1)))
     scored = Classifier(kind).fit(both, columns, "domain").proba(both).withColumn("p", (F.col("pp") >= 0.5).cast("int"))
     q = {(r["p"], r["domain"]): r["count"] for r in scored.groupBy("p", "domain").count().collect()}
     tp, tn, fp, fn = q.get((1, 1), 0), q.get((0, 0), 0), q.get((1, 0), 0), q.get((0, 1), 0)
