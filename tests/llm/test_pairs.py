@@ -188,8 +188,8 @@ def test_pipeline_edges(spark, monkeypatch, tmp_path):
     docs, counts = spark.read.parquet(str(tmp_path / "0")), []
     empty = docs.filter("doc_id = -1")
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        assert stage(spark, empty, "").count() == 0
-        out = stage(spark, docs, "")
+        assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0
+        out = stage(spark, docs, "/root/testdata/sf0.001")
         if name != "packing":
             assert out.columns == docs.columns
         out.write.parquet(str(tmp_path / str(k + 1)))
