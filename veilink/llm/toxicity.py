@@ -159,6 +159,12 @@ class Network:
         return g, dx
 
 
+def _in_blocks(net: Network, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Scores of all windows, ``TOGETHER`` at a time: the states of all at once would take the driver's memory."""
+    tables = net.projected(x)
+    return np.concatenate([net.score(ids[a : a + TOGETHER], tables) for a in range(0, len(ids), TOGETHER)] or [np.zeros(0, np.float32)])
+
+
 def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Network:
     net, rng = Network(seed), np.random.default_rng(seed)
     if not len(texts):
@@ -181,7 +187,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Network:
     step = 0
     for epoch in range(EPOCHS):
         x = net.p["word"][word] + np.add.reduceat(net.p["gram"][gram], first, axis=0) / np.sqrt(counts)[:, None].astype(np.float32) if number else np.zeros((1, DIM), np.float32)
-        scores = net.score(ids, net.projected(x)) if epoch else np.array([x[w[w >= 0], 0].clip(0).sum() if (w >= 0).any() else 0 for w in ids])
+        scores = _in_blocks(net, ids, x) if epoch else np.array([x[w[w >= 0], 0].clip(0).sum() if (w >= 0).any() else 0 for w in ids])
         best = np.array([g[np.argmax(scores[g])] for g in of])
         order = rng.permutation(len(best))
         weight = len(toxic) / (2 * max(1, toxic.sum())), len(toxic) / (2 * max(1, (1 - toxic).sum()))
@@ -209,7 +215,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Network:
                 s += 0.01 * (g[k] ** 2 - s)
                 v -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
     x = net.inputs(list(number)) if number else np.zeros((1, DIM), np.float32)
-    scores = net.score(ids, net.projected(x))
+    scores = _in_blocks(net, ids, x)
     net.calibration = platt(np.array([scores[g].max() for g in of]), toxic)
     return net
 
@@ -297,7 +303,10 @@ def held_out(id_col: str):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network:
-    """Train on labelled documents that are not held out: at most ``PER_CLASS`` of each label, first by a hash of the id."""
+    """Train on labelled documents that are not held out: at most ``PER_CLASS`` of each label, first by a hash of the id.
+
+    Without usable labels the network stays as it starts, with one class alone it leans to that class: such scores mean little.
+    """
     usable = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).distinct()
     chosen = None
     for y in (0, 1):
