@@ -165,13 +165,33 @@ def _in_blocks(net: Network, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.concatenate([net.score(ids[a : a + TOGETHER], tables) for a in range(0, len(ids), TOGETHER)] or [np.zeros(0, np.float32)])
 
 
+def _grams_in_blocks(words: list[str], size: int = 10_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``grams`` of all words, some at a time."""
+    parts, at = [], 0
+    for a in range(0, len(words), size):
+        word, gram, first = grams(words[a : a + size])
+        parts.append((word, gram, first + at))
+        at += len(gram)
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
+
+
+def _inputs_in_blocks(net: Network, word: np.ndarray, gram: np.ndarray, first: np.ndarray, counts: np.ndarray, size: int = 10_000) -> np.ndarray:
+    """The inputs of all words, some at a time; one row of zeros where there are none."""
+    out = np.zeros((max(1, len(word)), DIM), np.float32)
+    for a in range(0, len(word), size):
+        own = slice(a, a + size)
+        low, high = first[a], first[own][-1] + counts[own][-1]
+        out[own] = net.p["word"][word[own]] + np.add.reduceat(net.p["gram"][gram[low:high]], first[own] - low, axis=0) / np.sqrt(counts[own])[:, None].astype(np.float32)
+    return out
+
+
 def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Network:
     net, rng = Network(seed), np.random.default_rng(seed)
     if not len(texts):
         return net
     number: dict[str, int] = {}
     docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], dtype=np.int64) for t in texts]
-    word, gram, first = grams(list(number)) if number else (np.zeros(0, np.int64),) * 3
+    word, gram, first = _grams_in_blocks(list(number))
     counts = np.diff(np.append(first, len(gram)))
     owner = np.repeat(np.arange(len(first)), counts)
     # the first input starts as the smoothed log-odds of documents with the word or gram
@@ -186,7 +206,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Network:
     adam = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     for epoch in range(EPOCHS):
-        x = net.p["word"][word] + np.add.reduceat(net.p["gram"][gram], first, axis=0) / np.sqrt(counts)[:, None].astype(np.float32) if number else np.zeros((1, DIM), np.float32)
+        x = _inputs_in_blocks(net, word, gram, first, counts)
         scores = _in_blocks(net, ids, x) if epoch else np.array([x[w[w >= 0], 0].clip(0).sum() if (w >= 0).any() else 0 for w in ids])
         best = np.array([g[np.argmax(scores[g])] for g in of])
         order = rng.permutation(len(best))
@@ -214,7 +234,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Network:
                 m += 0.1 * (g[k] - m)
                 s += 0.01 * (g[k] ** 2 - s)
                 v -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    x = net.inputs(list(number)) if number else np.zeros((1, DIM), np.float32)
+    x = _inputs_in_blocks(net, word, gram, first, counts)
     scores = _in_blocks(net, ids, x)
     net.calibration = platt(np.array([scores[g].max() for g in of]), toxic)
     return net
