@@ -60,11 +60,11 @@ def test_one_changed_letter(spark):
 
 @pytest.mark.parametrize("whole", [True, False])
 def test_chain_of_near_copies_at_the_threshold(spark, monkeypatch, tmp_path, whole):
-    if not whole:  # so that the group branches for as many levels as one of thousands
-        for name, value in (("GROUP_ROWS", 32), ("SMALL_SETS", 64), ("CHUNK_ROWS", 64), ("PIVOTS", 2), ("TREES_AT_ONCE", 99)):
+    if not whole:  # so that the group goes through chunks, branching nodes and chunk pairs
+        for name, value in (("GROUP_ROWS", 32), ("SMALL_SETS", 64), ("CHUNK_ROWS", 64), ("PIVOTS", 2), ("TREES_AT_ONCE", 99), ("MAX_LEVELS", 2)):
             monkeypatch.setattr(near_dedup, name, value)
     core = [f"core{i}" for i in range(165)]
-    texts = [" ".join(core + [f"w{j}" for j in range(12 * i, 12 * i + 18)]) for i in range(600)]
+    texts = [" ".join(core + [f"w{j}" for j in range(12 * i, 12 * i + 18)]) for i in range(600 if whole else 200)]
     sets = [{tuple(t.split()[k : k + 3]) for k in range(181)} for t in texts]
     assert 0.85 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.86 and len(sets[0] & sets[2]) / len(sets[0] | sets[2]) < 0.85
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "docs"))
