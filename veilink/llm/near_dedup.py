@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Workspace, table, text_or_empty, unused, with_label
+from .common import Workspace, is_few, table, text_or_empty, unused, with_label
 from .groups import by_node, chunks_with_pivots, contracted, hot_nodes, labelled, members_of, node_links, pairs_batch, sampled, spanning, whole_nodes
 from .shingles import common, document_words, mix, seeded, shingle_set, signature
 
@@ -329,7 +329,7 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, part: int = 4, whole: int
     gone = work.stage(groups.filter("uid <> stays").select(F.col("uid").alias(uid)), "gone")
     work.keep_only(gone)
     rows, n = docs.withColumn(uid, F.monotonically_increasing_id()), gone.count()
-    return rows.join(F.broadcast(gone) if n <= BROADCAST_ROWS else gone, uid, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rows.join(F.broadcast(gone) if is_few(n, 32) else gone, uid, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def _grouped(docs: DataFrame, shingle_words: int, part: int, whole: int, recall: float, id_col: str, text_col: str) -> tuple[DataFrame, Workspace]:
