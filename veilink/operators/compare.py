@@ -38,7 +38,12 @@ def comparison_stats(k: int, m: int, attributes: list[str], spark) -> DataFrame:
 
 
 def text_similarity(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """Adds to each pair ``hamming, jaccard, levenshtein, overlap, sorensen`` of two texts; characters count as multisets.
+    """Adds to each pair ``text_similarities`` of two texts."""
+    return pairs.withColumns(text_similarities(left, right))
+
+
+def text_similarities(left: str, right: str) -> dict[str, Column]:
+    """``hamming, jaccard, levenshtein, overlap, sorensen`` of two texts; characters count as multisets.
 
     Hamming counts differing places, and the longer text's rest, over the longer length.
     """
@@ -50,14 +55,19 @@ def text_similarity(pairs: DataFrame, left: str, right: str) -> DataFrame:
     both = F.aggregate(F.transform(F.array_distinct(letters), lambda c: F.least(times(x, c), times(y, c))), F.lit(0), lambda s, v: s + v)
     same = F.aggregate(F.zip_with(F.split(x, ""), F.split(y, ""), lambda a, b: F.coalesce((a == b) & (a != ""), F.lit(False)).cast("int")), F.lit(0), lambda s, v: s + v)
     share = lambda n, d: F.when(d > 0, n.cast("double") / d.cast("double")).otherwise(1.0)
-    return pairs.withColumns({
+    return {
         "hamming": share(same, longest), "jaccard": share(both, nx + ny - both), "levenshtein": share(longest - F.levenshtein(x, y), longest),
         "overlap": share(both, F.least(nx, ny)), "sorensen": share(2 * both, nx + ny),
-    })
+    }
 
 
 def entropy_ncd(pairs: DataFrame, left: str, right: str, name: str = "entropy_ncd") -> DataFrame:
-    """Adds 1 - normalised compression distance, with 1 + character entropy as the compressed size (1 for an empty text)."""
+    """Adds the ``entropy_distance`` of two texts."""
+    return pairs.withColumn(name, entropy_distance(left, right))
+
+
+def entropy_distance(left: str, right: str) -> Column:
+    """1 - normalised compression distance, with 1 + character entropy as the compressed size (1 for an empty text)."""
     x, y = (F.coalesce(F.col(c), F.lit("")) for c in (left, right))
 
     def size(text: Column) -> Column:
@@ -66,6 +76,5 @@ def entropy_ncd(pairs: DataFrame, left: str, right: str, name: str = "entropy_nc
         return 1.0 + F.aggregate(F.transform(F.array_distinct(letters), lambda c: -times(c) * F.log2(times(c))), F.lit(0.0), lambda a, v: a + v)
 
     # the entropy of a concatenation does not depend on its order
-    made = pairs.withColumns({"__x": size(x), "__y": size(y), "__both": size(F.concat(x, y))})
-    distance = (F.col("__both") - F.least("__x", "__y")) / F.greatest("__x", "__y")
-    return made.withColumn(name, 1.0 - distance).drop("__x", "__y", "__both")
+    a, b = size(x), size(y)
+    return 1.0 - (size(F.concat(x, y)) - F.least(a, b)) / F.greatest(a, b)

@@ -169,3 +169,49 @@ def first_rows(df: DataFrame, order: list[Column], ties: list[str], n: int) -> D
     at = Window.partitionBy("__range").orderBy(*by)
     ranked = ranged.withColumn("__at", F.row_number().over(at)).join(F.broadcast(before), "__range")
     return ranked.filter(F.col("__before") + F.col("__at") <= n).drop("__range", "__at", "__before")
+
+
+def first_by_values(df: DataFrame, order: list[tuple[str, bool]], n: int, counts: DataFrame | None = None) -> DataFrame:
+    """The first n rows by columns (name, whether falling), nulls where Spark's order has them: no row is sorted or written.
+
+    The values of the first column are counted; rows before the value that holds the n-th row stay, and among those that have it the next
+    column decides. Fits first columns of few values next to the rows, such as scores of small sets or the first digits of a hash.
+    ``counts`` (the first column, ``n``) saves the first count.
+    """
+    stay, same, left = F.lit(False), F.lit(True), n
+    for i, (name, falling) in enumerate(order):
+        c = F.col(name)
+        found = counts if i == 0 and counts is not None else df.filter(same).groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+        border = _border(found, c.desc() if falling else c.asc(), left)
+        if border is None:  # there are no more than n rows
+            return df.filter(stay | same)
+        value, before, own = border
+        if falling:
+            ahead = c.isNotNull() if value is None else c > F.lit(value)
+        else:
+            ahead = F.lit(False) if value is None else c.isNull() | (c < F.lit(value))
+        stay, same, left = stay | (same & F.coalesce(ahead, F.lit(False))), same & c.eqNullSafe(F.lit(value)), left - before
+        if left in (0, own):
+            return df.filter(stay | same if left else stay)
+    return df.filter(stay).unionByName(df.filter(same).limit(left))  # equal in all columns
+
+
+def _border(counts: DataFrame, order: Column, n: int):
+    """(value, rows before it, its rows) where the n-th row of these counted values lies; None where there are fewer."""
+    name = counts.columns[0]
+    ranged = cut(counts.repartitionByRange(order).withColumn("__range", F.spark_partition_id()))
+    before = 0
+    for r in ranged.groupBy("__range").agg(F.sum("n").alias("n")).orderBy("__range").collect():  # as many as partitions
+        if before + r["n"] > n:
+            upto = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+            at = ranged.filter(F.col("__range") == r["__range"]).withColumn("__upto", F.sum("n").over(upto))
+            x = at.filter(F.col("__upto") > n - before).orderBy(order).first()
+            return x[name], before + x["__upto"] - x["n"], x["n"]
+        before += r["n"]
+    return None
+
+
+def first_by_hash(df: DataFrame, id_col: str, n: int, seed: str) -> DataFrame:
+    """The first n rows in the order of ``in_hash_order``."""
+    keyed = df.withColumn("__h", in_hash_order(id_col, seed)[0]).withColumn("__first", F.substring("__h", 1, 4))
+    return first_by_values(keyed, [("__first", False), ("__h", False), (id_col, False)], n).drop("__h", "__first")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .prep import first_rows, hash_split
+from .prep import first_by_values, hash_split
 
 
 def similarity_class(v: Column) -> Column:
@@ -54,9 +54,10 @@ class SimilarityModel:
         made = VectorAssembler(inputCols=columns, outputCol="__f" if self.kind != "poly" else "__raw").transform(df)
         return PolynomialExpansion(degree=2, inputCol="__raw", outputCol="__f").transform(made) if self.kind == "poly" else made
 
-    def fit(self, df: DataFrame, columns: list[str], label: str) -> SimilarityModel:
+    def fit(self, df: DataFrame, columns: list[str], label: str, weight: str | None = None) -> SimilarityModel:
         self.columns = columns
-        make = IsotonicRegression(featuresCol="__f", labelCol=label) if self.kind == "isotonic" else LinearRegression(featuresCol="__f", labelCol=label)
+        extra = {"weightCol": weight} if weight else {}
+        make = (IsotonicRegression if self.kind == "isotonic" else LinearRegression)(featuresCol="__f", labelCol=label, **extra)
         self.model = make.fit(self._features(df, columns))
         return self
 
@@ -77,11 +78,19 @@ class SimilarityModel:
         return self.model.transform(self._features(df, self.columns)).select(*df.columns, F.col("prediction").alias(name))
 
 
-def regression_quality(df: DataFrame, predicted: str, actual: str) -> DataFrame:
-    """Metrics over predictions above 0: explained variance, absolute errors, MSE, MSLE and R2."""
+def regression_quality(df: DataFrame, predicted: str, actual: str, weight: str | None = None) -> DataFrame:
+    """Metrics over predictions above 0: explained variance, absolute errors, MSE, MSLE and R2. A row counts as many times as
+    ``weight`` says."""
     p, y = F.col(predicted), F.col(actual)
     e = F.abs(y - p)
     rows = df.filter(p > 0)
+    if weight:
+        mean = lambda c: F.sum(F.col(weight) * c) / F.sum(weight)
+        variance = lambda c: F.greatest(mean(c * c) - mean(c) * mean(c), F.lit(0.0))
+        return rows.agg(
+            (1.0 - F.try_divide(variance(y - p), variance(y))).alias("explained"), F.min(e).alias("least"), F.max(e).alias("largest"), mean(e).alias("mean"), F.sqrt(variance(e)).alias("deviation"),
+            mean(e * e).alias("mse"), mean((F.ln(1 + y) - F.ln(1 + p)) ** 2).alias("msle"), (1.0 - F.try_divide(mean(e * e), variance(y))).alias("r2"),
+        )
     return rows.agg(
         (1.0 - F.var_pop(y - p) / F.var_pop(y)).alias("explained"), F.min(e).alias("least"), F.max(e).alias("largest"), F.avg(e).alias("mean"), F.stddev_pop(e).alias("deviation"),
         F.avg(e * e).alias("mse"), F.avg((F.ln(1 + y) - F.ln(1 + p)) ** 2).alias("msle"), (1.0 - F.avg(e * e) / F.var_pop(y)).alias("r2"),
@@ -106,9 +115,9 @@ def adjusted_edges(edges: DataFrame, slope: float, intercept: float, least: floa
     return edges.withColumn("sim", F.col("sim") * slope + intercept).filter(F.col("sim") >= least)
 
 
-def cosine_histogram(pairs: DataFrame, cos: str, is_match: str, ids: list[str], digits: int = 3, over_sample: int = 1, seed: int = 0) -> DataFrame:
+def cosine_histogram(pairs: DataFrame, cos: str, is_match: str, ids: list[str], digits: int = 3, over_sample: int = 1, seed: int = 0, n_matches: int | None = None) -> DataFrame:
     """``is_match, value, n``: cosine similarities of matches, and of so many times as many non-matches, first by a hash."""
     matches = pairs.filter(F.col(is_match) == 1)
-    rest = pairs.filter(F.col(is_match) == 0).withColumn("__h", drawn(ids, seed))
-    rest = first_rows(rest, [F.col("__h").asc()], ids, matches.count() * over_sample).drop("__h")
+    rest = pairs.filter(F.col(is_match) == 0).withColumn("__h", drawn(ids, seed)).withColumn("__first", F.substring("__h", 1, 4))
+    rest = first_by_values(rest, [("__first", False), ("__h", False), *((c, False) for c in ids)], (matches.count() if n_matches is None else n_matches) * over_sample).drop("__h", "__first")
     return matches.unionByName(rest).groupBy(F.col(is_match).alias("is_match"), F.round(cos, digits).alias("value")).agg(F.count(F.lit(1)).alias("n"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .graph import cut
 from .metrics import quality
-from .prep import first_rows
+from .prep import first_by_hash, first_by_values, first_rows
 
 METRICS = ["dice", "jaccard", "overlap", "hamming", "entropy"]
 #: Fewest selected matches that a target classifier is trained on, and the target ratio of the two classes.
@@ -84,9 +84,10 @@ def non_matches_to_keep(matches: int, share: float = 0.01) -> int:
     return int(matches * (1 - share) / share)
 
 
-def balanced(df: DataFrame, matches: int, share: float = 0.01, label: str = "is_match", ties: tuple[str, ...] = ("id1", "id2")) -> DataFrame:
-    """All matches, and the non-matches of highest ``pp``, so many that matches are a share of all; ties by ids."""
-    rest = first_rows(df.filter(F.col(label) == 0), [F.desc("pp")], list(ties), non_matches_to_keep(matches, share))
+def balanced(df: DataFrame, matches: int, share: float = 0.01, label: str = "is_match", ties: tuple[str, ...] = ("id1", "id2"), counts: DataFrame | None = None) -> DataFrame:
+    """All matches, and the non-matches of highest ``pp``, so many that matches are a share of all; ties by ids. ``counts`` (``pp, n``) of
+    non-matches saves their count."""
+    rest = first_by_values(df.filter(F.col(label) == 0), [("pp", True), *((c, False) for c in ties)], non_matches_to_keep(matches, share), counts)
     return rest.unionByName(df.filter(F.col(label) == 1))
 
 
@@ -95,20 +96,28 @@ def first_matches(df: DataFrame, n: int, order: list[str], label: str = "is_matc
     return df.filter(F.col(label) == 0).unionByName(first_rows(df.filter(F.col(label) == 1), [F.col(order[0])], order[1:], n))
 
 
-def covariance(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``a, b, covariance`` (sample) of all pairs of columns, in one pass."""
+def covariance(df: DataFrame, columns: list[str], weight: str | None = None) -> DataFrame:
+    """``a, b, covariance`` (sample) of all pairs of columns, in one pass; in two, where a row counts as ``weight`` says."""
     pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i:]]
-    one = df.agg(*[F.covar_samp(x, y).alias(f"c{i}") for i, (x, y) in enumerate(pairs)])
+    if weight:
+        w = F.col(weight)
+        means = df.agg(*[(F.sum(w * F.col(c)) / F.sum(w)).alias(f"__{c}") for c in columns])
+        apart = lambda c: F.col(c) - F.col(f"__{c}")
+        one = df.crossJoin(F.broadcast(means)).agg(*[F.try_divide(F.sum(w * apart(x) * apart(y)), F.sum(w) - 1).alias(f"c{i}") for i, (x, y) in enumerate(pairs)])
+    else:
+        one = df.agg(*[F.covar_samp(x, y).alias(f"c{i}") for i, (x, y) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"c{i}").alias("covariance")) for i, (x, y) in enumerate(pairs)])
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def coral(source: DataFrame, target: DataFrame, columns: list[str], ridge: float = 1.0) -> DataFrame:
-    """The source with its metric columns whitened by its own covariance and coloured by the target's."""
+def coral(source: DataFrame, target: DataFrame, columns: list[str], ridge: float = 1.0, weight: str | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """The source with its metric columns whitened by its own covariance and coloured by the target's; or ``rows``, where source and target
+    are distinct rows that count as ``weight`` says."""
+    rows = source if rows is None else rows
 
     def matrix(df: DataFrame) -> np.ndarray:
         out, at = np.eye(len(columns)) * ridge, {c: i for i, c in enumerate(columns)}
-        for r in covariance(df, columns).collect():  # pairs of columns
+        for r in covariance(df, columns, weight).collect():  # pairs of columns
             value = r["covariance"] or 0.0
             out[at[r["a"]], at[r["b"]]] += value
             if r["a"] != r["b"]:
@@ -121,7 +130,7 @@ def coral(source: DataFrame, target: DataFrame, columns: list[str], ridge: float
 
     a = power(matrix(source), -0.5) @ power(matrix(target), 0.5)
     made = {c: sum((F.col(x) * float(a[i, j]) for i, x in enumerate(columns[1:], 1)), F.col(columns[0]) * float(a[0, j])) for j, c in enumerate(columns)}
-    return source.select(*[made[c].alias(c) if c in made else F.col(c) for c in source.columns])
+    return rows.select(*[made[c].alias(c) if c in made else F.col(c) for c in rows.columns])
 
 
 #: Instance weights by name, over the probability of looking like the target.
@@ -158,12 +167,10 @@ def transfer(source: DataFrame, target: DataFrame, columns: list[str] | None = N
 
 def source_bound(source: DataFrame, target: DataFrame, columns: list[str] | None = None, kind: str = "logistic", seed: str = "b") -> dict[str, float]:
     """The error bound of a source for a target: source error, half the domain distance, complexity, their sum, and the separator's MCC."""
-    from .prep import in_hash_order
-
     columns = columns or METRICS
     error = Classifier(kind).fit(source, columns, "is_match").proba(source).agg(F.avg(F.abs((F.col("pp") >= 0.5).cast("int") - F.col("is_match")))).first()[0]
     n = min(source.count(), target.count()) // 2
-    side = lambda df, y: df.withColumn("__id", F.concat_ws("|", "id1", "id2")).orderBy(*in_hash_order("__id", seed)).limit(n).select(*columns, F.lit(y).alias("domain"))
+    side = lambda df, y: first_by_hash(df.withColumn("__id", F.concat_ws("|", "id1", "id2")), "__id", n, seed).select(*columns, F.lit(y).alias("domain"))
     both = cut(side(source, 0).unionByName(side(target, 1)))
     scored = Classifier(kind).fit(both, columns, "domain").proba(both).withColumn("p", (F.col("pp") >= 0.5).cast("int"))
     q = {(r["p"], r["domain"]): r["count"] for r in scored.groupBy("p", "domain").count().collect()}

@@ -10,6 +10,7 @@ from ..functions.qgrams import qgram_set
 from ..operators.blocking import candidate_pairs, prefix_blocks
 from ..operators.compare import compare_all, compare_pairs, with_gold
 from ..operators.encode import encrypt
+from ..operators.grouped import group_pairs
 
 
 def similarity_matrix(a: DataFrame, b: DataFrame, gold: DataFrame, id_col: str, columns: list[str], block_columns: list[str] | None, prefix: int, m: int, q: int = 2, only_gold: bool = False) -> DataFrame:
@@ -34,4 +35,14 @@ def qgram_matrix(a: DataFrame, b: DataFrame, id_col: str, value: str, key: str,
     return x.select("id1", "id2", S.dice(h, na, nb).alias("dice"), S.jaccard(h, na, nb).alias("jaccard"), S.overlap(h, na, nb).alias("overlap"), (F.col("v1") == F.col("v2")).cast("int").alias("is_match"))
 
 
-__all__ = ["matrices", "qgram_matrix", "similarity_matrix", "with_gold"]
+def qgram_groups(rows: DataFrame, id_col: str, value: str, key: str, q: int = 2) -> DataFrame:
+    """``qgram_matrix`` of a table with itself, for groups of rows with equal key and value: ``ids1, ids2`` instead of ``id1, id2``."""
+
+    def scores(a: str, b: str) -> dict:
+        h, na, nb = F.size(F.array_intersect(f"q{a}", f"q{b}")), F.size(f"q{a}"), F.size(f"q{b}")
+        return {"dice": S.dice(h, na, nb), "jaccard": S.jaccard(h, na, nb), "overlap": S.overlap(h, na, nb), "is_match": (F.col(f"v{a}") == F.col(f"v{b}")).cast("int")}
+
+    return group_pairs(rows, id_col, key, value, lambda v: {"q": qgram_set(v, q)}, scores)
+
+
+__all__ = ["matrices", "qgram_groups", "qgram_matrix", "similarity_matrix", "with_gold"]
