@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalogue import CONF, EDGES, K, M, PAIRS, candidates, edges, filters, filters_sql, names, nodes_of, pairs, query, read, rounded
+from .catalogue import CONF, EDGES, K, M, PAIRS, candidates, edges, filters, filters_sql, matrix_groups, names, nodes_of, pair_counts, pairs, parts, query, read, rounded
 from .functions import bits, scalars
 from .functions import similarity as S
 from .functions.qgrams import RECORD_PAD, padded_count, qgram_list
-from .operators import blocking, compare, encode, graph, match, metrics, prep, regress, transfer
+from .operators import blocking, compare, encode, graph, grouped, match, metrics, prep, regress, transfer
 
 # ---- preparation ------------------------------------------------------------------------------------------------
 
@@ -111,12 +111,9 @@ def _(spark, d):
     SELECT id1, id2, round(2::DOUBLE * h / (n1 + n2), 6) AS dice, round(h::DOUBLE / (n1 + n2 - h), 6) AS jaccard, round(h::DOUBLE / least(n1, n2), 6) AS overlap,
       round(1 - least(n1 - h, n2 - h)::DOUBLE / {M}, 6) AS hamming, round(1 - abs(ln(n1::DOUBLE) - ln(n2::DOUBLE)), 6) AS entropy, is_match, only_gold FROM c, (SELECT unnest([false, true]) AS only_gold) WHERE is_match = 1 OR NOT only_gold""")
 def _(spark, d):
-    f = filters(spark, d)
-    coded = f.select("id", F.col("pos").alias("positions"))
-    found = blocking.candidate_pairs(f.select("id", F.col("blk").alias("blk_key")), f.select("id", F.col("blk").alias("blk_key")), "id", "id")
-    gold = f.toDF("id1", "nm", "blk", "p").join(f.toDF("id2", "nm", "blk", "q"), ["nm", "blk"]).select("id1", "id2")
-    rows = [rounded(compare.compare_pairs(found, coded, coded, gold, M, only), *transfer.METRICS).withColumn("only_gold", F.lit(only)) for only in (False, True)]
-    return rows[0].unionByName(rows[1])
+    groups = matrix_groups(spark, d).withColumn("is_match", F.coalesce("is_match", F.lit(0)))
+    each = rounded(groups, *transfer.METRICS).withColumn("only_gold", F.explode(F.expr("if(is_match = 1, array(false, true), array(false))")))
+    return grouped.expanded(each, ordered=False)
 
 
 @query("blocks_of_both_sides", """WITH a AS (SELECT substr(c_mktsegment, 1, 2) || substr(c_nationkey::VARCHAR, 1, 2) AS k, c_custkey AS node FROM customer), b AS (SELECT substr('AUTO', 1, 2) || substr(s_nationkey::VARCHAR, 1, 2) AS k, s_suppkey AS node FROM supplier)
