@@ -182,7 +182,8 @@ def _(spark, d):
 @query("cosine_histogram", f"""WITH {PAIRS}, m AS (SELECT count(*) AS n FROM pairs WHERE is_match = 1), r AS (SELECT dice, row_number() OVER (ORDER BY md5(id1 || '|' || id2 || '|0'), id1, id2) AS k FROM pairs WHERE is_match = 0),
     x AS (SELECT 1 AS is_match, dice FROM pairs WHERE is_match = 1 UNION ALL SELECT 0, dice FROM r, m WHERE k <= 2 * n) SELECT is_match, round(dice, 3) AS value, count(*) AS n FROM x GROUP BY ALL""")
 def _(spark, d):
-    return regress.cosine_histogram(pairs(spark, d), "dice", "is_match", ["id1", "id2"], 3, 2)
+    matches = pair_counts(spark, d, "is_match").filter("is_match = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return regress.cosine_histogram(pairs(spark, d), "dice", "is_match", ["id1", "id2"], 3, 2, n_matches=matches)
 
 
 @query("adjusted_edges", f"""WITH {EDGES}, l AS (SELECT regr_slope(sim * sim, sim) AS a, regr_intercept(sim * sim, sim) AS b FROM edges) SELECT src, dst, round(sim * round(a, 6) + round(b, 6), 6) AS sim FROM edges, l WHERE sim * round(a, 6) + round(b, 6) >= 0.3""")
