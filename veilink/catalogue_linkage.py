@@ -143,9 +143,8 @@ _ENTROPY = "(1 + coalesce((SELECT -sum(n / t * log2(n / t)) FROM (SELECT count(*
 @query("compression_distance", f"""WITH {PAIRS}, e AS (SELECT id1, id2, {_ENTROPY.format('v1')} AS a, {_ENTROPY.format('v2')} AS b, {_ENTROPY.format('(v1 || v2)')} AS c FROM pairs)
     SELECT id1, id2, round(1 - (c - least(a, b)) / greatest(a, b), 6) AS entropy_ncd FROM e""")
 def _(spark, d):
-    part = read(spark, d, "part").select("p_partkey", "p_name", F.concat_ws("|", "p_brand", "p_size").alias("blk"))
-    x = part.toDF("id1", "v1", "blk").join(part.toDF("id2", "v2", "blk"), "blk").filter("id1 < id2")
-    return rounded(compare.entropy_ncd(x, "v1", "v2"), "entropy_ncd").select("id1", "id2", "entropy_ncd")
+    scores = lambda s, t: {"entropy_ncd": F.round(compare.entropy_distance(f"v{s}", f"v{t}"), 6)}
+    return grouped.expanded(grouped.group_pairs(parts(spark, d), "p_partkey", "blk", "p_name", lambda v: {}, scores))
 
 
 # ---- classification ---------------------------------------------------------------------------------------------
