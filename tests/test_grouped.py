@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilink import catalogue, catalogue_linkage  # noqa: F401
-from veilink.operators import grouped, metrics, prep, regress, transfer
+from veilink.functions import similarity as S
+from veilink.operators import grouped, match, metrics, prep, regress, transfer, vectors
 
 DATA = "/root/testdata/sf0.001"
 
@@ -71,3 +72,41 @@ def test_pairs_are_dealt_out_before_they_expand(spark, name):
 def test_pairs_are_not_sorted_or_recomputed(spark, name):
     made = catalogue.QUERIES[name](spark, "/root/testdata/sf0.01")
     assert made.count() > 0 and "rangepartitioning" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["cosine_pairs", "entity_pairs", "lsh_compare_all", "two_step_hash_mod"])
+def test_few_bytes_of_input_fill_all_tasks(spark, name):
+    assert catalogue.QUERIES[name](spark, DATA).rdd.getNumPartitions() >= grouped.tasks(spark)
+
+
+def test_pairs_of_blocks_are_found_once_without_a_list_of_all(spark):
+    """Nodes in several shared blocks, with repeated and null rows."""
+    source = random.Random(6)
+    made = [(f"{i % 3}:{source.randint(0, 2)}", i // 3 % 12, i // 3 % 12) for i in range(72)] + [(None, 3, 3), ("0:1", None, 5)]
+    table = spark.createDataFrame([(k, n, sorted(random.Random(c).sample(range(8), 3))) for k, n, c in made], "blk_key string, node int, positions array<int>")
+    got = match.compare_blocks(table, table, 8, 0.5)
+    assert "Deduplicate" not in got._jdf.queryExecution().analyzed().toString()
+    blocks = {}
+    for k, n, c in made:
+        blocks.setdefault((n, tuple(random.Random(c).sample(range(8), 3))), set()).add(k)
+    want = [(a, b, 1 - len(set(x) ^ set(y)) / 8) for (a, x), p in blocks.items() for (b, y), q in blocks.items() if p & q - {None} and len(set(x) ^ set(y)) <= 4]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_vector_pairs(spark, monkeypatch, block):
+    """Against expressions: repeated, zero, null, short and non-finite vectors, in one block and in many."""
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    monkeypatch.setattr(vectors, "BATCH", 16)
+    source = random.Random(7)
+    made = [(i, i % 2, [source.uniform(-1, 1) for _ in range(4)]) for i in range(30)]
+    made += [(40, 0, made[0][2]), (41, 0, [0.0] * 4), (42, 1, None), (43, 1, [1.0, None, 0.5, 0.25]), (44, 0, [1.0]), (45, 1, [float("inf"), 1.0, 1.0, 1.0]), (46, None, [1.0] * 4), (47, 0, [-x for x in made[2][2]])]
+    table = spark.createDataFrame(made, "id int, g int, v array<float>")
+    x = table.select("g", F.col("id").alias("id1"), F.col("v").alias("a")).join(table.select("g", F.col("id").alias("id2"), F.col("v").alias("b")), "g").filter("id1 < id2")
+    c = S.cosine(F.col("a"), F.col("b"))
+    want = {(r[0], r[1]): r[2:] for r in x.select("id1", "id2", F.round(c, 4), F.round(S.angular(c), 4), F.round(S.euclid(F.col("a"), F.col("b")), 4)).collect()}
+    rows = vectors.vector_pairs(table, "id", "g", "v").collect()
+    got = {(r[0], r[1]): r[2:] for r in rows}
+    assert len(rows) == len(got) and got.keys() == want.keys()
+    for k, values in want.items():
+        assert all(a == b or a != a and b != b or abs(a - b) < 1e-9 for a, b in zip(got[k], values)), (k, got[k], values)
