@@ -163,10 +163,21 @@ def two_step_hash(df: DataFrame, id_col: str, qgrams: str, rows: int = 15, colum
 def two_step_mod(qgrams: Column, rows: int, columns: int, m: int) -> Column:
     """A two-step code in expressions alone: the column of row r is SHA-1 of q-gram and r, the code MD5 of column and rows modulo m."""
     hits = F.flatten(F.transform(qgrams, lambda q: F.array(*[F.struct(hashing.digest_mod(F.concat(q, F.lit(f"#{r}")), "sha1", columns).alias("c"), F.lit(r).alias("r")) for r in range(rows)])))
-    cells = F.array_sort(F.array_distinct(hits))
-    chosen = F.array_distinct(F.transform(cells, lambda x: x["c"]))
-    word = lambda c: F.array_join(F.transform(F.filter(cells, lambda x: x["c"] == c), lambda x: x["r"].cast("string")), ",")
-    return F.array_sort(F.array_distinct(F.transform(chosen, lambda c: hashing.digest_mod(F.concat_ws(":", c.cast("string"), word(c)), "md5", m))))
+
+    def coded(cells: Column) -> Column:
+        chosen = F.array_distinct(F.transform(cells, lambda x: x["c"]))
+        word = lambda c: F.array_join(F.transform(F.filter(cells, lambda x: x["c"] == c), lambda x: x["r"].cast("string")), ",")
+        return F.transform(chosen, lambda c: F.array_join(F.array(c.cast("string"), word(c)), ":"))
+
+    # variables of functions over lists of one are computed once: what is merely named is computed wherever the name stands
+    words = F.transform(F.array(F.array_sort(F.array_distinct(hits))), coded)[0]
+    return F.array_sort(F.array_distinct(F.transform(words, lambda w: _hex_mod(hashing.digest(w, "md5"), 32, m))))
+
+
+def _hex_mod(text: Column, digits: int, m: int) -> Column:
+    """A hex number modulo m, by eight digits at a time, with ``text`` computed once."""
+    parts = F.transform(F.array(text), lambda t: F.array(*[F.conv(F.substring(t, a, 8), 16, 10).cast("long") for a in range(1, digits, 8)]))[0]
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda s, x: (s * ((1 << 32) % m) + x) % m)
 
 
 @dataclass(frozen=True)
