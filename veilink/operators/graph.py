@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .grouped import chunked, tasks
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage in the folder that ``spark.checkpoint.dir`` names; one of this process where it is unset."""
@@ -72,9 +74,10 @@ def edge_overlap(plain: DataFrame, encoded: DataFrame) -> DataFrame:
 
 def entity_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges between entities: every pair of the two nodes' entity ids, smaller id first."""
-    ids = nodes.select("node", "ent_ids")
-    x = edges.join(ids.withColumnsRenamed({"node": "src", "ent_ids": "a"}), "src").join(ids.withColumnsRenamed({"node": "dst", "ent_ids": "b"}), "dst")
-    pairs = x.select(F.explode("a").alias("a"), "b", "sim").select("a", F.explode("b").alias("b"), "sim")
+    part = lambda name: nodes.select("node", chunked("ent_ids", name, 1024))
+    x = edges.join(part("a").withColumnRenamed("node", "src"), "src").join(part("b").withColumnRenamed("node", "dst"), "dst").select("a", "b", "sim")
+    # few edges may hold all pairs: parts of both nodes' ids are dealt out before they expand
+    pairs = x.repartition(tasks(edges.sparkSession)).select(F.explode("a").alias("a"), "b", "sim").select("a", F.explode("b").alias("b"), "sim")
     return pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "sim")
 
 
