@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilink import catalogue, catalogue_linkage  # noqa: F401
 from veilink.functions import similarity as S
-from veilink.operators import grouped, match, metrics, prep, regress, transfer, vectors
+from veilink.operators import graph, grouped, match, metrics, prep, regress, transfer, vectors
 
 DATA = "/root/testdata/sf0.001"
 
@@ -110,3 +110,13 @@ def test_vector_pairs(spark, monkeypatch, block):
     assert len(rows) == len(got) and got.keys() == want.keys()
     for k, values in want.items():
         assert all(a == b or a != a and b != b or abs(a - b) < 1e-9 for a, b in zip(got[k], values)), (k, got[k], values)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6])
+def test_dense_graphs_have_the_features_of_sparse_ones(spark, monkeypatch, threshold):
+    source = random.Random(9)
+    made = [(f"n{i:02}", f"n{j:02}", round(source.random(), 3)) for i, j in itertools.combinations(range(24), 2) if source.random() < 0.4]
+    edges = spark.createDataFrame(made, "src string, dst string, sim double")
+    dense = sorted(map(tuple, graph.neighbourhood_features(edges, threshold).collect()))
+    monkeypatch.setattr(graph, "DENSE_NODES", 0)
+    assert dense == sorted(map(tuple, graph.neighbourhood_features(edges, threshold).collect()))
