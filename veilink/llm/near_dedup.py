@@ -15,7 +15,9 @@
    probability, however many levels follow. Each level has ``FRESH`` minwise values of its own, taken from the full sets of
    the rows that branch. Between levels all links found so far are contracted, and nodes of one label are done. Nodes
    that are still large after ``MAX_LEVELS`` are compared exhaustively in chunk pairs.
-5. Links and classes give connected components.
+5. Trees miss a pair with a small chance. An exact join on parts of the sets (``parts``) follows them, for what they have not put
+   in one candidate group, and for rows of large groups that no link has joined; no similar pair is left out.
+6. Links and classes give connected components.
 
 A pair at the threshold agrees on a binomial number of the ``COORDINATES`` and shares a node of one tree with their share to
 the power of START (times ``survival(GROWTH)`` where nodes branch); the number of trees follows from the recall target.
@@ -30,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import parts
 from .common import Workspace, is_few, table, text_or_empty, unused, with_label
-from .groups import by_node, chunks_with_pivots, contracted, hot_nodes, labelled, members_of, node_links, pairs_batch, sampled, spanning, whole_nodes
+from .groups import by_node, chunk_pairs, chunks_with_pivots, contracted, hot_nodes, labelled, members_of, node_links, pairs_batch, sampled, spanning, whole_nodes
 from .shingles import common, document_words, mix, seeded, shingle_set, signature
 
 COORDINATES, START, SMALL = 64, 2, 2048
@@ -83,16 +86,17 @@ def _profiles(size: int):
     def run(batches):
         odd = seeded(COORDINATES, 3) | _U(1)
         for batch in batches:
-            n, low, high, sigs = [], [], [], []
+            n, low, high, sigs, counts = [], [], [], [], []
             for words in document_words(batch.column(2).to_pylist()):
                 values = shingle_set(words, size)
                 n.append(len(values))
-                low.append(int(values.sum(dtype=np.uint64).view(np.int64)))
+                low.append(int(parts.digest(values).view(np.int64)))
                 high.append(int(mix(values ^ _U(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)))
                 sigs.append(signature(values, odd).astype(np.uint16).tobytes())
+                counts.append(parts.bins(values).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(sigs, pa.binary())],
-                ["uid", "id", "n", "low", "high", "sig"],
+                [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (n, low, high)), pa.array(sigs, pa.binary()), pa.array(counts, pa.binary())],
+                ["uid", "id", "n", "low", "high", "sig", "bins"],
             )
 
     return run
@@ -339,17 +343,22 @@ def _grouped(docs: DataFrame, shingle_words: int, part: int, whole: int, recall:
     threshold = part / whole
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    profiles = work.stage(rows.mapInArrow(_profiles(shingle_words), f"uid long, id {kind}, n long, low long, high long, sig binary"), "profiles")
+    profiles = work.stage(rows.mapInArrow(_profiles(shingle_words), f"uid long, id {kind}, n long, low long, high long, sig binary, bins binary"), "profiles")
     classes = work.stage(
         profiles.filter("n > 0").groupBy("n", "low", "high").agg(F.min("uid").alias("rep"), F.min(F.struct(F.col("id").isNull().alias("last"), "id", "uid")).alias("least")), "classes"
     )
-    heads = work.stage(profiles.select(F.col("uid").alias("rep"), "sig").join(classes.select("rep", F.col("n").alias("weight")), "rep"), "heads")
+    who = F.expr(f"low & {(1 << parts.WHO_BITS) - 1}L").alias("who")
+    heads = work.stage(profiles.select(F.col("uid").alias("rep"), "sig", "bins").join(classes.select("rep", F.col("n").alias("weight"), who), "rep"), "heads")
     labels = _candidates(heads, recall, threshold, work)
+    # what meets by parts, as rows; sets that share the digest's low bits all take part
+    met = parts.meeting(rows.select("text"), classes.agg(F.sum("n")).first()[0] or 0, shingle_words, part, whole)
+    met = work.stage(met.join(heads.select("who", "rep"), "who").select("node", "rep"), "met")
+    labels = contracted(work.stage(_gated(_apart(met, labels, heads, work), part, whole, True), "candidates"), labels, work)
     small, large = members_of(labels, heads.select("rep", "weight"), GROUP_ROWS, GROUP_SHINGLES, work)
     found = work.stage(_confirmed(rows, small.withColumnRenamed("grp", "node").withColumn("label", F.col("rep")), shingle_words, part, whole), "links")
     labels = contracted(found, None, work)
     if large.take(1):
-        labels = _large_groups(rows, heads, large, labels, shingle_words, part, whole, recall, work)
+        labels = _large_groups(rows, heads, large, labels, met, shingle_words, part, whole, recall, work)
     roots = work.stage(labelled(classes, labels).withColumnRenamed("label", "root"), "roots")
     least = roots.groupBy("root").agg(F.min("least").alias("first"))
     of_class = work.stage(roots.join(least, "root").select("n", "low", "high", F.col("first.id").alias("component_id"), F.col("first.uid").alias("stays")), "components")
@@ -375,6 +384,45 @@ def _candidates(heads: DataFrame, recall: float, threshold: float, work: Workspa
     return contracted(work.stage(found.unionByName(stars).distinct(), "candidates"), None, work)
 
 
+def _apart(met: DataFrame, labels: DataFrame, heads: DataFrame, work: Workspace) -> DataFrame:
+    """``node, rep, label, weight, bins`` of the nodes that hold several labels; larger ones as all pairs of their chunks."""
+    rows = labelled(met, labels)
+    mixed = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("node", "n")
+    rows = work.stage(rows.join(mixed, "node").select("node", "n", "rep", "label"), "apart")
+    small, big = rows.filter(F.col("n") <= SMALL).select("node", "rep", "label"), rows.filter(F.col("n") > SMALL)
+    if big.take(1):
+        small = small.unionByName(chunk_pairs(big, SMALL))
+    return small.join(heads.select("rep", "weight", "bins"), "rep")
+
+
+def _gated(rows: DataFrame, part: int, whole: int, span: bool) -> DataFrame:
+    """Links between rows of different labels in nodes that sizes and bins let through: all, or with ``span`` those that span them."""
+
+    def run(batches):
+        for batch in whole_nodes(batches):
+            node, rep, label, sizes = (batch.column(c).to_numpy() for c in ("node", "rep", "label", "weight"))
+            table = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, parts.BINS)
+
+            def near(i, j):
+                out = label[i] == label[j]
+                at = np.flatnonzero(~out)
+                out[at] = parts.may_be_similar(sizes, table, i[at], j[at], part, whole)
+                return out
+
+            if span:
+                yield pairs_batch([(rep[i], rep[j]) for i, j in spanning(node, rep, near) if label[i] != label[j]])
+                continue
+            at, d = np.arange(len(node)), 1
+            while len(at := at[at + d < len(node)]) and len(at := at[node[at] == node[at + d]]):
+                some = at[label[at] != label[at + d]]
+                some = some[parts.may_be_similar(sizes, table, some, some + d, part, whole)]
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([pa.array(f(rep[some], rep[some + d]), pa.int64()) for f in (np.minimum, np.maximum)], ["a", "b"])
+                d += 1
+
+    return by_node(rows, "rep").mapInArrow(run, "a long, b long").distinct()
+
+
 def _confirmed(rows: DataFrame, placed: DataFrame, shingle_words: int, part: int, whole: int) -> DataFrame:
     """Links within the nodes of ``placed`` (``node, rep, label``, each rep in one node), on full sets."""
     wide = with_label(rows.select(F.col("uid").alias("rep"), "text"), placed, "rep", placed.count()).select("node", "rep", "label", "text")
@@ -382,8 +430,8 @@ def _confirmed(rows: DataFrame, placed: DataFrame, shingle_words: int, part: int
     return by_node(sets, "rep").mapInArrow(_exhaustive(part, whole), "a long, b long")
 
 
-def _large_groups(rows: DataFrame, heads: DataFrame, large: DataFrame, labels: DataFrame, shingle_words: int, part: int, whole: int, recall: float, work: Workspace) -> DataFrame:
-    """``labels`` after the links of groups that no task can compare as a whole."""
+def _large_groups(rows: DataFrame, heads: DataFrame, large: DataFrame, labels: DataFrame, met: DataFrame, shingle_words: int, part: int, whole: int, recall: float, work: Workspace) -> DataFrame:
+    """``labels`` after the links of groups that no task can compare as a whole; ``met`` has their rows by parts."""
     threshold = part / whole
     large = work.stage(large, "large")
     wide = with_label(rows.select(F.col("uid").alias("rep"), "text"), large.select("rep"), "rep", large.count())
@@ -401,7 +449,10 @@ def _large_groups(rows: DataFrame, heads: DataFrame, large: DataFrame, labels: D
             work.stage(nodes, "nodes"), sets, labels, SMALL_SETS, MAX_LEVELS, compare, _with_pivot(part, whole),
             lambda rows, level, work: _children(rows, sets, level, threshold, work), work,
         )
-    return labels
+    met = met.join(large.select("rep", "grp"), "rep").select(F.xxhash64("node", "grp").alias("node"), "rep")
+    pairs = work.stage(_gated(_apart(met, labels, heads, work), part, whole, False).select(F.col("a").alias("pivot"), F.col("b").alias("rep")), "pairs")
+    stars = sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("pivot_shingles"))
+    return contracted(work.stage(pairs.join(sets, "rep").join(stars, "pivot").mapInArrow(_with_pivot(part, whole), "a long, b long"), "links"), labels, work)
 
 
 def _children(wide: DataFrame, sets: DataFrame, level: int, threshold: float, work: Workspace) -> DataFrame:
