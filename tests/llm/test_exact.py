@@ -1,9 +1,9 @@
-"""Near duplicates without any chance of a loss: the trees are made to miss most pairs."""
+"""Near duplicates without any chance of a loss: the trees are made to miss most pairs. Rounds and archives by bounded means."""
 
 import numpy as np
 import pytest
 
-from veilink.llm import near_dedup, parts
+from veilink.llm import near_dedup, packing, parts
 
 
 @pytest.mark.parametrize("part, whole", [(4, 5), (85, 100)])
@@ -41,3 +41,19 @@ def test_pairs_that_trees_miss(spark, monkeypatch, tmp_path, whole):
     assert 0.85 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.86
     out = near_dedup.near_duplicates(spark.read.parquet(str(tmp_path / "docs")), 3, 85, 100).collect()
     assert {r.doc_id: r.component_id for r in out} == {i: i - i % 2 if i < 240 else 240 for i in range(len(texts))}
+
+
+def test_a_round_has_no_more_tasks_than_ranges(spark):
+    """The review's run with 211 partitions spent its time on empty tasks."""
+    held = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        runs = [(packing.PIECE, n, 3, 0, 0, 0, 0) for n in range(1, 2000, 7)] + [(packing.GAP, 2048 - n, 2, 2 * n, 0, 0, 0) for n in range(5, 2000, 9)]
+        after = packing._swept(spark.createDataFrame(runs, packing._RUN).coalesce(1), 2048, 1)
+        assert after.rdd.getNumPartitions() <= 2 * packing.RANGES
+        assert after.filter(f"kind <> {packing.GAP}").groupBy().sum("n").first()[0] == 3 * len(range(1, 2000, 7))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

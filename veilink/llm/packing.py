@@ -101,7 +101,8 @@ def _swept(runs: DataFrame, capacity: int, round_: int) -> DataFrame:
     order = ["part", F.desc("size"), "kind"]
     part = F.floor(F.col("size") * RANGES / (capacity + 1)).cast("int").alias("part")
     open_ = (F.col("kind") == PIECE) | ((F.col("kind") == GAP) & (F.col("size") > 0))
-    own = runs.filter(open_).withColumn("part", part).repartition("part").sortWithinPartitions(*order).mapInArrow(_sweep(capacity, round_), _RUN)
+    # no more tasks than ranges, however many partitions a shuffle has
+    own = runs.filter(open_).withColumn("part", part).repartition("part").coalesce(RANGES).sortWithinPartitions(*order).mapInArrow(_sweep(capacity, round_), _RUN)
     free = (F.col("kind") == PIECE) | ((F.col("kind") == GAP) & (F.col("round") < round_))
     rest = own.filter(free).withColumn("part", F.lit(0)).repartition(1).sortWithinPartitions(*order).mapInArrow(_sweep(capacity, round_), _RUN)
     return runs.filter(F.col("kind") == PLACED).unionByName(own.filter(~free)).unionByName(rest)
