@@ -1,9 +1,10 @@
 """Near duplicates without any chance of a loss: the trees are made to miss most pairs. Rounds and archives by bounded means."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from veilink.llm import near_dedup, packing, parts
+from veilink.llm import common, near_dedup, packing, parts, warc
 
 
 @pytest.mark.parametrize("part, whole", [(4, 5), (85, 100)])
@@ -57,3 +58,14 @@ def test_a_round_has_no_more_tasks_than_ranges(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("payloads", [True, False])
+def test_archives_are_read_in_bounded_batches(spark, tmp_path, payloads):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"<p>{i}</p>" * 500) for i in range(1500)], "page_id long, url string, html string").coalesce(1)
+    manifest, _ = warc.write_warc(pages, str(tmp_path / "archives"), common.Workspace(spark, "test"))
+    ranges = pa.RecordBatch.from_pylist([r.asDict() for r in manifest.collect()])
+    sent = list(warc._read(warc.qualified(spark, str(tmp_path / "archives")), payloads)([ranges]))
+    assert sum(b.num_rows for b in sent) == 1500 and max(b.num_rows for b in sent) <= warc.ROWS_AT_ONCE
+    assert max(b.nbytes for b in sent) < 2 * warc.SENT_BYTES
+    assert all(b.column("payload").null_count == (0 if payloads else b.num_rows) and not b.column("digest").null_count for b in sent)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, table, text_or_empty
+from .common import Workspace, lean, table, text_or_empty
 
 SKIPPABLE = 0x184D2A5D
 #: Equal payloads of fewer bytes are written in full.
@@ -30,6 +30,8 @@ ARCHIVE_BYTES = 24_000_000
 DICTIONARY_BYTES, SAMPLE_BYTES = 65_536, 2_000_000
 #: Compressed bytes that one reading task takes at a time.
 READ_BYTES = 4_000_000
+#: Rows that are Python objects at once in a writing task; rows and payload bytes that a reading task sends at once.
+ROWS_AT_ONCE, SENT_BYTES = 256, 2_000_000
 
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _CONTROL = re.compile("[\x00-\x1f\x7f-\x9f\u2028\u2029\ud800-\udfff]")
@@ -143,22 +145,22 @@ def _write(folder: str, crawl: str):
                 ["archive", "first", "length", "records"],
             )
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                payload = row["html"].encode() if row["html"] is not None else b""
-                raw = record(row, None if row["refers"] is not None else payload, crawl)
-                pending.append(raw)
-                size += len(raw)
-                if size >= ARCHIVE_BYTES:
-                    yield flush()
-                    pending, size = [], 0
+        for row in (row for batch in batches for k in range(0, batch.num_rows, ROWS_AT_ONCE) for row in batch.slice(k, ROWS_AT_ONCE).to_pylist()):
+            payload = row["html"].encode() if row["html"] is not None else b""
+            raw = record(row, None if row["refers"] is not None else payload, crawl)
+            pending.append(raw)
+            size += len(raw)
+            if size >= ARCHIVE_BYTES:
+                yield flush()
+                pending.clear()
+                size = 0
         if pending:
             yield flush()
 
     return run
 
 
-def _read(folder: str):
+def _read(folder: str, payloads: bool):
     def run(batches):
         import zstandard
 
@@ -173,7 +175,7 @@ def _read(folder: str):
                     file.seek(part["first"])
                     data = file.read(part["length"])
                 unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(blob)) if blob else zstandard.ZstdDecompressor()
-                rows, at = [], 0
+                rows, at, held, seen = [], 0, 0, 0
                 while at < len(data):
                     one = unpacker.decompressobj()
                     raw = one.decompress(data[at : at + (1 << 16)])
@@ -188,11 +190,16 @@ def _read(folder: str):
                     rows.append({
                         "row": int(headers["warc-row"]), "record": headers["warc-record-id"], "kind": headers["warc-type"], "refers": headers.get("warc-refers-to"),
                         "url": headers["warc-target-uri"], "digest": hashlib.sha256(payload).hexdigest() if whole else None,
-                        "said": headers["warc-payload-digest"].removeprefix("sha256:"), "bytes": len(payload) if whole else None, "payload": payload if whole else None,
+                        "said": headers["warc-payload-digest"].removeprefix("sha256:"), "bytes": len(payload) if whole else None, "payload": payload if whole and payloads else None,
                     })
-                if len(rows) != part["records"]:
-                    raise ValueError(f"{part['archive']}: {len(rows)} records where {part['records']} were written")
-                yield pa.RecordBatch.from_pylist(rows, schema=_READ_ARROW)
+                    seen, held = seen + 1, held + len(payload) * payloads
+                    if held >= SENT_BYTES or len(rows) >= ROWS_AT_ONCE:
+                        yield pa.RecordBatch.from_pylist(rows, schema=_READ_ARROW)
+                        rows, held = [], 0
+                if seen != part["records"]:
+                    raise ValueError(f"{part['archive']}: {seen} records where {part['records']} were written")
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_READ_ARROW)
 
     return run
 
@@ -221,15 +228,16 @@ def write_warc(pages: DataFrame, folder: str, work: Workspace, id_col: str = "pa
     folder = qualified(pages.sparkSession, folder)
     store, base = filesystem(folder)
     store.create_dir(base, recursive=True)
-    return work.stage(records.mapInArrow(_write(folder, uuid.uuid4().hex), _MANIFEST), "manifest"), keys
+    return work.stage(records.mapInArrow(lean(_write(folder, uuid.uuid4().hex)), _MANIFEST), "manifest"), keys
 
 
-def read_warc(spark, folder: str, manifest: DataFrame) -> DataFrame:
+def read_warc(spark, folder: str, manifest: DataFrame, payloads: bool = True) -> DataFrame:
     """Every record of the listed archives: ``row, record, kind, refers, url, digest, said, bytes, payload``.
 
     ``digest`` and ``bytes`` are computed from the payload as read (null for revisits), ``said`` is the header's digest.
+    Without ``payloads`` that column is null: payloads are read and digested, but don't leave the reading task.
     """
-    return manifest.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(_read(qualified(spark, folder)), _READ_SCHEMA)
+    return manifest.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(lean(_read(qualified(spark, folder), payloads)), _READ_SCHEMA)
 
 
 def warc_roundtrip(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -242,7 +250,7 @@ def warc_roundtrip(pages: DataFrame, folder: str | None = None, id_col: str = "p
     work = Workspace(spark, "warc")
     folder = folder or f"{work.path}/archives"
     manifest, keys = write_warc(pages, folder, work, id_col, url_col, html_col)
-    records = work.stage(read_warc(spark, folder, manifest).drop("payload"), "records")
+    records = work.stage(read_warc(spark, folder, manifest, False).drop("payload"), "records")
     checked = F.when(F.col("digest") == F.col("said"), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("payload digest differs in "), F.col("record"))))
     whole = records.filter("kind = 'response'").select("row", "record", "kind", "url", "bytes", checked.alias("digest"), F.lit(None).cast("long").alias("of"))
     target = records.filter("kind = 'response'").select(F.col("record").alias("refers"), F.col("row").alias("of"), F.col("bytes").alias("b"), F.col("digest").alias("d"))
