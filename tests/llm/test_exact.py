@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from veilink.llm import common, near_dedup, packing, parts, warc
+from veilink.llm import common, line_dedup, near_dedup, packing, parts, warc
 
 
 @pytest.mark.parametrize("part, whole", [(4, 5), (85, 100)])
@@ -69,3 +69,20 @@ def test_archives_are_read_in_bounded_batches(spark, tmp_path, payloads):
     assert sum(b.num_rows for b in sent) == 1500 and max(b.num_rows for b in sent) <= warc.ROWS_AT_ONCE
     assert max(b.nbytes for b in sent) < 2 * warc.SENT_BYTES
     assert all(b.column("payload").null_count == (0 if payloads else b.num_rows) and not b.column("digest").null_count for b in sent)
+
+
+def test_distances_of_many_lengths_take_few_batches(monkeypatch):
+    rng, calls, inner = np.random.default_rng(5), [], line_dedup._distances
+    monkeypatch.setattr(line_dedup, "_distances", lambda *a: calls.append(len(a[0])) or inner(*a))
+    pairs = []
+    for n in range(70, 2000, 6):
+        a = list(map(str, rng.integers(0, 10, n)))
+        b = a.copy()
+        for at in rng.integers(0, n, n // (8 if n % 4 else 16)):
+            b[at : at + 1] = [["x"], [], ["y", "z"]][rng.integers(3)]
+        pairs.append(("".join(a), "".join(b)))
+    most = np.array([max(map(len, p)) // 10 for p in pairs])
+    got, want = line_dedup.edit_distances(pairs, most), np.array([line_dedup.edit_distance(*p) for p in pairs])
+    assert ((got == want) | ((got > most) & (want > most))).all() and (want <= most).any() and (want > most).any()
+    assert (line_dedup.edit_distances(pairs) == want).all()
+    assert len(calls) <= 40 and sum(calls) > len(pairs)  # before: numbers of words with fewer than 16 pairs went one by one
