@@ -201,3 +201,19 @@ def test_pipeline_edges(spark, monkeypatch, tmp_path):
         if name == "pii":
             assert {r.text for r in docs.filter("doc_id = 7").collect()} == {"[EMAIL] [IP]"} and docs.filter("text IS NULL").count() == 1
     assert counts[:4] == [9, 7, 7, 7] and docs.filter("doc_id = 6").agg({"length": "sum"}).first()[0] > 2048
+
+
+def test_edit_distances_of_like_sizes_share_steps(monkeypatch):
+    """Texts of 100 to 600 characters fall into nine numbers of words; few batches hold them, and distances stay exact."""
+    rng, calls, one = random.Random(5), [], line_dedup._distances
+    monkeypatch.setattr(line_dedup, "_distances", lambda *args: calls.append(args[2]) or one(*args))
+    pairs = []
+    for _ in range(300):
+        a = "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(100, 600)))
+        b = list(a)
+        for at in (0, len(a) - 1, *rng.sample(range(len(a)), 12)):
+            b[at] = "z"
+        pairs.append((a, "".join(b)))
+    got = line_dedup.edit_distances(pairs)
+    assert got.tolist() == [line_dedup.edit_distance(a, b) for a, b in pairs]
+    assert 0 < len(calls) <= 6
