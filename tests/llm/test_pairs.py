@@ -217,3 +217,13 @@ def test_edit_distances_of_like_sizes_share_steps(monkeypatch):
     got = line_dedup.edit_distances(pairs)
     assert got.tolist() == [line_dedup.edit_distance(a, b) for a, b in pairs]
     assert 0 < len(calls) <= 6
+
+
+def test_gram_keys_are_the_least_of_each_line():
+    """Each key is the least masked hash of the line's own grams, whatever lines stand beside it; of equal grams the first place counts."""
+    lines = [b"exactly twelv"[:12], b"the same words again, the same words again, the same words", "größe über alles — und übergröße".encode()]
+    alone = [line_dedup.gram_keys([x])[0].tolist() for x in lines]
+    assert line_dedup.gram_keys(lines).tolist() == alone
+    assert line_dedup.gram_keys(lines[::-1]).tolist() == alone[::-1]
+    repeated = line_dedup.gram_keys([b"abcdefghijkl" * 4])[0] & np.uint64(0xFFFF)
+    assert (repeated < 12).all()
