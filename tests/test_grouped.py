@@ -120,3 +120,45 @@ def test_dense_graphs_have_the_features_of_sparse_ones(spark, monkeypatch, thres
     dense = sorted(map(tuple, graph.neighbourhood_features(edges, threshold).collect()))
     monkeypatch.setattr(graph, "DENSE_NODES", 0)
     assert dense == sorted(map(tuple, graph.neighbourhood_features(edges, threshold).collect()))
+
+
+@pytest.fixture(scope="module")
+def scored_pairs(spark):
+    source = random.Random(11)
+    near = lambda y, *options: round(source.choice(options) + 0.3 * y, 2)
+    made = [(f"a{source.randint(0, 99):02}", f"b{i:03}", *(near(i % 3 == 0, *x) for x in ([0.2, 0.3, 0.45, 0.5], [0.15, 0.4], [0.1, 0.6], [0.3, 0.5], [0.25, 0.5])), int(i % 3 == 0)) for i in range(240)]
+    return spark.createDataFrame(made, "id1 string, id2 string, dice double, jaccard double, overlap double, hamming double, entropy double, is_match int").cache()
+
+
+@pytest.mark.parametrize("n", [0, 1, 30, 79, 80, 500])
+def test_first_rows_by_counts_of_distinct_rows(spark, scored_pairs, n):
+    """Where several distinct rows have the border's score, ids decide; ids are looked up for no others."""
+    values = ["dice", "overlap", "is_match"]
+    rows = scored_pairs.filter("is_match = 0")
+    counts = rows.groupBy(*values).agg(F.count(F.lit(1)).alias("n"))
+    asked = []
+    pairs = lambda same: asked.append(same.count()) or rows.join(same.select(*values), values, "left_semi")
+    for score in ("dice", None):
+        order = sorted(map(tuple, rows.select("dice", "id1", "id2", *values).collect()), key=lambda r: (-r[0] if score else 0, r[1], r[2]))[:n]
+        want = {v: sum(r[3:] == v for r in order) for v in {r[3:] for r in order}}
+        got = {tuple(r)[:3]: r["n"] for r in transfer.first_counted(counts, n, "n", pairs, score).select(*values, "n").collect()}
+        assert got == want
+    assert all(a > 1 for a in asked)
+
+
+def test_transfer_of_counts_is_that_of_rows(spark, scored_pairs):
+    values = [*transfer.METRICS, "is_match"]
+    counted = lambda df: df.groupBy(*values).agg(F.count(F.lit(1)).alias("n"))
+    target = scored_pairs.withColumn("dice", F.col("dice") * 0.97)
+    pairs = lambda same: scored_pairs.join(same.select(*values, *[c for c in same.columns if c == "pp"]), values)
+    plain = transfer.transfer(scored_pairs, target, least=0.3, share=0.4).collect()
+    weighted = transfer.transfer(counted(scored_pairs), counted(target), least=0.3, share=0.4, weight="n", pairs=pairs).collect()
+    assert len(plain) == len(weighted) > 2
+    for a, b in zip(plain, weighted):
+        assert all(math.isclose(x, y, abs_tol=1e-9) if isinstance(x, float) else x == y for x, y in zip(a, b)), (a, b)
+
+
+@pytest.mark.parametrize("name", ["transfer_variants"])
+def test_classifiers_take_counts_not_pairs(spark, monkeypatch, name):
+    monkeypatch.setattr(catalogue, "matrix", None)
+    assert catalogue.QUERIES[name](spark, DATA).count() > 0

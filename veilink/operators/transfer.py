@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .graph import cut
 from .metrics import quality
-from .prep import first_by_hash, first_by_values, first_rows
+from .prep import _border, first_by_hash, first_by_values, first_rows
 
 METRICS = ["dice", "jaccard", "overlap", "hamming", "entropy"]
 #: Fewest selected matches that a target classifier is trained on, and the target ratio of the two classes.
@@ -28,10 +28,37 @@ def without_known(target: DataFrame, source: DataFrame, columns: list[str], digi
     return rounded(target).join(rounded(source).select(*keys).distinct(), keys, "left_anti").drop(*keys)
 
 
-def domain_data(source: DataFrame, target: DataFrame, columns: list[str], anti: bool = True) -> DataFrame:
-    """Features with ``domain``: 0 for the source, 1 for the target, without target rows that look like source rows."""
-    t = without_known(target, source, columns) if anti else target
-    return source.select(*columns, F.lit(0).alias("domain")).unionByName(t.select(*columns, F.lit(1).alias("domain")))
+def domain_data(source: DataFrame, target: DataFrame, columns: list[str], anti: bool = True, weight: str | None = None) -> DataFrame:
+    """Features (and ``weight``) with ``domain``: 0 for the source, 1 for the target, without target rows that look like source rows."""
+    t, kept = without_known(target, source, columns) if anti else target, [*columns, *([weight] if weight else [])]
+    return source.select(*kept, F.lit(0).alias("domain")).unionByName(t.select(*kept, F.lit(1).alias("domain")))
+
+
+def _number(weight: str | None) -> Column:
+    return F.coalesce(F.sum(weight), F.lit(0)) if weight else F.count(F.lit(1))
+
+
+def first_counted(df: DataFrame, n: int, weight: str, pairs: Callable[[DataFrame], DataFrame], score: str | None = None, ties: tuple[str, ...] = ("id1", "id2")) -> DataFrame:
+    """The first n rows by falling ``score`` (all alike without one), ties by ids, where distinct rows ``df`` count as ``weight`` says.
+
+    ``pairs(rows)`` gives the ids of distinct rows, with their columns; it is called only where ids decide between distinct rows.
+    """
+    stay, same, left = df.limit(0), df, n
+    if score:
+        border = _border(df.groupBy(score).agg(F.sum(weight).alias("n")), F.desc(score), n)
+        if border is None:
+            return df
+        value, before, _ = border
+        stay, same, left = df.filter(F.col(score) > F.lit(value)), df.filter(F.col(score).eqNullSafe(F.lit(value))), n - before
+    if left <= 0:
+        return stay
+    if same.limit(2).count() > 1:
+        rest = [c for c in df.columns if c != weight]
+        found = first_by_values(pairs(same), [(c, False) for c in ties], left)
+        same = cut(found.groupBy(*rest).agg(F.count(F.lit(1)).alias(weight)).select(*df.columns))
+    else:
+        same = same.withColumn(weight, F.least(F.col(weight), F.lit(left)))
+    return stay.unionByName(same)
 
 
 def _assembled(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -137,43 +164,64 @@ def coral(source: DataFrame, target: DataFrame, columns: list[str], ridge: float
 WEIGHT_FUNCTIONS: dict[str, Callable[[Column], Column]] = {"pp": lambda w: w, "pp2": lambda w: w * w, "sqrt": lambda w: F.sqrt(w)}
 
 
-def transfer(source: DataFrame, target: DataFrame, columns: list[str] | None = None, kind: str = "logistic", least: float = 0.51, share: float = 0.01, weights: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+def transfer(source: DataFrame, target: DataFrame, columns: list[str] | None = None, kind: str = "logistic", least: float = 0.51, share: float = 0.01, weights: dict[str, Callable[[Column], Column]] | None = None,
+             weight: str | None = None, pairs: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One quality row per strategy, with ``stage1_strategy`` and ``status``: naive, tl-base, tl_pprl, tl_pprl++, coral, and tl_pprl-w
-    for each weight function. Too few or too unbalanced selected rows end as a status, not as an error."""
+    for each weight function. Too few or too unbalanced selected rows end as a status, not as an error.
+
+    With ``weight``, source and target are distinct rows that count as it says, and ``pairs`` is that of ``first_counted``.
+    """
     columns = columns or METRICS
-    separator = Classifier(kind).fit(domain_data(source, target, columns), columns, "domain")
+    separator = Classifier(kind).fit(domain_data(source, target, columns, weight=weight), columns, "domain", weight)
     chosen = cut(confident_instances(separator, source, least))
-    counts = {r["is_match"]: r["count"] for r in chosen.groupBy("is_match").count().collect()}
+    counts = {r["is_match"]: r["n"] for r in chosen.groupBy("is_match").agg(_number(weight).alias("n")).collect()}
     matches, rest = counts.get(1, 0), counts.get(0, 0)
     spark = source.sparkSession
-    naive = quality(separator.proba(target), (F.col("pp") >= 0.5).cast("int"), "is_match").select(F.lit("naive").alias("stage1_strategy"), F.lit("ok").alias("status"), "*")
+    rated = lambda df, name: quality(df, (F.col("pp") >= 0.5).cast("int"), "is_match", weight=weight).select(F.lit(name).alias("stage1_strategy"), F.lit("ok").alias("status"), "*")
+    naive = rated(separator.proba(target), "naive")
     if matches < MIN_MATCHES or not rest:
         missing = spark.createDataFrame([("tl-base", f"{matches} matches and {rest} non-matches were selected")], "stage1_strategy string, status string")
         return naive.unionByName(missing, allowMissingColumns=True)
     if rest < RATIO * matches:
-        chosen = first_matches(chosen, max(1, int(rest / RATIO)), ["id1", "id2"])
-        matches = min(matches, max(1, int(rest / RATIO)))
-    even = balanced(chosen, matches, share)
-    sets = {"tl-base": (chosen, None), "tl_pprl": (even, None), "tl_pprl++": (coral(even, target, columns), None), "coral": (coral(source, target, columns), None)}
+        n = max(1, int(rest / RATIO))
+        if weight:
+            chosen = chosen.filter("is_match = 0").unionByName(first_counted(chosen.filter("is_match = 1"), n, weight, pairs))
+        else:
+            chosen = first_matches(chosen, n, ["id1", "id2"])
+        matches = min(matches, n)
+    if weight:
+        even = first_counted(chosen.filter("is_match = 0"), non_matches_to_keep(matches, share), weight, pairs, "pp").unionByName(chosen.filter("is_match = 1"))
+    else:
+        even = balanced(chosen, matches, share)
+    sets = {"tl-base": (chosen, weight), "tl_pprl": (even, weight), "tl_pprl++": (coral(even, target, columns, weight=weight), weight), "coral": (coral(source, target, columns, weight=weight), weight)}
     for name, f in (weights if weights is not None else WEIGHT_FUNCTIONS).items():
-        sets[f"tl_pprl-w:{name}"] = (even.withColumn("__w", f(F.col("pp"))), "__w")
+        w = f(F.col("pp"))
+        sets[f"tl_pprl-w:{name}"] = (even.withColumn("__w", w * F.col(weight) if weight else w), "__w")
     out = naive
-    for name, (train, weight) in sets.items():
-        scored = Classifier(kind).fit(train, columns, "is_match", weight).proba(target.select(*[c for c in target.columns if c != "pp"]))
-        row = quality(scored, (F.col("pp") >= 0.5).cast("int"), "is_match").select(F.lit(name).alias("stage1_strategy"), F.lit("ok").alias("status"), "*")
-        out = out.unionByName(row)
+    for name, (train, w) in sets.items():
+        scored = Classifier(kind).fit(train, columns, "is_match", w).proba(target.select(*[c for c in target.columns if c != "pp"]))
+        out = out.unionByName(rated(scored, name))
     return out
 
 
-def source_bound(source: DataFrame, target: DataFrame, columns: list[str] | None = None, kind: str = "logistic", seed: str = "b") -> dict[str, float]:
-    """The error bound of a source for a target: source error, half the domain distance, complexity, their sum, and the separator's MCC."""
+def source_bound(source: DataFrame, target: DataFrame, columns: list[str] | None = None, kind: str = "logistic", seed: str = "b", weight: str | None = None,
+                 sample: Callable[[int], tuple[DataFrame, DataFrame]] | None = None) -> dict[str, float]:
+    """The error bound of a source for a target: source error, half the domain distance, complexity, their sum, and the separator's MCC.
+
+    With ``weight``, source and target are distinct rows that count as it says, and ``sample(n)`` gives the first n rows of both in the
+    order of ``in_hash_order`` of their ids and ``seed``, counted likewise.
+    """
     columns = columns or METRICS
-    error = Classifier(kind).fit(source, columns, "is_match").proba(source).agg(F.avg(F.abs((F.col("pp") >= 0.5).cast("int") - F.col("is_match")))).first()[0]
-    n = min(source.count(), target.count()) // 2
-    side = lambda df, y: first_by_hash(df.withColumn("__id", F.concat_ws("|", "id1", "id2")), "__id", n, seed).select(*columns, F.lit(y).alias("domain"))
-    both = cut(side(source, 0).unionByName(side(target, 1)))
-    scored = Classifier(kind).fit(both, columns, "domain").proba(both).withColumn("p", (F.col("pp") >= 0.5).cast("int"))
-    q = {(r["p"], r["domain"]): r["count"] for r in scored.groupBy("p", "domain").count().collect()}
+    wrong = F.abs((F.col("pp") >= 0.5).cast("int") - F.col("is_match"))
+    scored = Classifier(kind).fit(source, columns, "is_match", weight).proba(source)
+    error = scored.agg(F.try_divide(F.sum(wrong * F.col(weight)), F.sum(weight)) if weight else F.avg(wrong)).first()[0]
+    n = min(df.agg(_number(weight)).first()[0] for df in (source, target)) // 2
+    kept = [*columns, *([weight] if weight else [])]
+    first = lambda df: first_by_hash(df.withColumn("__id", F.concat_ws("|", "id1", "id2")), "__id", n, seed)
+    sides = sample(n) if weight else (first(source), first(target))
+    both = cut(sides[0].select(*kept, F.lit(0).alias("domain")).unionByName(sides[1].select(*kept, F.lit(1).alias("domain"))))
+    scored = Classifier(kind).fit(both, columns, "domain", weight).proba(both).withColumn("p", (F.col("pp") >= 0.5).cast("int"))
+    q = {(r["p"], r["domain"]): r["n"] for r in scored.groupBy("p", "domain").agg(_number(weight).alias("n")).collect()}
     tp, tn, fp, fn = q.get((1, 1), 0), q.get((0, 0), 0), q.get((1, 0), 0), q.get((0, 1), 0)
     total, d = max(1, tp + tn + fp + fn), len(columns)
     distance = 2 * (1 - (tn + tp) / total)
