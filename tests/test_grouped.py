@@ -158,7 +158,27 @@ def test_transfer_of_counts_is_that_of_rows(spark, scored_pairs):
         assert all(math.isclose(x, y, abs_tol=1e-9) if isinstance(x, float) else x == y for x, y in zip(a, b)), (a, b)
 
 
-@pytest.mark.parametrize("name", ["transfer_variants"])
+@pytest.mark.parametrize("name", ["transfer_variants", "source_bound"])
 def test_classifiers_take_counts_not_pairs(spark, monkeypatch, name):
     monkeypatch.setattr(catalogue, "matrix", None)
     assert catalogue.QUERIES[name](spark, DATA).count() > 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 120, 239, 240])
+def test_first_rows_by_hash_are_counted(spark, scored_pairs, n):
+    keyed = scored_pairs.withColumn("__id", F.concat_ws("|", "id1", "id2"))
+    want = {(r["dice"], r["entropy"]): r["count"] for r in prep.first_by_hash(keyed, "__id", n, "b").groupBy("dice", "entropy").count().collect()}
+    for total in (240, 100_000_000):  # a wrong total puts the window elsewhere, the rows stay right
+        got = prep.first_counted_by_hash(keyed, "__id", n, total, ["dice", "entropy"], "b").collect()
+        assert {(r["dice"], r["entropy"]): r["n"] for r in got} == want
+
+
+def test_bound_of_counts_is_that_of_rows(spark, scored_pairs):
+    values = [*transfer.METRICS, "is_match"]
+    counts = scored_pairs.groupBy(*values).agg(F.count(F.lit(1)).alias("n"))
+    adapted = lambda df: df.withColumn("dice", F.col("dice") * 0.9)
+    keyed = scored_pairs.withColumn("__id", F.concat_ws("|", "id1", "id2"))
+    side = lambda n: prep.first_counted_by_hash(keyed, "__id", n, 240, transfer.METRICS, "b")
+    got = transfer.source_bound(counts, adapted(counts), weight="n", sample=lambda n: (side(n), adapted(side(n))))
+    want = transfer.source_bound(scored_pairs, adapted(scored_pairs))
+    assert all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want), (got, want)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -215,3 +217,24 @@ def first_by_hash(df: DataFrame, id_col: str, n: int, seed: str) -> DataFrame:
     """The first n rows in the order of ``in_hash_order``."""
     keyed = df.withColumn("__h", in_hash_order(id_col, seed)[0]).withColumn("__first", F.substring("__h", 1, 4))
     return first_by_values(keyed, [("__first", False), ("__h", False), (id_col, False)], n).drop("__h", "__first")
+
+
+def first_counted_by_hash(df: DataFrame, id_col: str, n: int, total: int, columns: list[str], seed: str) -> DataFrame:
+    """``columns, n``: the rows of ``first_by_hash``, counted; ``df`` has ``total`` rows. No row but a few is kept, and each is hashed once.
+
+    Hashes are even, so the n-th lies near the share n / total of their range: what comes before a window around it is only counted, and
+    the window's rows are ranked. If the n-th lies elsewhere all the same, rows are found as ``first_by_hash`` finds them.
+    """
+    h, share = F.col("__h"), n / max(total, 1)
+    spread = 12 * math.sqrt(max(share * (1 - share), 0.0) / max(total, 1)) + 64 / max(total, 1)
+    border = lambda x: f"{int(x * 2**32):08x}" if x < 1 else "g"  # noqa: E731  no digit is as large as g
+    low, high = border(max(0.0, share - spread)), border(min(1.0, share + spread))
+    near = h >= low
+    keyed = df.select(*columns, id_col, in_hash_order(id_col, seed)[0].alias("__h")).filter(h < high)
+    found = cut(keyed.groupBy(*columns, F.when(near, h).alias("__h"), F.when(near, F.col(id_col)).alias(id_col)).agg(F.count(F.lit(1)).alias("n")))
+    before, inside = (x or 0 for x in found.agg(F.sum(F.when(h.isNull(), F.col("n"))), F.sum(F.when(h.isNotNull(), F.col("n")))).first())
+    if n < before or n > before + inside:
+        return first_by_hash(df, id_col, n, seed).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    rows = found.filter(h.isNotNull()).withColumn("n", F.explode(F.expr("array_repeat(1L, cast(n AS int))")))
+    rest = first_by_values(rows, [("__h", False), (id_col, False)], n - before)
+    return found.filter(h.isNull()).select(*columns, "n").unionByName(rest.select(*columns, "n")).groupBy(*columns).agg(F.sum("n").alias("n"))
