@@ -182,3 +182,11 @@ def test_bound_of_counts_is_that_of_rows(spark, scored_pairs):
     got = transfer.source_bound(counts, adapted(counts), weight="n", sample=lambda n: (side(n), adapted(side(n))))
     want = transfer.source_bound(scored_pairs, adapted(scored_pairs))
     assert all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want), (got, want)
+
+
+def test_similarities_of_edges_are_computed_once(spark, monkeypatch):
+    """What components are found in has no expression of similarities left to evaluate."""
+    plans, whole = [], graph.without_small_components
+    monkeypatch.setattr(graph, "without_small_components", lambda e, n: plans.append(e._jdf.queryExecution().analyzed().toString()) or whole(e, n))
+    assert catalogue.QUERIES["reidentification"](spark, DATA).count() > 0
+    assert len(plans) == 2 and not any("array_intersect" in p for p in plans)
