@@ -190,3 +190,14 @@ def test_similarities_of_edges_are_computed_once(spark, monkeypatch):
     monkeypatch.setattr(graph, "without_small_components", lambda e, n: plans.append(e._jdf.queryExecution().analyzed().toString()) or whole(e, n))
     assert catalogue.QUERIES["reidentification"](spark, DATA).count() > 0
     assert len(plans) == 2 and not any("array_intersect" in p for p in plans)
+
+
+def test_entity_pairs_are_products_in_batches(spark):
+    """Ids in both nodes, outside ASCII, and none at all; no row is made by nested explodes."""
+    ids = {"x": ["10", "9", "é", "\U0001F600", "�"], "y": ["9", "a", "é"], "z": [], "w": None, **{"u": [f"{i}" for i in range(3000)]}}
+    nodes = spark.createDataFrame(list(ids.items()), "node string, ent_ids array<string>")
+    edges = spark.createDataFrame([("x", "y", 0.5), ("x", "z", 0.6), ("w", "x", 0.7), ("u", "y", None)], "src string, dst string, sim double")
+    pairs = graph.entity_pairs(nodes, edges)
+    want = [(*sorted(p, key=lambda t: t.encode()), s) for a, b, s in map(tuple, edges.collect()) for p in itertools.product(ids[a] or [], ids[b] or [])]
+    assert sorted(map(tuple, pairs.collect()), key=repr) == sorted(want, key=repr)
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") <= 2  # the lists' chunks

@@ -78,8 +78,27 @@ def entity_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     part = lambda name: nodes.select("node", chunked("ent_ids", name, 1024))
     x = edges.join(part("a").withColumnRenamed("node", "src"), "src").join(part("b").withColumnRenamed("node", "dst"), "dst").select("a", "b", "sim")
     # few edges may hold all pairs: parts of both nodes' ids are dealt out before they expand
-    pairs = x.repartition(tasks(edges.sparkSession)).select(F.explode("a").alias("a"), "b", "sim").select("a", F.explode("b").alias("b"), "sim")
-    return pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "sim")
+    kind = edges.schema["sim"].dataType.simpleString()
+    return x.repartition(tasks(edges.sparkSession)).mapInArrow(_products, f"src string, dst string, sim {kind}")
+
+
+def _products(batches):
+    """Every pair of an id of list ``a`` and one of ``b``, smaller first, in Arrow batches: comparisons are those of ranks."""
+    for batch in batches:
+        for a, b, sim in zip(*batch.columns):
+            if not a.is_valid or not b.is_valid:
+                continue
+            ids = pa.concat_arrays([a.values, b.values])
+            names = ids.to_pylist()
+            order = np.array(sorted(range(len(names)), key=names.__getitem__), np.int64)  # by code points, as UTF-8 sorts
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order))
+            ids, left, right = ids.take(pa.array(order)), rank[: len(a.values)], rank[len(a.values) :]
+            step = max(1, 65_536 // max(1, len(right)))
+            for k in range(0, len(left), step):
+                i, j = np.repeat(left[k : k + step], len(right)), np.tile(right, len(left[k : k + step]))
+                ends = [ids.take(pa.array(f(i, j))) for f in (np.minimum, np.maximum)]
+                yield pa.RecordBatch.from_arrays([*ends, pa.repeat(sim, len(i))], ["src", "dst", "sim"])
 
 
 def common_values(a: DataFrame, b: DataFrame) -> DataFrame:
